@@ -6,15 +6,15 @@
 2. Stars: in each band bucket of several classes the smallest id is the centre, and
    centre and members are compared. Signatures screen the pairs, then the full sets
    confirm them. Large-star and small-star turn the links into components.
-3. Rest: a bucket whose members lie in different components may still hold a link that
-   no centre saw. There, members outside the bucket's largest component are compared
-   with all members of other components, in blocks of bounded size, so a bucket costs
-   (members outside) x (members) / block rows and no pair is emitted unless its
-   signatures agree. New links go through confirmation and components again.
+3. Rest: the buckets of one centre may still hold a link that the centre is not part of.
+   Where a centre's members lie in different components, those outside its largest
+   component are compared with all members of other components, block against block with
+   their texts, so that a text moves once per centre and not once per pair, and only
+   confirmed links leave a task. Components are then found again.
 After step 3 every two classes that share a bucket are in one component or were compared.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 1.3e-7 at
-0.8 for the default 40 x 5, and the signature screen loses less than 1e-9 of such pairs.
+0.8 for the default 40 x 5, and the signature screen loses about 3e-7 of such pairs.
 
 Defined results
 - null, empty or wordless texts: the empty set, linked with nothing;
@@ -39,7 +39,7 @@ from ..sources.tables import discard, materialize
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
-BLOCK = 256  # members of a bucket that one block of the third step holds
+BLOCK = 30_000  # shingles of the texts in a block of the third step
 
 
 def words_of(text: str | None) -> list[str]:
@@ -167,9 +167,9 @@ def _agreeing(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 
 def _least_agreement(hashes: int, percent: int) -> int:
-    """Equal minima that a pair at the threshold reaches but for 6.5 standard deviations."""
+    """Equal minima that a pair at the threshold reaches but for 5 standard deviations."""
     s = percent / 100
-    return max(0, int(hashes * s - 6.5 * (hashes * s * (1 - s)) ** 0.5))
+    return max(0, int(hashes * s - 5 * (hashes * s * (1 - s)) ** 0.5))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -237,28 +237,50 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def _blocks(members: DataFrame, mixed: DataFrame, percent: int, least: int) -> DataFrame:
-    """Candidate pairs of different components inside mixed buckets, a row of members against a block at a time."""
-    held = members.join(mixed, "bucket")
-    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK).cast("bigint"))
-    blocks = held.groupBy("bucket", slot.alias("slot")).agg(F.collect_list(F.struct("rep", "root", "n", "sketch")).alias("block"))
-    lone = held.where("root <> main").select("bucket", F.col("rep").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """Links (u, v) of different components inside groups (z, rep, root, main, total, n, sketch).
+
+    Members outside the main component, in blocks, meet all members of their group, in blocks.
+    """
+    spark = docs.sparkSession
+    wanted = groups.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
+    held = groups.join(texts, "rep")
+    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK).cast("bigint"))
+    gather = lambda rows, name: rows.groupBy("z", slot.alias(f"{name}_slot")).agg(F.collect_list(F.struct("rep", "root", "n", "sketch", "text")).alias(name))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def columns(block) -> tuple:
+            ids, roots, sizes = (np.array([m[c] for m in block], dtype=np.int64) for c in ("rep", "root", "n"))
+            return ids, roots, sizes, np.frombuffer(b"".join(bytes(m["sketch"]) for m in block), dtype=np.uint8).reshape(len(ids), -1)
+
         for b in batches:
             us, vs = [], []
-            for x, xr, xn, xs, block in zip(b["x"], b["xr"], b["xn"], b["xs"], b["block"], strict=True):
-                ids = np.array([m["rep"] for m in block], dtype=np.int64)
-                roots = np.array([m["root"] for m in block], dtype=np.int64)
-                sizes = np.array([m["n"] for m in block], dtype=np.int64)
-                sketch = np.frombuffer(b"".join(bytes(m["sketch"]) for m in block), dtype=np.uint8).reshape(len(ids), -1)
-                near = (sketch == np.frombuffer(xs, dtype=np.uint8)).sum(axis=1) >= least
-                near &= (roots != xr) & (100 * np.minimum(sizes, xn) >= percent * np.maximum(sizes, xn))
-                us += np.minimum(ids[near], x).tolist()
-                vs += np.maximum(ids[near], x).tolist()
+            for left, right in zip(b["left"], b["right"], strict=True):
+                (xi, xr, xn, xs), (yi, yr, yn, ys) = columns(left), columns(right)
+                sets: dict[int, set] = {}
+                for i in range(len(xi)):
+                    near = ((ys == xs[i]).sum(axis=1) >= least) & (yr != xr[i]) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i]))
+                    found = np.flatnonzero(near)
+                    if len(found):
+                        one = shingle_set(left[i]["text"], k)
+                        for j in found:
+                            two = sets.get(j)
+                            if two is None:
+                                two = sets[j] = shingle_set(right[j]["text"], k)
+                            both = len(one & two)
+                            if both and 100 * both >= percent * (len(one) + len(two) - both):
+                                us.append(min(xi[i], yi[j]))
+                                vs.append(max(xi[i], yi[j]))
             yield pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
-    return lone.join(blocks, "bucket").select("x", "xr", "xn", "xs", "block").mapInPandas(compare, "u bigint, v bigint").distinct()
+    tiles = gather(held.where("root <> main"), "left").join(gather(held, "right"), "z").select("left", "right")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks of texts
+    try:
+        return materialize(tiles.mapInPandas(compare, "u bigint, v bigint").distinct(), "links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 11) -> DataFrame:
@@ -268,11 +290,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # one class per set; the smallest id stands for it, and equal sets have equal signatures
     classes = materialize(signed.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys")), "classes")
     buckets = classes.select(F.explode("band_keys").alias("bucket"), "rep")
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top"), F.count("*").alias("members")).where("centre <> _top")
-    members = materialize(buckets.join(shared.select("bucket", "centre", "members"), "bucket").distinct(), "members")
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre <> _top").select("bucket", "centre")
+    members = materialize(buckets.join(shared, "bucket").select("centre", "rep").distinct(), "members")
     light = classes.select("rep", "n", "sketch")
 
-    stars = members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = members.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v"))
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -288,12 +310,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = materialize(confirm(screened, docs, k, percent), "links")
     first = components(links)
 
-    rooted = members.join(first, members["rep"] == first["node"], "left").select("bucket", "rep", "members", F.coalesce("root", "rep").alias("root"))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max("members").alias("members"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("members").alias("members"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    placed = rooted.drop("members").join(light, "rep")
-    rest = _blocks(placed, mixed, percent, least).join(screened, ["u", "v"], "left_anti")
-    more = materialize(confirm(materialize(rest, "rest"), docs, k, percent), "links")
+    groups = members.select(F.col("centre").alias("z"), "rep").union(members.select("centre", "centre")).distinct()
+    rooted = groups.join(first, groups["rep"] == first["node"], "left").select("z", "rep", F.coalesce("root", "rep").alias("root")).join(light, "rep")
+    sizes = rooted.groupBy("z", "root").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    mixed = sizes.groupBy("z").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("total").alias("total"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    more = _links_of_groups(materialize(rooted.join(mixed, "z"), "groups"), docs, k, percent, least)
     final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     reps = classes.select("set_key", F.col("n").alias("_n"), F.col("rep").alias("_rep"))
