@@ -4,8 +4,7 @@
    one key per band, and a key of the whole set. Equal sets form one class, of which
    the smallest doc_id stands for all; copies are never expanded into pairs.
 2. Stars: in each band bucket of several classes the smallest id is the centre, and
-   centre and members are compared. Signatures screen the pairs, then the full sets
-   confirm them. Large-star and small-star turn the links into components.
+   the members whose signatures agree with the centre's are confirmed on full sets. Large-star and small-star turn the links into components.
 3. Rest: the buckets of one centre may still hold a link that the centre is not part of.
    Where a centre's members lie in different components, those outside its largest
    component are compared with all members of other components, block against block with
@@ -39,6 +38,7 @@ from ..sources.tables import discard, materialize
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
+BITS = 1 << 24  # of the filter that is broadcast to find candidates' texts
 BLOCK = 30_000  # shingles of the texts in a block of the third step
 
 
@@ -172,6 +172,25 @@ def _least_agreement(hashes: int, percent: int) -> int:
     return max(0, int(hashes * s - 5 * (hashes * s * (1 - s)) ** 0.5))
 
 
+def marked_by_bits(docs: DataFrame, ids: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """``docs`` with a boolean ``name``: false only where doc_id is surely not among ``ids`` (doc_id).
+
+    One hash bit per id, in ``bits`` / 64 words at most, which is the bound of what is broadcast. With
+    more ids more documents are marked in vain, and only cost their shuffle.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
+    words = ids.select(place("doc_id").alias("_p")).groupBy(F.floor(F.col("_p") / 64).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_b"))
+    placed = docs.withColumn("_p", place("doc_id")).withColumn("_pw", F.floor(F.col("_p") / 64))
+    hit = placed.join(F.broadcast(words), F.col("_pw") == F.col("_w"), "left")
+    return hit.withColumn(name, F.expr("coalesce(shiftright(_b, cast(_p % 64 as int)) & 1L, 0L) = 1L")).drop("_p", "_pw", "_w", "_b")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents among ``ids``; other texts are mostly left out before the shuffle."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return marked_by_bits(rows, ids, "_m").where("_m").drop("_m").join(ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity: 100 * both >= percent * either.
 
@@ -179,7 +198,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     a large group meets its members in several tasks.
     """
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    texts = texts_of(docs, wanted)
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
 
@@ -243,8 +262,8 @@ def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, l
     Members outside the main component, in blocks, meet all members of their group, in blocks.
     """
     spark = docs.sparkSession
-    wanted = groups.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep", "left_semi")
+    wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
+    texts = texts_of(docs, wanted).withColumnRenamed("doc_id", "rep")
     held = groups.join(texts, "rep")
     slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK).cast("bigint"))
     gather = lambda rows, name: rows.groupBy("z", slot.alias(f"{name}_slot")).agg(F.collect_list(F.struct("rep", "root", "n", "sketch", "text")).alias(name))
@@ -286,6 +305,7 @@ def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, l
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 11) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for the documents ``docs`` (doc_id, text)."""
     least = _least_agreement(bands * rows, percent)
+    likely = bands * rows * (percent - 4) // 100  # stars below it are left to the third step
     signed = materialize(signatures(docs, k, bands, rows, seed), "signatures")
     # one class per set; the smallest id stands for it, and equal sets have equal signatures
     classes = materialize(signed.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys")), "classes")
@@ -298,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[_agreeing(b["su"], b["sv"]) >= least, ["u", "v"]]
+            yield b.loc[_agreeing(b["su"], b["sv"]) >= likely, ["u", "v"]]
 
     side = lambda name: light.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
     screened = (
@@ -337,8 +357,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Repeats of one row under one doc_id are copies too: of rows that share a kept doc_id
     one stays, that with the smallest text.
     """
-    keep = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_keep"))
-    held = docs.join(keep, docs["doc_id"].cast("bigint") == keep["_keep"], "left").where("_keep is not null or doc_id is null").drop("_keep")
+    found = materialize(near_duplicates(docs, **options).select(F.col("doc_id"), "kept"), "kept")
+    # documents that surely lost to none stay where they are; the others are looked up
+    marked = marked_by_bits(docs, found.where("not kept"), "_m")
+    lost = found.where("not kept").select(F.col("doc_id").alias("_lost"))
+    held = marked.where("not _m or doc_id is null").unionByName(marked.where("_m and doc_id is not null").join(lost, F.col("doc_id").cast("bigint") == F.col("_lost"), "left_anti")).drop("_m")
     repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
     if repeats.isEmpty():
         return held

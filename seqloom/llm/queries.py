@@ -7,11 +7,30 @@ inputs, parameters and digest columns.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import bpe, mixing, neardup, quality, toxicity
+from ..sources.tables import scratch_path, table
+from . import bpe, chat, fingerprint, flac, mixing, neardup, quality, tokenfiles, toxicity, warc
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and its edited text, and their likeness by peeling."""
+    return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    extra = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))])))
+    return chat.conversation_digests(chat.format_windows(turns.unionByName(extra)))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +58,50 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a FLAC stream of 8-bit samples, decoded again, with features of the samples."""
+    bpe.small_batches(spark, 1024)
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    size = F.octet_length(raw)
+    padded = F.greatest(F.ceil(size / 64) * 64, F.lit(64)).cast("int")
+    payload = F.concat(raw, F.unhex(F.repeat(F.lit("00"), padded - size)))
+    docs = table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("n_bytes")).alias("key"), payload.alias("payload"))
+    media = flac.encode_column(docs, "key", "payload").select("key.doc_id", "key.n_bytes", "media")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stored = [bytes(m) for m in b["media"]]
+            rows = []
+            for m, blocks in zip(stored, flac.decode_streams(stored), strict=True):
+                back = flac.payload_of(blocks)
+                x = np.frombuffer(back, dtype=np.uint8).astype(np.int64) - 128
+                crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+                feature = f"frames={len(blocks)} sum={int(x.sum())} energy={int((x * x).sum())} peak={int(np.abs(x).max())} crossings={crossings}"
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pd.concat([b[["doc_id", "n_bytes"]], pd.DataFrame(rows, columns=names, index=b.index)], axis=1)
+
+    return media.mapInPandas(describe, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    path = scratch_path(spark, "warc")
+    bpe.small_batches(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids in Parquet files ordered by doc_id, read back from them."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    bpe.small_batches(spark)
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, from labels outside fold 0 of 5."""
     bpe.small_batches(spark)
@@ -55,9 +118,14 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_flac": op6_flac,
+    "op7_warc": op7_warc,
+    "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_neardup": op10_neardup,
 }
