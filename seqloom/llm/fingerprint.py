@@ -6,7 +6,8 @@ digests it got, their xor and the xor of their check values. Two versions' sketc
 subtracted cell by cell, so that common digests vanish whatever the texts' length. Peeling
 then recovers what differs: a cell with one digest (count 1 or -1 and a matching check)
 gives that digest, which is taken out of its other cells, and so on, part after part. Pairs
-whose peeling leaves something over are sketched again with four times the cells.
+whose peeling leaves something over are sketched again with four times the cells. (A pair
+whose numbers of paragraphs alone differ by more than the cells hold starts larger.)
 
 Everything is DataFrame functions. A sketch is a table of non-empty cells, and all cells of
 a document stay in its partition: texts are shuffled once, digests once more, and no step of
@@ -55,9 +56,13 @@ def cell_of(digest: Column, part: Column, cells: int) -> Column:
     return (part * width + F.pmod(F.xxhash64(F.lit("cell"), part, digest), F.lit(width))).cast("int")
 
 
-def sketch_cells(digests: DataFrame, keys: list[str], cells: int) -> DataFrame:
-    """(keys, cell, n, x, c) from rows (keys, digest): count, xor of digests, xor of check values."""
-    spread = digests.select(*keys, F.col("digest").alias("x"), F.lit(1).alias("n"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"))
+def sketch_cells(digests: DataFrame, keys: list[str], cells: int, sign: str = "1") -> DataFrame:
+    """(keys, cell, n, x, c) from rows (keys, digest): count, xor of digests, xor of check values.
+
+    A sketch is linear in its digests: with ``sign`` 1 for one version's and -1 for another's
+    rows, the sum is the difference of the two versions' sketches, as ``subtract`` gives it.
+    """
+    spread = digests.select(*keys, F.col("digest").alias("x"), F.expr(sign).alias("n"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"))
     placed = spread.select(*keys, cell_of(F.col("x"), F.col("part"), cells).alias("cell"), "n", "x", check_of(F.col("x")).alias("c"))
     return _add(placed, keys)
 
@@ -72,10 +77,11 @@ def subtract(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return _add(left.unionByName(right.withColumn("n", -F.col("n"))), keys)
 
 
-def peel(difference: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS) -> DataFrame:
+def peel(difference: DataFrame, keys: list[str], cells: int, rounds: int = ROUNDS, digests: bool = True) -> DataFrame:
     """(keys, cell, n, x, c, digest, side): recovered digests, and the cells that are left over.
 
     Recovered rows have side 1 (left only) or -1 (right only); left-over cells have side 0.
+    Without ``digests`` recovered ones are only counted, in ``n``, a row per side.
     A round takes the pure cells of one part; a digest has one cell there, so it is found once.
     """
     width = cells // PARTS
@@ -89,7 +95,7 @@ def peel(difference: DataFrame, keys: list[str], cells: int, rounds: int = ROUND
         found = F.struct(F.lit(-1).alias("cell"), F.col("n").alias("n"), F.col("x").alias("x"), F.col("c").alias("c"), F.col("n").cast("int").alias("side"))
         emitted = state.select(*keys, F.inline(F.when(pure, F.array(found, *others)).otherwise(F.array(same))))
         # recovered digests are kept apart from cells by their own value
-        kept = F.when(F.col("side") == 0, F.lit(0).cast("bigint")).otherwise(F.col("x"))
+        kept = F.when(F.col("side") == 0, F.lit(0).cast("bigint")).otherwise(F.col("x") if digests else F.lit(1).cast("bigint"))
         grouped = emitted.groupBy(*keys, "cell", "side", kept.alias("own")).agg(F.sum("n").cast("bigint").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
         state = grouped.where("side <> 0 or n <> 0 or x <> 0 or c <> 0").drop("own")
     return state.select(*keys, "cell", "n", F.when(F.col("side") == 0, F.col("x")).otherwise(none).alias("x"), "c", F.when(F.col("side") != 0, F.col("x")).alias("digest"), "side")
@@ -108,14 +114,17 @@ def likeness(pairs: DataFrame, keys: list[str], cells: int = CELLS, rounds: int
     """
     spark = pairs.sparkSession
     done, todo = [], materialize(pairs, "pairs")
-    owned = [todo]
+    owned, waiting = [todo], None
     while True:
+        # a difference is at least that of the sizes, and no sketch gives back more digests than cells
+        apart = F.abs(F.size("a") - F.size("b")) > cells
+        todo, waiting = todo.where(~apart), todo.where(apart)
         held = todo.repartition(partitions(spark), keys[0])
         signed = F.concat(_tagged("a", "s", 1), _tagged("b", "s", -1))
         digests = held.select(*keys, F.explode(signed).alias("d"))
-        sketches = sketch_cells(digests.select(*keys, "d.digest", "d.s"), [*keys, "s"], cells)
-        difference = _add(sketches.select(*keys, "cell", (F.col("n") * F.col("s")).alias("n"), "x", "c"), keys)
-        peeled = peel(difference, keys, cells, rounds).groupBy(*keys).agg(F.count_if(F.col("side") == 1).alias("left_only"), F.count_if(F.col("side") == -1).alias("right_only"), F.count_if(F.col("side") == 0).alias("_left"))
+        difference = sketch_cells(digests.select(*keys, "d.digest", "d.s"), keys, cells, "s")
+        counted = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.abs("n"))), F.lit(0))
+        peeled = peel(difference, keys, cells, rounds, digests=False).groupBy(*keys).agg(counted(1).alias("left_only"), counted(-1).alias("right_only"), F.count_if(F.col("side") == 0).alias("_left"))
         sizes = held.select(*keys, F.size("a").cast("bigint").alias("_a"), F.size("b").cast("bigint").alias("_b"))
         # a pair without any difference has no cells; a wrong recovery shows in the sizes
         full = sizes.join(peeled, keys, "left").na.fill(0, ["left_only", "right_only", "_left"])
@@ -124,10 +133,10 @@ def likeness(pairs: DataFrame, keys: list[str], cells: int = CELLS, rounds: int
         result = materialize(full.select(*keys, "left_only", "right_only", F.when(total > 0, shared / total).otherwise(F.lit(1.0)).alias("likeness"), ok.alias("_ok")), "likeness")
         done.append(result.where("_ok").drop("_ok"))
         failed = result.where("not _ok").select(*keys)
-        if failed.isEmpty():
+        again = materialize(todo.join(failed, keys, "left_semi").unionByName(waiting), "pairs")
+        if again.isEmpty():
             break
-        cells *= 4
-        todo = materialize(todo.join(failed, keys, "left_semi"), "pairs")
+        cells, todo = cells * 4, again
         owned.append(todo)
     for t in owned:
         discard(t)
