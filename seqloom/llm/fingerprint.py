@@ -164,7 +164,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, row, doc_id, text, next_text): each document with the next by doc_id, the last with the first.
 
     Texts are dealt out once, by ranges of doc_id. The first text of each range, which the last
-    row of the range before needs, is fetched by its id: as many rows as ranges.
+    row of the range before needs, is fetched by its id and dealt out with that range: as many
+    rows as ranges.
     """
     spark = docs.sparkSession
     n = partitions(spark) * 4
@@ -176,13 +177,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     following = firsts.select("bucket", F.coalesce(F.lead(F.struct("first_id")).over(ring), F.first(F.struct("first_id")).over(ring))["first_id"].alias("first_id"))
     wanted = following.select("first_id").distinct()
     heads = rows.join(F.broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["first_id"])).groupBy("first_id").agg(F.min("text").alias("head"))
-    bounds = following.join(heads, following["first_id"].eqNullSafe(heads["first_id"])).select(F.col("bucket").alias("_b"), "head")
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    # the last row of a range is known by a null lead, as texts are not null
-    placed = rows.repartition(partitions(spark), "bucket").withColumn("row", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order))
-    last = placed.where("_next is null").join(bounds, F.col("bucket") == F.col("_b"))
-    inner = placed.where("_next is not null")
-    return inner.select("bucket", "row", "doc_id", "text", F.col("_next").alias("next_text")).unionByName(last.select("bucket", "row", "doc_id", "text", F.col("head").alias("next_text")))
+    # each range also gets the first text of the next one, after its own rows
+    ends = following.join(heads, following["first_id"].eqNullSafe(heads["first_id"])).select("bucket", F.lit(1).alias("end"), F.lit(None).cast("bigint").alias("doc_id"), F.col("head").alias("text"))
+    order = Window.partitionBy("bucket").orderBy("end", F.col("doc_id").asc_nulls_first(), "text")
+    full = rows.select("bucket", F.lit(0).alias("end"), "doc_id", "text").unionByName(ends).repartition(partitions(spark), "bucket")
+    placed = full.withColumn("row", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    return placed.where("end = 0").select("bucket", "row", "doc_id", "text", "next_text")
 
 
 def edited_text(text: Column, following: Column) -> Column:
