@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import partitions, quantile_bounds, range_bucket
 
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-MEMO = 400_000  # words remembered by a worker
+MEMO = 1_000_000  # words remembered by a worker
 
 
 @lru_cache(maxsize=2)
@@ -64,6 +64,12 @@ class WordEncoder:
         return [b"".join(map(memo.__getitem__, cs)) + end for cs in chunks]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per worker, so that its memory outlives a task."""
+    return WordEncoder(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, files: int | None = None, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
     """Write (doc_id, local_start, n_tokens, ids, part) in ascending doc_id order, a file per range.
 
@@ -77,7 +83,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     dealt = rows.repartitionById(n, bucket.cast("int")).sortWithinPartitions("doc_id", "text")
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = WordEncoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, at, part = _encoder(tokenizer), 0, TaskContext.get().partitionId()
         for b in batches:
             ids = encoder.encode(b.column(1).to_pylist(), end_id)
             counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
