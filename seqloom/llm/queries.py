@@ -130,4 +130,39 @@ QUERIES = {
     "op10_neardup": op10_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Hash orders, learnt scores, sketches and token ids are beyond SQL; tests/llm hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    # the windows of chat.py at a budget of 512 tokens, 128 of history, two earlier turns
+    "op2_chat": r"""
+WITH said AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), counted AS (
+  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]'))::BIGINT AS tokens,
+    22 + 2 * length(role || text) - length(replace(replace(role || text, '\', ''), '<', '')) AS chars
+  FROM said
+), placed AS (
+  SELECT *, row_number() OVER o AS n, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS ends FROM counted WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), spans AS (
+  SELECT *, CASE WHEN tokens > 0 AND greatest(ends - 1, 0) // 384 > (ends - tokens) // 384 THEN 2 * (greatest(ends - 1, 0) // 384) - 1 ELSE 2 * ((ends - tokens) // 384) END AS span FROM placed
+), firsts AS (
+  SELECT *, span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY n) AS new FROM spans
+), again AS (
+  SELECT a.conv_id, a.chars FROM firsts a JOIN firsts b ON b.conv_id = a.conv_id AND b.n IN (a.n + 1, a.n + 2) AND b.new AND (b.ends - b.tokens) - (a.ends - a.tokens) <= 128
+  WHERE NOT (a.n = 1 AND a.role = 'system')
+  UNION ALL
+  SELECT a.conv_id, a.chars FROM firsts a JOIN firsts b ON b.conv_id = a.conv_id AND b.new AND b.n > 1 AND b.span <> a.span WHERE a.n = 1 AND a.role = 'system'
+)
+SELECT f.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(any_value(r.more), 0))::BIGINT AS formatted_chars
+FROM firsts f LEFT JOIN (SELECT conv_id, sum(chars) AS more FROM again GROUP BY conv_id) r ON r.conv_id = f.conv_id
+GROUP BY f.conv_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM m""",
+}
