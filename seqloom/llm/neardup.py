@@ -19,7 +19,8 @@ Defined results
 - null, empty or wordless texts: the empty set, linked with nothing;
 - rows that share a doc_id are one document, linked if any of their texts is; its
   n_shingles is the largest;
-- null doc_id: a document of its own, never linked, always kept;
+- null doc_id: a document that nothing can be linked with; ``near_duplicates`` has no row for
+  it and ``drop_near_duplicates`` keeps it;
 - empty table: empty result; other columns are ignored whatever their names.
 """
 
