@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
             out.append(rows.ravel())
         return pd.Series(out, dtype=object)
 
-    sample = texts.join(picked, texts["doc_id"] == picked["_id"]).select("doc_id", measure("text").alias("x"), "label").limit(2 * max_documents).collect()
+    # the hash keeps ``max_documents`` rows or so, few enough to broadcast, and no text is shuffled
+    sample = texts.join(F.broadcast(picked), texts["doc_id"] == picked["_id"]).select("doc_id", measure("text").alias("x"), "label").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
     model = AttentionBag(seed=seed)
     model.fit([np.array(r["x"], dtype=np.float64).reshape(-1, FEATURES) for r in sample], np.array([r["label"] for r in sample], dtype=float))
