@@ -7,7 +7,8 @@ budget; a budget above the source's size repeats the source whole epochs first.
 Defined results
 - null text or text without words: size 0, nothing taken;
 - null source: a source of its own, after all others;
-- ties of the hash key fall to doc_id, then size; repeated rows are rows of their own;
+- null doc_id: placed by the hash of its text instead of its doc_id;
+- ties of the hash key fall to doc_id, then size, then the text's hash; repeated rows are rows of their own;
 - empty table: empty result; other columns are ignored whatever their names.
 """
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import partitions
+from ..sources.tables import materialize, partitions
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -82,25 +83,28 @@ def _local_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(before=before)
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """Per row of ``docs``: (doc_id, source, size, source_size, target, taken).
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, row: str | None = None) -> DataFrame:
+    """Per row of ``docs``: (doc_id, source, size, source_size, target, taken), and its bigint column ``row`` if named.
 
     ``taken`` counts the words that the mix takes from the document, repeats
     included: epochs whole passes, plus what of the last pass lies before the
     source's budget (the document on the cut is taken in part).
 
-    Only (doc_id, source, size, key) is shuffled, range-sorted by (source, key), so a
+    Only (doc_id, source, size, key, tie, row) is shuffled, range-sorted by (source, key), so a
     source with a third of all rows spreads over a third of the partitions. The
     totals by (source, partition) that turn local sums into global ones are one row
     per source and partition.
     """
     spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
+    tie = F.xxhash64(F.lit(seed), "text") if "text" in docs.columns else F.lit(0).cast("bigint")
+    carried = F.lit(None) if row is None else F.col(row)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), tie.alias("tie"), carried.cast("bigint").alias("_row"))
+    rows = rows.withColumn("key", F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(F.xxhash64(F.lit(seed), "doc_id")))
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("tie")]
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = ranged.mapInPandas(_local_prefix, "doc_id bigint, source string, size bigint, key bigint, part int, before bigint")
+    ranged = ranged.select("doc_id", "source", "size", "_row", "part")
+    local = ranged.mapInPandas(_local_prefix, "doc_id bigint, source string, size bigint, _row bigint, part int, before bigint")
     per_part = local.groupBy("source", "part").agg(F.sum("size").alias("n"))
     shift = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("source", "part", F.coalesce(F.sum("n").over(shift), F.lit(0)).alias("shift"))
@@ -112,7 +116,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = budget - epochs * F.col("source_size")
     part_taken = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - (F.col("before") + F.col("shift"))))
-    return full.select("doc_id", "d.source", "size", "source_size", "target", (epochs * F.col("size") + part_taken).cast("bigint").alias("taken"))
+    own = [] if row is None else [F.col("_row").alias(row)]
+    return full.select("doc_id", "d.source", "size", "source_size", "target", (epochs * F.col("size") + part_taken).cast("bigint").alias("taken"), *own)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -124,13 +129,13 @@ def first_words(text: Column, n: Column) -> Column:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row per whole repeat, and the cut one shortened.
 
-    Rows that share a doc_id are told apart by their number of words; full repeats of one
-    row get the same cut. Documents without words are in no budget and go.
+    The table is written with a number for each row, under which a row finds its own count again:
+    null and repeated doc_ids lose and gain nothing. Documents without words are in no budget and go.
     """
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("_taken"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
-    held = docs.withColumn("_words", word_count(F.col("text")))
-    full = held.join(taken, (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.col("_words") == F.col("_size")))
+    numbered = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "mix-rows")
+    taken = mix(numbered, F.col("_size"), row="_row", **options).where("taken > 0").select("_row", F.col("taken").alias("_taken"))
+    full = numbered.join(taken, "_row")
     copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     full = full.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")

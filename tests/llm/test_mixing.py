@@ -69,6 +69,28 @@ def test_stage(spark):
     assert out.where(F.char_length("text") != F.col("n_chars")).count() == 0
 
 
+def test_stage_keeps_each_row(spark):
+    """Null doc_ids stay, and rows of one doc_id and size keep the counts of their own."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join([f"w{i}"] * rng.choice([3, 3, 50])), rng.choice(["a", "b", "b", "b", None]), i, "x", 0) for i in range(200)]
+    rows += [(None, "same text", "b", i, "x", 0) for i in range(200, 204)] + [(None, None, "a", 204, "x", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    words, out = mixing.word_count(F.col("text")), []
+    for d in (df, df.repartition(7)):
+        got = {r["size"]: r.n for r in mixing.apply_mix(d).groupBy("size").agg(F.sum(words).alias("n")).collect()}
+        want = mixing.mix(d.withColumn("_n", F.col("size").cast("bigint")), row="_n").where("taken > 0").collect()
+        own = {r["_n"]: r.taken for r in want}
+        assert any(r.doc_id is None for r in want)
+        same = lambda of: sorted(n for i, n in of.items() if 200 <= i < 204)
+        assert {i: n for i, n in got.items() if not 200 <= i < 204} == {i: n for i, n in own.items() if not 200 <= i < 204}
+        assert same(got) == same(own)
+        out.append(({i: n for i, n in got.items() if not 200 <= i < 204}, same(got)))
+        for source in ("a", "b", None):
+            of = [r for r in want if r.source == source]
+            assert sum(got.get(i, 0) for i, row in enumerate(rows) if row[2] == source) == int(of[0].target + 0.5)
+    assert out[0] == out[1]
+
+
 def test_first_words(spark):
     df = spark.createDataFrame([("  a b\n\nc  d ",)], "t string")
     assert [df.select(mixing.first_words(F.col("t"), F.lit(n))).first()[0] for n in (1, 2, 3, 4, 9)] == ["  a", "  a b", "  a b\n\nc", "  a b\n\nc  d", "  a b\n\nc  d "]
