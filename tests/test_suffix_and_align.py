@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from seqloom.functions import kernels
 from seqloom.operators import align, suffix
+from seqloom.plans import queries
 
 SEQ = "id bigint, seq string"
 PAIR = "pair_id bigint, seq1 string, seq2 string"
@@ -168,3 +169,25 @@ def test_compare_methods(spark):
     ids = spark.createDataFrame([(2, 8)], "query_id bigint, ref_id bigint")
     none = align.compare_methods(q, r, 4, ids).first()
     assert (none.seed_score, none["count"], none.positions, none.local_score) == (None, 0, [], 0)
+
+
+def test_compare_methods_query_grows(spark):
+    """The query's pairs are passages and documents with twenty common characters; places and small tables by brute force."""
+    sf, k = "/root/testdata/sf0.001", queries.K_SEED
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r.query_id, r.ref_id): r for r in queries.a6_compare_methods(spark, sf).collect()}
+    mers = {i: {t[p : p + k] for p in range(len(t) - k + 1)} for i, t in items.items()}
+    want = set()
+    for d, t in docs.items():
+        own = {t[p : p + k] for p in range(len(t) - k + 1)}
+        want |= {(i, d) for i, m in mers.items() if m & own}
+    assert want and set(got) == want
+    small = sorted(got, key=lambda p: len(items[p[0]]) * len(docs[p[1]]))[:3]
+    for i, d in got:
+        places = [p for p in range(len(docs[d])) if docs[d].startswith(items[i], p)]
+        assert (got[i, d]["count"], got[i, d].positions) == (len(places), ",".join(map(str, places)))
+        assert k <= got[i, d].seed_score <= got[i, d].local_score
+    for i, d in small:
+        assert got[i, d].global_score == table(items[i], docs[d], 1, -1, -1, False)[-1][-1]
+        assert got[i, d].local_score == max(map(max, table(items[i], docs[d], 2, -1, -1, True)))
