@@ -3,11 +3,11 @@
 Encoded stretches are values that join associatively, so a text is encoded by halves.
 
 - Pre-tokens: halves of a text are matched against the pattern on their own. Joining takes
-  the left half's last matches (three characters at least: the pattern never looks further
-  past a match) and as many of the right half's first ones, and matches that window again,
-  with the window growing until one of its new boundaries is a boundary of the right half.
-  From a common boundary on, matching depends on the text that follows only, so all
-  matches outside the window stand.
+  the left half's last matches (``look`` characters at least: how far past a match the
+  pattern can depend on the text, 3 for patterns with contractions like "'re") and as many of
+  the right half's first ones, and matches that window again, with the window growing until
+  one of its new boundaries is a boundary of the right half. From a common boundary on,
+  matching depends on the text that follows only, so all matches outside the window stand.
 - Merges inside a pre-token: halves of its bytes are encoded, and the tokens at the seam
   are encoded again in a window that grows until its first and last tokens stand beside
   their outer neighbours. Two neighbours stand if encoding their joint bytes gives those
@@ -15,7 +15,9 @@ Encoded stretches are values that join associatively, so a text is encoded by ha
   for the first that did would do so in the two tokens' bytes alone; so the sequence is
   what greedy merging gives.
 
-Decoding concatenates the tokens' bytes up the same tree.
+Leaves are at most ``LEAF_CHARS`` characters of a text and ``LEAF_BYTES`` bytes of a pre-token.
+What a worker has found for leaves, pairs of tokens and pre-tokens is remembered, up to a bound,
+for speed alone. Decoding concatenates the tokens' bytes up the same tree.
 
 Defined results
 - null text: as the empty text, no tokens, empty bytes;
@@ -32,14 +34,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 8192  # texts up to this long are matched in one go
-LEAF_BYTES = 24  # pre-tokens up to this long are merged in one go
-LOOK = 3  # characters past a match on which it can depend
-MEMO = 200_000  # pre-tokens remembered by a worker
+LEAF_CHARS = 256  # characters of a text that are matched in one go
+LEAF_BYTES = 4  # bytes of a pre-token that are merged in one go
+LOOK = 3
+MEMO = 1_000_000  # pre-tokens, leaves or pairs remembered by a worker
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,12 +53,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeEncoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, look: int = LOOK) -> None:
+        self.ranks, self.look = ranks, look
         self.token = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.memo: dict[str, np.ndarray] = {}
-        self.stands = lru_cache(maxsize=100_000)(self._stands)
+        self.leaves: dict[bytes, list[int]] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The pre-token of number p has the ids ``self.ids[self.ends[p] : self.ends[p + 1]]``."""
+        self.number: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
 
     # merges
 
@@ -81,39 +91,54 @@ class TreeEncoder:
                 heapq.heappush(heap, (r, p, stop))
         return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _stands(self, a: int, b: int) -> bool:
-        return self.merge(self.token[a] + self.token[b]) == [a, b]
+    def leaf(self, raw: bytes) -> list[int]:
+        got = self.leaves.get(raw)
+        if got is None:
+            if len(self.leaves) >= MEMO:
+                self.leaves.clear()
+            got = self.leaves[raw] = self.merge(raw)
+        return got
+
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of two tokens' joint bytes; they stand if it is they."""
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.merge(self.token[a] + self.token[b])
+        return got
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the joint bytes of two encoded stretches."""
-        w = 1
-        while left and right:
-            middle = self.merge(b"".join(map(self.token.__getitem__, left[-w:] + right[:w])))
-            fits_left = w >= len(left) or self.stands(left[-w - 1], middle[0])
-            fits_right = w >= len(right) or self.stands(middle[-1], right[w])
+        if not left or not right:
+            return left or right
+        w, middle = 1, self.pair(left[-1], right[0])
+        while True:
+            fits_left = w >= len(left) or self.pair(left[-w - 1], middle[0]) == [left[-w - 1], middle[0]]
+            fits_right = w >= len(right) or self.pair(middle[-1], right[w]) == [middle[-1], right[w]]
             if fits_left and fits_right:
                 return left[:-w] + middle + right[w:]
             w *= 2
-        return left + right
+            middle = self.merge(b"".join(map(self.token.__getitem__, left[-w:] + right[:w])))
 
     def stretch(self, raw: bytes) -> list[int]:
         """The encoding of a pre-token's bytes by halves."""
         if len(raw) <= LEAF_BYTES:
-            return self.merge(raw) if raw else []
+            return self.leaf(raw) if raw else []
         half = len(raw) // 2
         return self.join(self.stretch(raw[:half]), self.stretch(raw[half:]))
 
-    def piece(self, text: str) -> np.ndarray:
-        got = self.memo.get(text)
-        if got is None:
-            raw = text.encode("utf-8")
-            whole = self.ranks.get(raw)
-            got = np.array([whole] if whole is not None else self.stretch(raw), dtype=np.int32)
-            if len(text) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[text] = got
-        return got
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of different pre-tokens; those not seen before are encoded."""
+        if len(self.number) + len(pieces) > MEMO:
+            self._forget()
+        new = [p for p in pieces if p not in self.number]
+        if new:
+            got = [self.stretch(p.encode("utf-8")) for p in new]
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.ids = np.concatenate((self.ids, np.array([i for g in got for i in g], dtype=np.int32)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)))
+        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     # pre-tokens
 
@@ -122,7 +147,7 @@ class TreeEncoder:
         if not left or not right:
             return left or right
         keep, length = len(left), 0
-        while keep and length < LOOK:
+        while keep and length < self.look:
             keep -= 1
             length += len(left[keep])
         tail, take = "".join(left[keep:]), 1
@@ -137,7 +162,7 @@ class TreeEncoder:
                 at += len(right[i])
             at = 0
             for j, m in enumerate(matched):
-                if at in edges and at + LOOK <= len(window):
+                if at in edges and at + self.look <= len(window):
                     return left[:keep] + matched[:j] + right[edges[at] :]
                 at += len(m)
             take *= 2
@@ -148,10 +173,19 @@ class TreeEncoder:
         half = len(text) // 2
         return self.seam(self.pieces(text[:half]), self.pieces(text[half:]))
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text: different pre-tokens are encoded, and all gather their ids at once."""
+        pieces = [self.pieces(t) if t else [] for t in texts]
+        each = pa.array([p for ps in pieces for p in ps], type=pa.string()).dictionary_encode()
+        number = self._numbers(each.dictionary.to_numpy(zero_copy_only=False).tolist())[each.indices.to_numpy()]
+        length = self.ends[number + 1] - self.ends[number]
+        stop = np.cumsum(length)
+        ids = self.ids[np.repeat(self.ends[number] - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        upto = np.concatenate(([0], stop))[np.cumsum([0, *map(len, pieces)])]
+        return [ids[lo:hi] for lo, hi in zip(upto[:-1], upto[1:], strict=True)]
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=np.int32)
-        return np.concatenate([self.piece(p) for p in self.pieces(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Token bytes, concatenated up the tree."""
@@ -173,7 +207,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("array<int>")
     def to_ids(texts: pd.Series) -> pd.Series:
         e = encoder(path, pattern)
-        return pd.Series([e.encode(t) for t in texts], dtype=object)
+        return pd.Series(e.encode_all(list(texts)), dtype=object)
 
     return to_ids(text.cast("string"))
 
@@ -195,12 +229,12 @@ def digests(ids: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def to_digests(rows: pd.Series) -> pd.DataFrame:
         e = encoder(path, pattern)
-        out = []
-        for r in rows:
-            r = np.asarray(r)
-            told = " ".join(map(str, r.tolist())).encode()
-            out.append((len(r), hashlib.sha256(told).hexdigest(), hashlib.sha256(e.decode(r)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        each = [np.asarray(r, dtype=np.int32) for r in rows]
+        counts = [len(r) for r in each]
+        told = pa.array(np.concatenate(each) if each else np.empty(0, dtype=np.int32)).cast(pa.string())
+        told = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), told), " ")
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        return pd.DataFrame({"n_tokens": counts, "ids_sha256": [sha(t.as_buffer()) for t in told], "decoded_sha256": [sha(e.decode(r)) for r in each]})
 
     return to_digests(ids)
 
