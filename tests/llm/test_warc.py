@@ -49,12 +49,47 @@ def test_same_files_from_any_partitioning(spark, tmp_path):
 
 
 def test_damage_is_found():
-    raw = warc.record(1, "u", b"payload", None)
+    raw = warc.record(1, "u", b"payload", "s")
     assert warc.parse(raw)["body"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"payload", b"paYload"))
     with pytest.raises(ValueError):
-        list(warc.members(warc.member(raw)[:-5]))
+        list(warc.members([warc.member(raw)[:-5]]))
+
+
+def test_reader_follows_the_manifest(spark, tmp_path):
+    path = tmp_path / "m"
+    manifest = warc.write_warc(spark.createDataFrame(ROWS, PAGES), str(path), roll_bytes=2000)
+    with pytest.raises(FileExistsError):
+        warc.write_warc(spark.createDataFrame(ROWS, PAGES), str(path))
+    (path / "stray.warc.gz").write_bytes(warc.member(warc.record(9, "u", b"x", "s")))
+    assert warc.read_warc(spark, str(path)).count() == len(ROWS)
+    middle = path / manifest[1]["name"]
+    raw = middle.read_bytes()
+    for damaged in (raw + warc.member(warc.record(9, "u", b"x", "s")), b"", None):
+        middle.unlink()
+        if damaged is not None:
+            middle.write_bytes(damaged)
+        with pytest.raises(Exception, match="not the file|No such file|FileNotFound"):
+            warc.read_warc(spark, str(path)).count()
+    (path / "MANIFEST.json").unlink()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        warc.read_warc(spark, str(path)).count()
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "v", "a"), (1, "u", "b"), (None, None, "a"), (None, None, "a"), (2, "w", "a")]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "u"))
+    raw = b"".join((tmp_path / "u" / m["name"]).read_bytes() for m in manifest)
+    found = [warc.parse(r) for r in warc.members([raw])]
+    ids = [f["WARC-Record-ID"] for f in found]
+    assert len(set(ids)) == len(rows)
+    target = next(f["WARC-Record-ID"] for f in found if f.get("Page-ID") == "2")
+    assert {f["WARC-Refers-To"] for f in found if f["WARC-Type"] == "revisit"} == {target}
+
+
+def test_roll_size():
+    assert warc.roll_size(0) == 16 << 20 and warc.roll_size(1 << 40) == 256 << 20 and warc.roll_size(10**14) == 1 << 30
 
 
 def test_empty(spark, tmp_path):
