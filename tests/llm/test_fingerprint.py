@@ -58,14 +58,30 @@ def test_peeling_recovers_digests(spark):
     a, b = list(range(1000, 1300)), list(range(1010, 1305))
     rows = spark.createDataFrame([(1, x, s) for s, xs in ((1, a), (-1, b)) for x in xs], "k int, digest bigint, s int")
     left, right = (fp.sketch_cells(rows.where(F.col("s") == s).select("k", "digest"), ["k"], 96) for s in (1, -1))
-    peeled = fp.peel(fp.subtract(left, right, ["k"]), ["k"], 96).collect()
+    peeled = fp.peel(fp.subtract(left, right, ["k"]), ["k"], 96).where("abs(side) = 1").collect()
     assert {(r.digest, r.side) for r in peeled} == {(x, 1) for x in range(1000, 1010)} | {(x, -1) for x in range(1300, 1305)}
 
 
 def test_too_small_a_sketch_is_retried(spark):
     pairs = spark.createDataFrame([(1, "x", list(range(400)), list(range(300, 900))), (2, "x", [], []), (3, "x", [5], [])], "k int, kind string, a array<bigint>, b array<bigint>")
-    got = {r.k: (r.left_only, r.right_only, r.likeness) for r in fp.likeness(pairs, ["k", "kind"], cells=6).collect()}
-    assert got == {1: (300, 500, pytest.approx(100 / 900)), 2: (0, 0, 1.0), 3: (1, 0, 0.0)}
+    got = {r.k: (sorted(r.left), sorted(r.right), r.likeness) for r in fp.likeness(pairs, ["k", "kind"], cells=96).collect()}
+    assert got == {1: (list(range(300)), list(range(400, 900)), pytest.approx(100 / 900)), 2: ([], [], 1.0), 3: ([5], [], 0.0)}
+
+
+def test_query_recovers_the_differing_digests(spark):
+    rows = corpus()
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    edits = [t[: len(t) - len(t) // 4] + ordered[(n + 1) % len(ordered)][1][: len(t) // 4] for n, (_, t) in enumerate(ordered)]
+    pieces = sorted({p for _, t in ordered for p in paragraphs(t)} | {p for t in edits for p in paragraphs(t)})
+    hashed = {r.p: r.h for r in spark.createDataFrame([(p,) for p in pieces], "p string").select("p", F.xxhash64("p").alias("h")).collect()}
+
+    def told(a, b):
+        a, b = ({hashed[p] for p in paragraphs(t)} for t in (a, b))
+        return hashlib.sha256("|".join(",".join(map(str, sorted(x))) for x in (a - b, b - a)).encode()).hexdigest()
+
+    want = sorted((str(i), told(t, e), told(t, ordered[(n + 1) % len(ordered)][1])) for n, ((i, t), e) in enumerate(zip(ordered, edits, strict=True)))
+    got = fp.edit_fingerprints(spark.createDataFrame([(i, t, "b", 1, 2) for i, t in rows], DOCS)).collect()
+    assert sorted((str(r.doc_id), r.recovered_edited_sha256, r.recovered_next_sha256) for r in got) == want
 
 
 def test_edges(spark):
