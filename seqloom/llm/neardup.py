@@ -1,19 +1,22 @@
 """MinHash near-duplicate detection.
 
-1. Each document's set of word shingles gives ``bands * rows`` universal hash minima,
-   one key per band, and a key of the whole set. Equal sets form one class, of which
+1. Each document's set of word shingles gives ``bands * rows`` universal hash minima and
+   one key per band. Equal word sequences, told by their SHA-256, form one class, of which
    the smallest doc_id stands for all; copies are never expanded into pairs.
 2. Stars: in each band bucket of several classes the smallest id is the centre, and
    the members whose signatures agree with the centre's are confirmed on full sets. Large-star and small-star turn the links into components.
 3. Rest: the buckets of one centre may still hold a link that the centre is not part of.
    Where a centre's members lie in different components, those outside its largest
    component are compared with all members of other components, block against block with
-   their texts, so that a text moves once per centre and not once per pair, and only
+   their texts. A pair of blocks is a task's unit of work, dealt by the hash of all three of
+   (centre, left block, right block), so that no centre decides the longest task, and only
    confirmed links leave a task. Components are then found again.
 After step 3 every two classes that share a bucket are in one component or were compared.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 1.3e-7 at
-0.8 for the default 40 x 5, and the signature screen loses about 3e-7 of such pairs.
+0.8 for the default 40 x 5, and the signature screen loses about 3e-7 of such pairs. Links are
+confirmed on the shingles themselves; n_shingles counts 64-bit hashes and is one too small
+with probability n^2 / 2^65.
 
 Defined results
 - null, empty or wordless texts: the empty set, linked with nothing;
@@ -21,11 +24,13 @@ Defined results
   n_shingles is the largest;
 - null doc_id: a document that nothing can be linked with; ``near_duplicates`` has no row for
   it and ``drop_near_duplicates`` keeps it;
-- empty table: empty result; other columns are ignored whatever their names.
+- empty table: empty result; other columns are ignored whatever their names, and
+  ``drop_near_duplicates`` passes them through.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,13 +39,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, materialize
+from ..sources.tables import discard, materialize, unused
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 BITS = 1 << 24  # of the filter that is broadcast to find candidates' texts
 BLOCK = 30_000  # shingles of the texts in a block of the third step
+SALTS = 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,19 +97,23 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's shingles, sorted, by polynomial sums over its bytes."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words in a text's bytes, A-Z as a-z, by polynomial sums."""
     inside = ~_SEPARATOR[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, dtype=np.uint64)
+        return start, end, np.empty(0, dtype=np.uint64)
     up, down = _POWERS.upto(len(raw))
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_FOLD[raw].astype(np.uint64) + _U(1)) * up, dtype=np.uint64)))
-    word = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    return start, end, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's shingles, sorted."""
+    _, _, word = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
+    if not len(word):
+        return np.empty(0, dtype=np.uint64)
     m = min(k, len(word))
     n = len(word) - m + 1
     shingle = np.zeros(n, dtype=np.uint64)
@@ -114,6 +124,14 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle)
 
 
+def sequence_key(text: str) -> bytes:
+    """SHA-256 of the text's words, A-Z as a-z, with one blank behind each."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)
+    blank = _SEPARATOR[raw]
+    kept = ~blank | (blank & np.concatenate(([False], ~blank[:-1])))
+    return hashlib.sha256(np.where(blank, 0x20, _FOLD[raw])[kept].astype(np.uint8).tobytes()).digest()
+
+
 class MinHasher:
     """``bands * rows`` minima of (a x + b) mod 2^64 >> 32, with random odd a and random b."""
 
@@ -132,30 +150,29 @@ class MinHasher:
         return (least >> _U(32)).astype(np.uint32)
 
     def document(self, text: str | None) -> tuple[int, bytes, bytes, np.ndarray]:
-        """Set size, key of the whole set, a byte per minimum, a key per band."""
+        """Set size, key of the word sequence, a byte per minimum, a key per band."""
         x = shingle_hashes(text, self.k)
         if not len(x):
             return 0, b"", b"", np.empty(0, dtype=np.int64)
         least = self.minima(x)
-        key = np.array([x.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(x + _STEP))], dtype=np.uint64)
         band = self.salt.copy()
         for column in least.reshape(self.bands, self.rows).T:
             band = _mix(band + column.astype(np.uint64) + _STEP)
         sketch = (_mix(least.astype(np.uint64)) & _U(255)).astype(np.uint8)
-        return len(x), key.tobytes(), sketch.tobytes(), band.view(np.int64)
+        return len(x), sequence_key(text), sketch.tobytes(), band.view(np.int64)
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, n, set_key, sketch, band_keys) per row; one narrow pass over the texts."""
+    """(doc_id, n, text_key, sketch, band_keys) per row; one narrow pass over the texts."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = MinHasher(k, bands, rows, seed)
         for b in batches:
             got = [hasher.document(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [g[0] for g in got], "set_key": [g[1] for g in got], "sketch": [g[2] for g in got], "band_keys": [g[3] for g in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [g[0] for g in got], "text_key": [g[1] for g in got], "sketch": [g[2] for g in got], "band_keys": [g[3] for g in got]})
 
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows_in.mapInPandas(sign, "doc_id bigint, n bigint, set_key binary, sketch binary, band_keys array<bigint>")
+    return rows_in.mapInPandas(sign, "doc_id bigint, n bigint, text_key binary, sketch binary, band_keys array<bigint>")
 
 
 def _agreeing(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -179,11 +196,12 @@ def marked_by_bits(docs: DataFrame, ids: DataFrame, name: str, bits: int = BITS)
     One hash bit per id, in ``bits`` / 64 words at most, which is the bound of what is broadcast. With
     more ids more documents are marked in vain, and only cost their shuffle.
     """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
-    words = ids.select(place("doc_id").alias("_p")).groupBy(F.floor(F.col("_p") / 64).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_b"))
-    placed = docs.withColumn("_p", place("doc_id")).withColumn("_pw", F.floor(F.col("_p") / 64))
-    hit = placed.join(F.broadcast(words), F.col("_pw") == F.col("_w"), "left")
-    return hit.withColumn(name, F.expr("coalesce(shiftright(_b, cast(_p % 64 as int)) & 1L, 0L) = 1L")).drop("_p", "_pw", "_w", "_b")
+    p, w, b = (unused(docs, c) for c in ("p", "w", "b"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(bits))
+    words = ids.select(place.alias(p)).groupBy(F.floor(F.col(p) / 64).alias(w)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({p} % 64 as int))")).alias(b))
+    hit = docs.join(F.broadcast(words), F.floor(place / 64) == F.col(w), "left")
+    bit = F.col(b).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")))
+    return hit.withColumn(name, F.coalesce(bit != 0, F.lit(False))).drop(w, b)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -258,16 +276,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Links (u, v) of different components inside groups (z, rep, root, main, total, n, sketch).
+    """Links (u, v) of different components inside groups (z, rep, root, main, total, outside, n, sketch).
 
-    Members outside the main component, in blocks, meet all members of their group, in blocks.
+    Members outside the main component, in blocks, meet all members of their group, in blocks. A member
+    goes to every pair of blocks that its own is part of.
     """
     spark = docs.sparkSession
     wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
     texts = texts_of(docs, wanted).withColumnRenamed("doc_id", "rep")
-    held = groups.join(texts, "rep")
-    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK).cast("bigint"))
-    gather = lambda rows, name: rows.groupBy("z", slot.alias(f"{name}_slot")).agg(F.collect_list(F.struct("rep", "root", "n", "sketch", "text")).alias(name))
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    slot = lambda size: F.pmod(F.xxhash64("rep"), blocks(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), blocks(size) - 1))
+    own = ["z", "rep", "root", "n", "sketch"]
+    left = groups.where("root <> main").select(*own, F.lit(True).alias("first"), slot("outside").alias("i"), every("total").alias("j"))
+    right = groups.select(*own, F.lit(False).alias("first"), slot("total").alias("j"), every("outside").alias("i"))
+    held = left.unionByName(right).join(texts, "rep")
+    member = F.struct("rep", "root", "n", "sketch", "text")
+    tiles = held.groupBy("z", "i", "j").agg(F.collect_list(F.when(F.col("first"), member)).alias("left"), F.collect_list(F.when(~F.col("first"), member)).alias("right")).select("left", "right")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def columns(block) -> tuple:
@@ -277,6 +302,8 @@ def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, l
         for b in batches:
             us, vs = [], []
             for left, right in zip(b["left"], b["right"], strict=True):
+                if not len(left) or not len(right):
+                    continue
                 (xi, xr, xn, xs), (yi, yr, yn, ys) = columns(left), columns(right)
                 sets: dict[int, set] = {}
                 for i in range(len(xi)):
@@ -294,7 +321,6 @@ def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, l
                                 vs.append(max(xi[i], yi[j]))
             yield pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
-    tiles = gather(held.where("root <> main"), "left").join(gather(held, "right"), "z").select("left", "right")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks of texts
     try:
@@ -309,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     likely = bands * rows * (percent - 4) // 100  # stars below it are left to the third step
     signed = materialize(signatures(docs, k, bands, rows, seed), "signatures")
     # one class per set; the smallest id stands for it, and equal sets have equal signatures
-    classes = materialize(signed.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys")), "classes")
+    classes = materialize(signed.where("n > 0").groupBy("text_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys")), "classes")
     buckets = classes.select(F.explode("band_keys").alias("bucket"), "rep")
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre <> _top").select("bucket", "centre")
     members = materialize(buckets.join(shared, "bucket").select("centre", "rep").distinct(), "members")
@@ -334,12 +360,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     groups = members.select(F.col("centre").alias("z"), "rep").union(members.select("centre", "centre")).distinct()
     rooted = groups.join(first, groups["rep"] == first["node"], "left").select("z", "rep", F.coalesce("root", "rep").alias("root")).join(light, "rep")
     sizes = rooted.groupBy("z", "root").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
-    mixed = sizes.groupBy("z").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("total").alias("total"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    more = _links_of_groups(materialize(rooted.join(mixed, "z"), "groups"), docs, k, percent, least)
+    mixed = sizes.groupBy("z").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("total").alias("total"), F.max(F.struct("c", "root", "total"))["total"].alias("inside"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("z", "main", "total", (F.col("total") - F.col("inside")).alias("outside"))
+    # a centre's members meet its facts in SALTS tasks
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")
+    facts = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = materialize(rooted.select("*", salt).join(facts, ["z", "salt"]).drop("salt"), "groups")
+    more = _links_of_groups(held, docs, k, percent, least)
     final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
-    reps = classes.select("set_key", F.col("n").alias("_n"), F.col("rep").alias("_rep"))
-    named = signed.select("doc_id", "n", "set_key").join(reps, (signed["set_key"] == reps["set_key"]) & (signed["n"] == reps["_n"]), "left").drop(reps["set_key"])
+    reps = classes.select("text_key", F.col("n").alias("_n"), F.col("rep").alias("_rep"))
+    named = signed.select("doc_id", "n", "text_key").join(reps, (signed["text_key"] == reps["text_key"]) & (signed["n"] == reps["_n"]), "left").drop(reps["text_key"])
     named = named.join(final, named["_rep"] == final["node"], "left")
     out = named.select("doc_id", "n", F.coalesce("root", "_rep", "doc_id").alias("root"))
     # a document whose rows have several texts joins all their classes
@@ -359,12 +390,14 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     one stays, that with the smallest text.
     """
     found = materialize(near_duplicates(docs, **options).select(F.col("doc_id"), "kept"), "kept")
+    m, lost_id, nth = (unused(docs, c) for c in ("m", "lost", "nth"))
     # documents that surely lost to none stay where they are; the others are looked up
-    marked = marked_by_bits(docs, found.where("not kept"), "_m")
-    lost = found.where("not kept").select(F.col("doc_id").alias("_lost"))
-    held = marked.where("not _m or doc_id is null").unionByName(marked.where("_m and doc_id is not null").join(lost, F.col("doc_id").cast("bigint") == F.col("_lost"), "left_anti")).drop("_m")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
+    marked = marked_by_bits(docs, found.where("not kept"), m)
+    lost = found.where("not kept").select(F.col("doc_id").alias(lost_id))
+    sure = ~F.col(m) | F.col("doc_id").isNull()
+    held = marked.where(sure).unionByName(marked.where(~sure).join(lost, F.col("doc_id").cast("bigint") == F.col(lost_id), "left_anti")).drop(m)
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(nth)).where(F.col(nth) > 1).limit(1)
     if repeats.isEmpty():
         return held
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return held.withColumn("_nth", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where("_nth = 1").drop("_nth")
+    return held.withColumn(nth, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where(F.col(nth) == 1).drop(nth)
