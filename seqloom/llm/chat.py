@@ -1,15 +1,17 @@
 """Chat formatting in budgeted windows, with a loss mask.
 
 A turn is written as ``<turn role="R">text</turn>`` and a new line. In roles and texts a
-backslash becomes two and ``<`` becomes ``\\l``, so that no text can hold a control string,
-and both are undone on reading.
-
-Prefix sums of turn tokens along a conversation choose its windows: turns whose sum ends in
-the same stretch of ``budget - history`` tokens share a window, and a turn that crosses the
-end of a stretch has one of its own, so that no window's new turns exceed a stretch unless
-one turn does. A window starts with the conversation's system turn, if there is one, and up
-to ``history_turns`` turns before its own that fit in ``history`` tokens. Those repeats are
-outside the loss mask; each assistant turn's text is under it once, where it is new.
+backslash becomes two and ``<`` becomes ``\\l``, in roles also ``"`` becomes ``\\q``, so that neither can
+hold a control string, and all is undone on reading.
+
+A turn costs the words and marks of its role and text and those of its tags. Prefix sums of the
+costs along a conversation choose its windows: turns whose sum ends in the same stretch of
+``budget - history`` less the system turn's cost share a window, and a turn that crosses the end
+of a stretch has one of its own. A window starts with the conversation's system turn, if there is
+one, and up to ``history_turns`` turns before its own that fit in ``history`` (in the window of one
+turn: in what it leaves of the budget, if that is less). So no window costs more than the budget
+unless its only new turn and the system turn do. Repeats are outside the loss mask; each assistant
+turn's text is under it once, where it is new.
 
 Window functions and a grouping by (conversation, window) do the work; a window holds at
 most the budget and one turn, however long the conversation.
@@ -26,15 +28,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = '<turn role="', '">', "</turn>\n"
+TAGS = 11  # words and marks of a turn's tags
 
 
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit('"'), F.lit("\\q"))
+
+
 def unescape(text: Column) -> Column:
     # an escaped backslash is found left to right, so what is left of "\l" is an escaped "<"
-    return F.array_join(F.transform(F.split(text, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
+    undone = lambda p: F.replace(F.replace(p, F.lit("\\l"), F.lit("<")), F.lit("\\q"), F.lit('"'))
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), undone), "\\")
 
 
 def token_count(text: Column) -> Column:
@@ -51,21 +59,23 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128, hist
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", token_count(F.col("text")))
-    stretch = max(1, budget - history)
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("ends", F.sum("tokens").over(upto))
-    first, last = F.floor((F.col("ends") - F.col("tokens")) / stretch), F.floor(F.greatest(F.col("ends") - 1, F.lit(0)) / stretch)
-    crossing = (last > first) & (F.col("tokens") > 0)
+    rows = rows.withColumn("cost", TAGS + token_count(F.col("role")) + token_count(F.col("text"))).withColumn("n", F.row_number().over(order))
+    head = (F.col("n") == 1) & (F.col("role") == "system")
+    rows = rows.withColumn("head", head).withColumn("ends", F.sum("cost").over(upto)).withColumn("system", F.first(F.when(head, F.col("cost")).otherwise(F.lit(0))).over(upto))
+    stretch = F.greatest(F.lit(1), budget - history - F.col("system"))
+    first, last = F.floor((F.col("ends") - F.col("cost")) / stretch), F.floor((F.col("ends") - 1) / stretch)
+    crossing = last > first
+    alone = F.greatest(F.lit(0), F.least(F.lit(history), budget - F.col("system") - F.col("cost")))
+    rows = rows.withColumn("history", F.when(crossing, alone).otherwise(F.lit(history)))
     # whole stretches have even numbers, the turns that cross from one to the next odd ones
     rows = rows.withColumn("span", F.when(crossing, 2 * last - 1).otherwise(2 * first))
     rows = rows.withColumn("new", ~F.lag("span").over(order).eqNullSafe(F.col("span")))
     # the j-th turn after this one repeats it if a window starts there and the turns between fit
     repeats = []
     for j in range(1, history_turns + 1):
-        fits = F.lead("ends", j).over(order) - F.lead("tokens", j).over(order) - (F.col("ends") - F.col("tokens")) <= history
+        fits = F.lead("ends", j).over(order) - F.lead("cost", j).over(order) - (F.col("ends") - F.col("cost")) <= F.lead("history", j).over(order)
         repeats.append(F.when(F.lead("new", j).over(order) & fits, F.lead("span", j).over(order)))
-    head = (F.col("n") == 1) & (F.col("role") == "system")
-    rows = rows.withColumn("again", F.array_compact(F.array(*repeats))).withColumn("head", head)
+    rows = rows.withColumn("again", F.array_compact(F.array(*repeats)))
     # the system turn goes to each window that starts after it, in its own row per window
     starts = rows.where("new and n > 1").select(F.col("conv_id").alias("_c"), F.col("span").alias("_s"))
     system = rows.where("head").select("conv_id", "n", "role", "text", F.lit(True).alias("repeat"), F.col("span").alias("_own"))
@@ -73,7 +83,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128, hist
     own = rows.select("conv_id", F.col("span").alias("window"), "n", "role", "text", F.lit(False).alias("repeat"))
     past = rows.where("not head").select("conv_id", F.explode("again").alias("window"), "n", "role", "text", F.lit(True).alias("repeat"))
     grouped = own.unionByName(past).unionByName(system).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text", "repeat"))).alias("turns"))
-    lead = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE))
+    lead = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(MIDDLE))
     shaped = grouped.withColumn("shaped", F.transform("turns", lambda t: F.struct(lead(t).alias("lead"), escape(t["text"]).alias("text"), ((t["role"] == "assistant") & ~t["repeat"]).alias("counts"))))
 
     def place(state: Column, t: Column) -> Column:

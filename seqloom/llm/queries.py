@@ -138,17 +138,22 @@ WITH said AS (
   SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), counted AS (
-  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]'))::BIGINT AS tokens,
-    22 + 2 * length(role || text) - length(replace(replace(role || text, '\', ''), '<', '')) AS chars
+  SELECT *, (11 + len(regexp_extract_all(role, '\w+|[^\w\s]')) + len(regexp_extract_all(text, '\w+|[^\w\s]')))::BIGINT AS cost,
+    22 + 2 * length(role || text) - length(replace(replace(role || text, '\', ''), '<', '')) + length(role) - length(replace(role, '"', '')) AS chars
   FROM said
+), numbered AS (
+  SELECT *, row_number() OVER o AS n, sum(cost) OVER (o ROWS UNBOUNDED PRECEDING) AS ends FROM counted WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), placed AS (
-  SELECT *, row_number() OVER o AS n, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS ends FROM counted WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  SELECT *, max(CASE WHEN n = 1 AND role = 'system' THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM numbered
+), lengths AS (
+  SELECT *, greatest(1, 512 - 128 - system) AS stretch FROM placed
 ), spans AS (
-  SELECT *, CASE WHEN tokens > 0 AND greatest(ends - 1, 0) // 384 > (ends - tokens) // 384 THEN 2 * (greatest(ends - 1, 0) // 384) - 1 ELSE 2 * ((ends - tokens) // 384) END AS span FROM placed
+  SELECT *, CASE WHEN (ends - 1) // stretch > (ends - cost) // stretch THEN 2 * ((ends - 1) // stretch) - 1 ELSE 2 * ((ends - cost) // stretch) END AS span,
+    CASE WHEN (ends - 1) // stretch > (ends - cost) // stretch THEN greatest(0, least(128, 512 - system - cost)) ELSE 128 END AS history FROM lengths
 ), firsts AS (
   SELECT *, span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY n) AS new FROM spans
 ), again AS (
-  SELECT a.conv_id, a.chars FROM firsts a JOIN firsts b ON b.conv_id = a.conv_id AND b.n IN (a.n + 1, a.n + 2) AND b.new AND (b.ends - b.tokens) - (a.ends - a.tokens) <= 128
+  SELECT a.conv_id, a.chars FROM firsts a JOIN firsts b ON b.conv_id = a.conv_id AND b.n IN (a.n + 1, a.n + 2) AND b.new AND (b.ends - b.cost) - (a.ends - a.cost) <= b.history
   WHERE NOT (a.n = 1 AND a.role = 'system')
   UNION ALL
   SELECT a.conv_id, a.chars FROM firsts a JOIN firsts b ON b.conv_id = a.conv_id AND b.new AND b.n > 1 AND b.span <> a.span WHERE a.n = 1 AND a.role = 'system'

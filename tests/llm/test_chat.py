@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 from seqloom.llm import chat
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, window string, n int"
@@ -38,18 +40,32 @@ def test_read_back(spark, budget, history, turns):
     assert got == expected(rows)
 
 
-def test_windows_keep_to_the_budget(spark):
-    rows = [(1, 0, "system", "be kind", "w", 1)] + [(1, t, ["user", "assistant"][t % 2], "w " * (3 + t % 4), "w", 1) for t in range(1, 40)]
-    windows = chat.format_windows(spark.createDataFrame(rows, TURNS), 30, 10, 2).orderBy("window").collect()
+def cost(role, text):
+    return chat.TAGS + sum(len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]", x)) for x in (role, text))
+
+
+@pytest.mark.parametrize("budget,history,system", [(120, 40, 2), (512, 128, 200), (512, 128, 0), (512, 128, 450)])
+def test_windows_keep_to_the_budget(spark, budget, history, system):
+    rng = random.Random(7)
+    rows = [(1, 0, "system", "s " * system, "w", 1)] * bool(system) + [(1, t, ["user", "assistant"][t % 2], "w " * rng.choice([3, 9, budget // 5, budget // 2, budget]), "w", 1) for t in range(1, 60)]
+    windows = chat.format_windows(spark.createDataFrame(rows, TURNS), budget, history, 2).orderBy("window")
+    windows = [(w, [(t.role, t.text) for t in r.turns]) for w, r in zip(windows.collect(), chat.read_windows(windows.withColumn("n_repeated", F.lit(0))).orderBy("window").collect(), strict=True)]
     assert len(windows) > 4
-    for w in windows:
-        assert w.formatted.startswith('<turn role="system">be kind</turn>\n')
-        assert w.formatted.count("w ") <= 30
-        assert len(w.loss) == w.formatted.count("assistant") - sum("assistant" in x for x in w.formatted.split("</turn>\n")[: w.n_repeated])
-    assert any(w.n_repeated > 1 for w in windows)
-    counted = "".join(w.formatted[s.start : s.start + s.length] for w in windows for s in w.loss)
+    for w, turns in windows:
+        total, new = sum(cost(*t) for t in turns), turns[w.n_repeated :]
+        head = cost("system", "s " * system) if system else 0
+        assert total <= budget or (len(new) == 1 and head + cost(*new[0]) > budget and w.n_repeated <= bool(system))
+        assert not system or turns[0] == ("system", "s " * system)
+    assert any(w.n_repeated > 1 for w, _ in windows) or system == 450
+    counted = "".join(w.formatted[s.start : s.start + s.length] for w, _ in windows for s in w.loss)
     assert counted == "".join(r[3] for r in rows if r[2] == "assistant")
 
 
+def test_roles_hold_no_control_strings(spark):
+    rows = [(1, i, role, "hello \\q", "w", 1) for i, role in enumerate(['x">y', '"', "\\q", '\\"<', "assistant"])]
+    read = chat.read_windows(chat.format_windows(spark.createDataFrame(rows, TURNS))).first()
+    assert [(t.role, t.text) for t in read.turns] == [(r[2], r[3]) for r in rows]
+
+
 def test_empty(spark):
     assert chat.conversation_digests(chat.format_windows(spark.createDataFrame([], TURNS))).count() == 0
