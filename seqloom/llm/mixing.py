@@ -9,7 +9,8 @@ Defined results
 - null source: a source of its own, after all others;
 - null doc_id: placed by the hash of its text instead of its doc_id;
 - ties of the hash key fall to doc_id, then size, then the text's hash; repeated rows are rows of their own;
-- empty table: empty result; other columns are ignored whatever their names.
+- empty table: empty result; other columns are ignored by ``mix`` and pass through ``apply_mix``, whatever
+  their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize, partitions
+from ..sources.tables import discard, materialize, partitions, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -83,28 +84,25 @@ def _local_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(before=before)
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, row: str | None = None) -> DataFrame:
-    """Per row of ``docs``: (doc_id, source, size, source_size, target, taken), and its bigint column ``row`` if named.
+def _order_columns(docs: DataFrame, size: Column, seed: int) -> dict[str, Column]:
+    """What places a row in its source's order, by name: key, doc_id, size and the text's hash."""
+    tie = F.xxhash64(F.lit(seed), "text") if "text" in docs.columns else F.lit(0).cast("bigint")
+    doc_id = F.col("doc_id").cast("bigint")
+    return {"key": F.when(doc_id.isNull(), tie).otherwise(F.xxhash64(F.lit(seed), doc_id)), "doc_id": doc_id, "size": size, "tie": tie}
 
-    ``taken`` counts the words that the mix takes from the document, repeats
-    included: epochs whole passes, plus what of the last pass lies before the
-    source's budget (the document on the cut is taken in part).
 
-    Only (doc_id, source, size, key, tie, row) is shuffled, range-sorted by (source, key), so a
-    source with a third of all rows spreads over a third of the partitions. The
-    totals by (source, partition) that turn local sums into global ones are one row
-    per source and partition.
+def _placed(docs: DataFrame, size: Column, weights: tuple[float, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """Per row of ``docs``: (source, key, doc_id, size, tie, before, source_size, target, epochs, rest).
+
+    ``before`` counts the source's words that come before the row; the mix takes ``epochs`` whole
+    passes of a source and the first ``rest`` words of another.
     """
     spark = docs.sparkSession
-    size = word_count(F.col("text")) if size is None else size
-    tie = F.xxhash64(F.lit(seed), "text") if "text" in docs.columns else F.lit(0).cast("bigint")
-    carried = F.lit(None) if row is None else F.col(row)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), tie.alias("tie"), carried.cast("bigint").alias("_row"))
-    rows = rows.withColumn("key", F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(F.xxhash64(F.lit(seed), "doc_id")))
+    light = materialize(docs.select(F.col("source").cast("string").alias("source"), *[c.alias(n) for n, c in _order_columns(docs, size, seed).items()]), "mix-rows")
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("tie")]
-    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    ranged = ranged.select("doc_id", "source", "size", "_row", "part")
-    local = ranged.mapInPandas(_local_prefix, "doc_id bigint, source string, size bigint, _row bigint, part int, before bigint")
+    ranged = light.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    local = materialize(ranged.mapInPandas(_local_prefix, "source string, key bigint, doc_id bigint, size bigint, tie bigint, part int, before bigint"), "mix-order")
+    discard(light)
     per_part = local.groupBy("source", "part").agg(F.sum("size").alias("n"))
     shift = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("source", "part", F.coalesce(F.sum("n").over(shift), F.lit(0)).alias("shift"))
@@ -114,10 +112,29 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     full = local.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.source and d.part = f.part"))
     budget = F.round("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    rest = budget - epochs * F.col("source_size")
-    part_taken = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - (F.col("before") + F.col("shift"))))
-    own = [] if row is None else [F.col("_row").alias(row)]
-    return full.select("doc_id", "d.source", "size", "source_size", "target", (epochs * F.col("size") + part_taken).cast("bigint").alias("taken"), *own)
+    return full.select("d.source", "key", "doc_id", "size", "tie", (F.col("before") + F.col("shift")).alias("before"), "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
+
+
+def _within(size: Column, words: Column) -> Column:
+    """What of ``words`` a row of ``size`` words takes."""
+    return F.greatest(F.lit(0).cast("bigint"), F.least(size, words))
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """Per row of ``docs``: (doc_id, source, size, source_size, target, taken).
+
+    ``taken`` counts the words that the mix takes from the document, repeats
+    included: epochs whole passes, plus what of the last pass lies before the
+    source's budget (the document on the cut is taken in part).
+
+    Only (source, key, doc_id, size, tie) is shuffled, range-sorted by (source, key), so a
+    source with a third of all rows spreads over a third of the partitions. The
+    totals by (source, partition) that turn local sums into global ones are one row
+    per source and partition.
+    """
+    placed = _placed(docs, word_count(F.col("text")) if size is None else size, weights, share, max_epochs, seed)
+    taken = F.col("epochs") * F.col("size") + _within(F.col("size"), F.col("rest") - F.col("before"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -126,27 +143,52 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), F.greatest(n.cast("int"), F.lit(0))), "")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row per whole repeat, and the cut one shortened.
 
-    The table is written with a number for each row, under which a row finds its own count again:
-    null and repeated doc_ids lose and gain nothing. Documents without words are in no budget and go.
+    A row per source says how many epochs it has, which place in the order the cut has and how many
+    words are left there, so that each document is decided where it is and no text is shuffled. Rows
+    that share the place of a cut in all of key, doc_id, size and text are numbered and take the
+    rest in turn. Documents without words are in no budget and go.
     """
-    numbered = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "mix-rows")
-    taken = mix(numbered, F.col("_size"), row="_row", **options).where("taken > 0").select("_row", F.col("taken").alias("_taken"))
-    full = numbered.join(taken, "_row")
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    full = full.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.when(left < F.col("_size"), first_words(F.col("text"), left)).otherwise(F.col("text"))
-    full = full.withColumn("_text", cut)
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.char_length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(c))
-    return full.select(*columns)
+    size = word_count(F.col("text"))
+    columns = _order_columns(docs, size, seed)
+    placed = materialize(_placed(docs, size, weights, share, max_epochs, seed), "mix-placed")
+    place = F.struct(*columns)
+    cut = placed.where("size > 0 and before < rest and before + size >= rest").select(F.col("source").alias("s"), place.alias("at"))
+    alike = placed.join(cut, placed["source"].eqNullSafe(cut["s"])).where(place == F.col("at"))
+    alike = alike.groupBy("s", "at").agg(F.count("*").alias("rows"), F.min("before").alias("start"))
+    sources = placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
+    mixed, src, own, words, copy = (unused(docs, n) for n in ("mixed", "mixed_source", "mixed_place", "mixed_words", "mixed_copy"))
+    facts = sources.join(alike, sources["source"].eqNullSafe(alike["s"]), "left")
+    facts = materialize(facts.select(F.col("source").alias(src), F.struct("epochs", "at", F.coalesce("rows", F.lit(0)).alias("rows"), (F.col("rest") - F.col("start")).alias("left")).alias(mixed)), "mix-cuts")
+    # a row per source, which Spark broadcasts if its files are small
+    held = docs.join(facts, F.col("source").cast("string").eqNullSafe(F.col(src))).withColumn(own, F.struct(*[c.alias(n) for n, c in columns.items()]))
+    fact, n = F.col(mixed), F.col(own)["size"]
+    on_cut = F.coalesce(F.col(own) == fact["at"], F.lit(False))
+    before_cut = F.coalesce(F.col(own) < fact["at"], F.lit(False))
+    part = F.when(before_cut, n).when(on_cut, _within(n, fact["left"])).otherwise(F.lit(0))
+    shared = on_cut & (fact["rows"] > 1)
+    taken = held.where(~shared).withColumn(words, fact["epochs"] * n + part)
+    if not facts.where(F.col(mixed)["rows"] > 1).isEmpty():
+        taken = taken.unionByName(_in_turn(held.where(shared), src, mixed, own, words))
+    copies = F.ceil(F.col(words) / n).cast("int")
+    full = taken.where(F.col(words) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    left = F.col(words) - (F.col(copy) - 1) * n
+    text = F.when(left < n, first_words(F.col("text"), left)).otherwise(F.col("text"))
+    made = {"text": text, "n_chars": F.char_length(text)}
+    return full.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(c) for c in docs.columns])
+
+
+def _in_turn(tied: DataFrame, src: str, mixed: str, own: str, words: str) -> DataFrame:
+    """Rows on their source's cut with the words that each takes, in the order of a number that is written with them."""
+    number, part, turn, ahead = (unused(tied, n) for n in ("number", "part", "turn", "ahead"))
+    rows = materialize(tied.withColumn(number, F.monotonically_increasing_id()), "mix-ties")
+    rows = rows.withColumn(part, F.shiftright(number, 33))  # the number's task
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(src, part).orderBy(number)) - 1)
+    counts = rows.groupBy(F.col(src).alias("s"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("s", "p", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(ahead))
+    full = rows.join(counts, F.col(src).eqNullSafe(F.col("s")) & (F.col(part) == F.col("p")))
+    n, fact = F.col(own)["size"], F.col(mixed)
+    return full.withColumn(words, fact["epochs"] * n + _within(n, fact["left"] - (F.col(ahead) + F.col(turn)) * n)).drop(number, part, turn, ahead, "s", "p")

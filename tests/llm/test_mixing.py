@@ -69,26 +69,45 @@ def test_stage(spark):
     assert out.where(F.char_length("text") != F.col("n_chars")).count() == 0
 
 
-def test_stage_keeps_each_row(spark):
-    """Null doc_ids stay, and rows of one doc_id and size keep the counts of their own."""
+def brute_force(df):
+    """The words that each row takes by the plain rule, in the order of the rows' hashes."""
+    size, sizes, rows = mixing.word_count(F.col("text")), {}, []
+    for r in df.select("*", *[c.alias(f"_{n}") for n, c in mixing._order_columns(df, size, 17).items()]).collect():
+        rows.append(r)
+        sizes[r.source] = sizes.get(r.source, 0) + r["_size"]
+    want, before, taken = targets(sizes), {}, []
+    for r in sorted(rows, key=lambda r: (r["_key"], r["_doc_id"] is not None, r["_doc_id"] or 0, r["_size"], r["_tie"])):
+        at = before.setdefault(r.source, 0)
+        before[r.source] += r["_size"]
+        epochs, rest = divmod(int(want[r.source] + want[r.source].__class__(1) / 2), sizes[r.source]) if sizes[r.source] else (0, 0)
+        taken.append((r, epochs * r["_size"] + max(0, min(r["_size"], rest - at))))
+    return taken
+
+
+def rows_with_repeats():
+    """Null doc_ids, rows of one doc_id and size, and rows that are alike in all that orders them."""
     rng = random.Random(3)
     rows = [(rng.choice([None, 1, 2, i]), " ".join([f"w{i}"] * rng.choice([3, 3, 50])), rng.choice(["a", "b", "b", "b", None]), i, "x", 0) for i in range(200)]
-    rows += [(None, "same text", "b", i, "x", 0) for i in range(200, 204)] + [(None, None, "a", 204, "x", 0)]
+    return rows + [(None, "same text", "b", i, "x", 0) for i in range(200, 204)] + [(None, None, "a", 204, "x", 0)] + [(5, "one two three four five", "c", i, "x", 0) for i in range(205, 265)]
+
+
+def test_taken_by_the_plain_rule(spark):
+    for rows in (rows_with_repeats(), corpus()):
+        df = spark.createDataFrame(rows, DOCS)
+        got = sorted(((r.doc_id, r.source, r["size"], r.taken) for r in mixing.mix(df).collect()), key=str)
+        assert got == sorted(((r.doc_id, r.source, r["_size"], n) for r, n in brute_force(df)), key=str)
+
+
+def test_stage_keeps_each_row(spark):
+    rows = rows_with_repeats()
     df = spark.createDataFrame(rows, DOCS)
-    words, out = mixing.word_count(F.col("text")), []
+    alike = lambda i: "same" if 200 <= i < 204 else "cut" if i >= 205 else i
+    want = sorted(((alike(r["size"]), n) for r, n in brute_force(df) if n), key=str)
+    assert any(k == "cut" and 0 < n % 5 for k, n in want) or sum(k == "cut" for k, n in want) < 60
     for d in (df, df.repartition(7)):
-        got = {r["size"]: r.n for r in mixing.apply_mix(d).groupBy("size").agg(F.sum(words).alias("n")).collect()}
-        want = mixing.mix(d.withColumn("_n", F.col("size").cast("bigint")), row="_n").where("taken > 0").collect()
-        own = {r["_n"]: r.taken for r in want}
-        assert any(r.doc_id is None for r in want)
-        same = lambda of: sorted(n for i, n in of.items() if 200 <= i < 204)
-        assert {i: n for i, n in got.items() if not 200 <= i < 204} == {i: n for i, n in own.items() if not 200 <= i < 204}
-        assert same(got) == same(own)
-        out.append(({i: n for i, n in got.items() if not 200 <= i < 204}, same(got)))
-        for source in ("a", "b", None):
-            of = [r for r in want if r.source == source]
-            assert sum(got.get(i, 0) for i, row in enumerate(rows) if row[2] == source) == int(of[0].target + 0.5)
-    assert out[0] == out[1]
+        words = mixing.word_count(F.col("text"))
+        got = mixing.apply_mix(d).groupBy("size").agg(F.sum(words).alias("n")).collect()
+        assert sorted(((alike(r["size"]), r.n) for r in got), key=str) == want
 
 
 def test_first_words(spark):
