@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ def stages(spark):
 def test_columns(stages):
     docs, *outs = stages
     assert all(o.columns == docs.columns for o in outs[:-1])
-    assert outs[-1].columns == [*docs.columns, "ids", "n_tokens"]
+    assert outs[-1].columns == [*docs.columns, "ids", "n_tokens", "decoded_sha256"]
 
 
 def test_filters_follow_their_models(spark, stages):
@@ -57,6 +59,18 @@ def test_mix_and_tokens(stages):
     e = bpe.TreeEncoder(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     for r in stages[5].collect():
         assert e.decode(__import__("numpy").array(r.ids)) == r.text.encode() and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_clashing_columns_and_nulls(spark, stages):
+    """Columns of the stages' own names come through, and so does a row without a doc_id."""
+    extra = ["_score", "_m", "_p", "_w", "_b", "_nth", "_lost", "_size", "_mixed", "_mixed_source", "key", "tie", "before", "_told"]
+    docs = stages[0].withColumns({c: F.lit(c) for c in extra})
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    for _, f in corpus_pipeline.STAGES[1:]:
+        docs = materialize(f(spark, docs, SF), "clash")
+    rows = docs.collect()
+    assert rows and all(r[c] == c for r in rows for c in extra) and any(r.doc_id is None for r in rows)
 
 
 def test_run_equals_stages(spark, stages):
