@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept:
 quality classifier, toxicity, MinHash near duplicates, mixing to target weights, BPE.
 All but the last return the columns of ``documents``; the last adds the token ids.
+
+Defined results
+- null and empty texts: kept or rejected by the classifiers' score for an empty text, alone in their
+  near-duplicate group, without words for the mix, where they go;
+- null doc_id: classified as any; no near duplicate of anything; placed in the mix by its text;
+- repeated rows: of rows with one doc_id and text one stays behind the near duplicates;
+- ties: by doc_id, then text; an empty table gives an empty result;
+- extra columns pass through whatever their names, but for ``ids``, ``n_tokens`` and
+  ``decoded_sha256``, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -11,21 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, mixing, neardup, quality, toxicity
-from seqloom.sources.tables import materialize, table
+from seqloom.sources.tables import materialize, table, unused
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     bpe.small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").where("_score >= 0.5").drop("_score")
+    score = unused(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= 0.5).drop(score)
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not call toxic."""
     bpe.small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where("_score < 0.5").drop("_score")
+    score = unused(docs, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +51,14 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids and the digest of the bytes that these decode to."""
     import public_tokenizers
 
     bpe.small_batches(spark)
     ids = bpe.encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return docs.withColumn("ids", ids).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    back = bpe.digests(F.col("ids"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    told, encoded = unused(docs, "told"), docs.withColumn("ids", ids)
+    return encoded.withColumn(told, back).withColumns({c: F.col(told)[c] for c in ("n_tokens", "decoded_sha256")}).drop(told)
 
 
 STAGES = [
