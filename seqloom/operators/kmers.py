@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 128
@@ -20,14 +20,23 @@ def blocks(df: DataFrame, id: str, seq: str, k: int, block: int = BLOCK) -> Data
     return pieces.select("id", F.inline(joined)).where(F.char_length("blk") >= k)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to four tasks a core, unless its size by Spark's estimate gives every core a partition anyway."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * split else df.repartition(cores * 4)
+
+
 def kmers(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataFrame:
     """(id, pos, kmer): positions from 0, in code points; texts shorter than k and nulls give no rows.
 
-    Texts are dealt out first, as one small file would otherwise be one task.
+    Texts of few partitions are dealt out first, as one small file would otherwise be one task.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    spread = df.select(id, seq).repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
+    spread = spread_out(df.select(id, seq))
     size = max(BLOCK, k)
     # a block yields the k-mers that begin in its first ``size`` characters
     last = F.least(F.lit(size), F.char_length("blk") - (k - 1))
@@ -40,9 +49,3 @@ def kmer_postings(rows: DataFrame, by_id: bool = False) -> DataFrame:
     """(kmer[, id], n, positions): positions ascending; ``n`` is their number."""
     keys = ["kmer", "id"] if by_id else ["kmer"]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def small_side(rows: DataFrame, size: Column, most: int) -> DataFrame:
-    """``rows`` marked for broadcast if the sum of ``size`` over them is at most ``most``."""
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(rows) if total <= most else rows

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .kmers import kmers
 
 ANCHOR = 12
-BROADCAST_PATTERNS = 100_000
+BROADCAST_CHARS = 2_000_000  # of patterns up to which they are broadcast
+FEW = 1_000  # patterns up to which texts that hold none of them are left out first
 
 
 def _usable(patterns: DataFrame) -> DataFrame:
@@ -23,12 +24,17 @@ def pattern_locate(texts: DataFrame, patterns: DataFrame, anchor: int = ANCHOR)
 
     K-mers of the texts meet the patterns' first characters in an equi-join, one pass per
     anchor length in use (at most ``anchor``); what a pattern has beyond its anchor is
-    compared at the place found. Patterns are broadcast while there are at most
-    BROADCAST_PATTERNS of them.
+    compared at the place found. Patterns are broadcast while they have at most
+    BROADCAST_CHARS characters. Of at most FEW patterns each text is asked first whether it
+    holds any of them, so that only such texts are cut into k-mers.
     """
     known = _usable(patterns).withColumn("_a", F.least(F.lit(anchor), F.char_length("pattern")))
-    counts = {r["_a"]: r["count"] for r in known.groupBy("_a").count().collect()}  # at most ``anchor`` rows
-    small = sum(counts.values()) <= BROADCAST_PATTERNS
+    sizes = known.groupBy("_a").agg(F.count("*").alias("n"), F.sum(F.char_length("pattern")).alias("chars")).collect()  # at most ``anchor`` rows
+    counts = {r["_a"]: r["n"] for r in sizes}
+    small = sum(r["chars"] for r in sizes) <= BROADCAST_CHARS
+    if small and sum(counts.values()) <= FEW:
+        held = F.broadcast(known.select(F.col("pattern").alias("_p")))
+        texts = texts.select("id", "seq").join(held, F.contains("seq", "_p"), "left_semi")
     found = []
     for a in sorted(counts):
         own = known.where(F.col("_a") == a).select("pattern", F.substring("pattern", 1, a).alias("kmer"))
@@ -94,3 +100,13 @@ def matched(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def unmatched(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Texts in which no pattern occurs."""
     return texts.join(pattern_locate(texts, patterns).select(F.col("text_id").alias("id")), "id", "left_anti")
+
+
+def matched_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct patterns that occur in some text."""
+    return _usable(patterns).join(pattern_locate(texts, patterns), "pattern", "left_semi")
+
+
+def unmatched_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct patterns that occur in no text."""
+    return _usable(patterns).join(pattern_locate(texts, patterns), "pattern", "left_anti")

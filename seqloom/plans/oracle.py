@@ -189,6 +189,8 @@ SELECT text_id, pattern, pos, substr(text, greatest(0, pos - 3) + 1, pos - great
 FROM firsts JOIN documents d ON d.doc_id = text_id""",
     "p6_matched": f"WITH {_PATTERNS} SELECT doc_id::BIGINT AS id FROM documents d WHERE EXISTS (SELECT 1 FROM patterns p WHERE contains(d.text, p.pattern))",
     "p6_unmatched": f"WITH {_PATTERNS} SELECT doc_id::BIGINT AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM patterns p WHERE contains(d.text, p.pattern))",
+    "p6_matched_patterns": f"WITH {_PATTERNS} SELECT DISTINCT pattern FROM patterns p WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, p.pattern))",
+    "p6_unmatched_patterns": f"WITH {_PATTERNS} SELECT DISTINCT pattern FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, p.pattern))",
     "b1_rotation_ranks": f"WITH {_rotations(*PART)} SELECT text_id, i, rank FROM ranked",
     "b1_rotation_ranks_doubling": f"WITH {_rotations('customer', 'c_custkey', 'c_name')} SELECT text_id, i, rank FROM ranked",
     "b2_bwt": f"WITH {_rotations(*PART)} SELECT text_id, string_agg(ch, '' ORDER BY rank) AS bwt FROM ranked GROUP BY text_id",

@@ -28,7 +28,10 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve characters from the middle of each benchmark passage, and a short one of each."""
+    """Twelve and twenty characters from the middle of each whole passage, and six with an ending that occurs nowhere.
+
+    Passages of under 50 characters give two patterns, of under 30 one.
+    """
     text = F.col("seq")
     cuts = F.array(F.substring(text, 30, 12), F.substring(text, 50, 20), F.concat(F.substring(text, 30, 6), F.lit("#absent")))
     return _items(spark, sf).select(F.explode(cuts).alias("pattern"))
@@ -128,6 +131,14 @@ def p6_unmatched(spark, sf):
     return patterns.unmatched(_documents(spark, sf), _patterns(spark, sf)).select("id")
 
 
+def p6_matched_patterns(spark, sf):
+    return patterns.matched_patterns(_documents(spark, sf), _patterns(spark, sf))
+
+
+def p6_unmatched_patterns(spark, sf):
+    return patterns.unmatched_patterns(_documents(spark, sf), _patterns(spark, sf))
+
+
 def b1_rotation_ranks(spark, sf):
     return suffix.rotation_ranks(_parts(spark, sf))
 
@@ -196,7 +207,7 @@ QUERIES = {
     for f in (
         k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id,
         s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
-        p1_pattern_count, p2_pattern_locate, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched,
+        p1_pattern_count, p2_pattern_locate, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
         b1_rotation_ranks, b1_rotation_ranks_doubling, b2_bwt, b3_char_table,
         a1_global_score, a1_global_score_kernel, a1_global_min_score, a2_global_alignments, a3_local_score, a3_local_alignments, a4_affine_score, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )
