@@ -159,8 +159,7 @@ def compare_methods(queries: DataFrame, refs: DataFrame, k: int = 4, pairs: Data
         held = candidate_pairs(queries, refs, k)
     else:
         held = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("seq").alias("seq1")), "query_id").join(refs.select(F.col("id").alias("ref_id"), F.col("seq").alias("seq2")), "ref_id")
-    held = held.withColumn("pair_id", F.struct("query_id", "ref_id"))
-    keyed = held.withColumn("pair_id", F.concat_ws(":", "query_id", "ref_id"))
+    keyed = held.withColumn("pair_id", F.to_json(F.struct("query_id", "ref_id")))  # one string per pair, whatever the ids hold
     g = global_score_join(keyed).withColumnRenamed("score", "global_score")
     s = local_score_join(keyed).withColumnRenamed("score", "local_score")
     best = Window.partitionBy("query_id", "ref_id").orderBy(F.desc("score"), "query_pos", "ref_pos")

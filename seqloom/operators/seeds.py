@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, materialize
+from ..sources.tables import materialize
 from .kmers import kmers
 
 BROADCAST_CHARS = 2_000_000  # query characters up to which the queries' k-mers are broadcast
@@ -47,7 +47,7 @@ def _grow(state: DataFrame, queries: DataFrame, refs: DataFrame, right: bool, ma
     q = queries.select(F.col("id").alias("query_id"), F.col("seq").alias("q"))
     r = refs.select(F.col("id").alias("ref_id"), F.col("seq").alias("r"))
     state = state.select("query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", "best_right", F.col("best").cast("bigint").alias("score"), F.col("best").cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("best_off"), F.lit(0).cast("bigint").alias("off"))
-    ended, owned, chunk = [], [], CHUNK
+    ended, chunk = [], CHUNK
     while True:
         both = state.join(q, "query_id").join(r, "ref_id")
         if right:
@@ -71,7 +71,6 @@ def _grow(state: DataFrame, queries: DataFrame, refs: DataFrame, right: bool, ma
         moved = pairs.withColumn("_s", F.aggregate(F.slice("_z", F.lit(1), F.col("_n")), start, step))
         kept = ["query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", "best_right"]
         done = materialize(moved.select(*kept, "_s.score", "_s.best", "_s.best_off", F.col("_s.i").alias("off"), (F.col("_s.dropped") | (F.col("_n") < chunk)).alias("_done")), "extended")
-        owned.append(done)
         ended.append(done.where("_done").drop("_done"))
         state = done.where("not _done").drop("_done")
         if state.isEmpty():
