@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from seqloom.llm import tokenfiles
 from tokenizers import Tokenizer
 
@@ -48,6 +49,27 @@ def test_selective_read(spark, tmp_path):
     assert tokenfiles.read_token_files(spark, path).where("doc_id = 77").count() == 1
 
 
+def scanned(df):
+    """Rows that the scan of an executed plan gave."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_readers_skip_pages_and_cut_ranges(spark, tmp_path):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.lit(1).alias("part"), F.lit("x").alias("ids"))
+    path = str(tmp_path / "p")
+    tokenfiles.write_token_files(df, path, PATH, files=2, page_bytes=2048)
+    few = tokenfiles.read_documents(spark, path, [77, 15_000])
+    assert sorted(few._jdf.collectAsList().size() for _ in range(1)) == [2] and scanned(few) < n
+    rows = tokenfiles.read_token_files(spark, path).orderBy("start").collect()
+    every = [i for r in rows for i in r.ids]
+    for start, stop in ((0, 5), (rows[3].start + 1, rows[700].start + 2), (rows[9_990].start, rows[10_010].start), (len(every) - 3, len(every) + 9), (7, 7)):
+        got = tokenfiles.read_token_range(spark, path, start, stop).orderBy("start").collect()
+        assert [i for r in got for i in r.ids] == every[start:stop]
+        assert not got or got[0].start == start
+
+
 def test_empty(spark, tmp_path):
     path = str(tmp_path / "e")
     tokenfiles.write_token_files(spark.createDataFrame([], DOCS), path, PATH)
