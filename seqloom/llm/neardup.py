@@ -213,7 +213,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity: 100 * both >= percent * either.
 
-    Texts join twice by plain equi-joins, whose skewed partitions AQE splits: a centre of
+    Texts join twice by equi-joins, that of a centre's members by a salt too: a centre of
     a large group meets its members in several tasks.
     """
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -233,7 +233,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(one) + len(two) - both) and both > 0)
             yield b.loc[keep, ["u", "v"]]
 
-    full = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
+    # a centre's text goes to as many of SALTS tasks as its members fall into
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    left = salted.select("u", "salt").distinct().join(left, "u")
+    full = salted.join(right, "v").join(left, ["u", "salt"]).select("u", "v", "text_u", "text_v")
     return full.mapInPandas(check, "u bigint, v bigint").distinct()
 
 
