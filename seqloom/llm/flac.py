@@ -520,6 +520,15 @@ def encode_column(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInPandas(run, f"key {kind}, media binary").withColumnRenamed("key", key)
 
 
+def store_media(media: DataFrame, path: str) -> DataFrame:
+    """Write a table with streams as Parquet and return it as read back from there.
+
+    zstd finds what streams have in common, such as those of copies that lie near each other.
+    """
+    media.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(media.schema).parquet(path)
+
+
 def decode_blocks(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """A row per PCM block: (key, first_sample, n_samples, pcm); a narrow pass."""
     kind = df.schema[key].dataType.simpleString()

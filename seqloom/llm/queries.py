@@ -59,14 +59,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text as a FLAC stream of 8-bit samples, decoded again, with features of the samples."""
+    """Every whole text as a FLAC stream of 8-bit samples, stored, read back and decoded, with features of the samples."""
     bpe.small_batches(spark, 1024)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(raw)
     padded = F.greatest(F.ceil(size / 64) * 64, F.lit(64)).cast("int")
     payload = F.concat(raw, F.unhex(F.repeat(F.lit("00"), padded - size)))
     docs = table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("n_bytes")).alias("key"), payload.alias("payload"))
-    media = flac.encode_column(docs, "key", "payload").select("key.doc_id", "key.n_bytes", "media")
+    encoded = flac.encode_column(docs, "key", "payload").select("key.doc_id", "key.n_bytes", "media")
+    media = flac.store_media(encoded, scratch_path(spark, "media"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -56,6 +56,15 @@ def test_numbers():
             assert raw == chr(n).encode()
 
 
+def test_stored_streams_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases())] + [(99, None)], "id bigint, payload binary")
+    path = str(tmp_path / "media")
+    back = flac.store_media(flac.encode_column(df, "id", "payload"), path)
+    assert back.inputFiles() and all(path in f for f in back.inputFiles())
+    assert {r.id: bytes(r.media) for r in back.collect()} == dict(enumerate(flac.encode_streams(cases()))) | {99: flac.encode_streams([b""])[0]}
+    assert flac.store_media(back.where("false"), path + "-none").count() == 0
+
+
 def test_blocks_can_be_sought(spark, tmp_path):
     raw = cases()[8]
     df = spark.createDataFrame([(1, raw, "k"), (2, None, "k"), (3, raw[::-1], "k")], "id bigint, payload binary, key string")
