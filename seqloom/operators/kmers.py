@@ -45,7 +45,15 @@ def kmers(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataF
     return cut.select("id", (F.col("start") + F.col("off")).alias("pos"), "kmer")
 
 
-def kmer_postings(rows: DataFrame, by_id: bool = False) -> DataFrame:
-    """(kmer[, id], n, positions): positions ascending; ``n`` is their number."""
+def kmer_postings(rows: DataFrame, by_id: bool = False, width: int | None = None) -> DataFrame:
+    """(kmer[, id][, part], n, positions): positions ascending; ``n`` is their number.
+
+    With ``width``, which asks for ``by_id``, a row has the positions of ``width`` characters of one
+    text (``part`` counts them from 0), so that no row grows with a k-mer's frequency.
+    """
+    if width is not None and (width < 1 or not by_id):
+        raise ValueError("width must be 1 or more, and goes with by_id")
     keys = ["kmer", "id"] if by_id else ["kmer"]
+    if width is not None:
+        rows, keys = rows.withColumn("part", F.floor(F.col("pos") / width).cast("bigint")), [*keys, "part"]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -38,21 +38,31 @@ def rotation_ranks(texts: DataFrame, short: int = SHORT) -> DataFrame:
 
 
 def _doubled(chars: DataFrame) -> DataFrame:
-    of_text = Window.partitionBy("text_id")
-    ranks = materialize(chars.select("text_id", "i", "n", F.dense_rank().over(of_text.orderBy("ch")).cast("bigint").alias("r")), "ranks")
+    """Ranks by doubling; no window spans a whole text.
+
+    A rotation's rank by its first h characters is the number of its text's rotations that begin
+    with less, so the next round orders each group of equal ranks by itself, and a text of any
+    length is spread over its groups. The first ranks come from the character table, whose
+    window has a row per distinct character. Rotations alone in their group are not joined again.
+    """
+    counts = chars.groupBy("text_id", "ch").agg(F.count("*").alias("same"))
+    below = Window.partitionBy("text_id").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("r", F.coalesce(F.sum("same").over(below), F.lit(0)).cast("bigint"))
+    ranks = materialize(chars.join(first, ["text_id", "ch"]).select("text_id", "i", "n", "r", ((F.col("same") > 1) & (F.col("n") > 1)).alias("tied")), "ranks")
+    group = Window.partitionBy("text_id", "r")
     h = 1
-    while True:
-        # texts whose ranks all differ, or whose rotations are compared whole, are done
-        state = ranks.groupBy("text_id").agg(F.max("r").alias("top"), F.max("n").alias("n"))
-        open_ = state.where((F.col("top") < F.col("n")) & (F.col("n") > h)).select(F.col("text_id").alias("_t"))
-        if open_.isEmpty():
-            break
+    while not ranks.where("tied").isEmpty():
+        tied = ranks.where("tied")
         shifted = ranks.select("text_id", F.pmod(F.col("i") - h, F.col("n")).alias("i"), F.col("r").alias("r2"))
-        paired = ranks.join(shifted, ["text_id", "i"])
-        new = materialize(paired.select("text_id", "i", "n", F.dense_rank().over(of_text.orderBy("r", "r2")).cast("bigint").alias("r")), "ranks")
+        ordered = tied.join(shifted, ["text_id", "i"]).select(
+            "text_id", "i", "n",
+            (F.col("r") + F.rank().over(group.orderBy("r2")) - 1).cast("bigint").alias("r"),
+            ((F.count("*").over(Window.partitionBy("text_id", "r", "r2")) > 1) & (F.col("n") > 2 * h)).alias("tied"),
+        )
+        new = materialize(ranks.where("not tied").unionByName(ordered), "ranks")
         discard(ranks)
         ranks, h = new, h * 2
-    return ranks.select("text_id", "i", (F.row_number().over(of_text.orderBy("r", "i")) - 1).cast("bigint").alias("rank"))
+    return ranks.select("text_id", "i", (F.col("r") + F.row_number().over(group.orderBy("i")) - 1).cast("bigint").alias("rank"))
 
 
 def bwt(texts: DataFrame, short: int = SHORT) -> DataFrame:

@@ -152,11 +152,40 @@ rotations AS (SELECT text_id, s, i, substr(s, i + 1) || substr(s, 1, i) AS rot F
 ranked AS (SELECT text_id, i, row_number() OVER (PARTITION BY text_id ORDER BY rot, i) - 1 AS rank, right(rot, 1) AS ch FROM rotations)"""
 
 
+# Both scores of whole texts: a row of cells a round, a cell a table row; a gap along the row is a running maximum.
+_COMPARE = f"""WITH RECURSIVE {_EXTEND}, asked AS (
+  SELECT DISTINCT query_id, ref_id, b.text AS q, d.text AS r FROM seeds JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = ref_id
+), letters AS (
+  SELECT query_id, ref_id, unnest(range(length(r) + 1))::INTEGER AS j, unnest(list_concat([''], string_split(r, ''))) AS ch FROM asked
+), cells AS (
+  SELECT query_id, ref_id, 0 AS i, j, ch, -j AS g, 0 AS l FROM letters
+  UNION ALL
+  SELECT query_id, ref_id, i + 1, j, ch, (max(gd + j) OVER w - j)::INTEGER, greatest(0, max(ld + j) OVER w - j)::INTEGER FROM (
+    SELECT c.query_id, c.ref_id, i, j, ch,
+      CASE WHEN j = 0 THEN -(i + 1) ELSE greatest(g - 1, lag(g) OVER o + CASE WHEN ch = substr(q, i + 1, 1) THEN 1 ELSE -1 END) END AS gd,
+      CASE WHEN j = 0 THEN 0 ELSE greatest(0, l - 1, lag(l) OVER o + CASE WHEN ch = substr(q, i + 1, 1) THEN 2 ELSE -1 END) END AS ld
+    FROM cells c JOIN asked USING (query_id, ref_id) WHERE i < length(q) WINDOW o AS (PARTITION BY c.query_id, c.ref_id ORDER BY j)
+  ) WINDOW w AS (PARTITION BY query_id, ref_id ORDER BY j)
+), scored AS (
+  SELECT query_id, ref_id, arg_max(g, (i, j))::BIGINT AS global_score, max(l)::BIGINT AS local_score FROM cells GROUP BY query_id, ref_id
+), top AS (
+  SELECT query_id, ref_id, score, ref_start, ref_end FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, ref_id ORDER BY score DESC, query_pos, ref_pos) = 1
+), whole AS (
+  SELECT query_id, ref_id, count(*)::BIGINT AS count, string_agg(p::VARCHAR, ',' ORDER BY p) AS positions FROM (
+    SELECT query_id, ref_id, unnest(range(length(r) - length(q) + 1)) AS p, q, r FROM asked WHERE contains(r, q)
+  ) WHERE substr(r, p + 1, length(q)) = q GROUP BY query_id, ref_id
+)
+SELECT s.query_id, s.ref_id, global_score, local_score, t.score AS seed_score, t.ref_start AS seed_ref_start, t.ref_end AS seed_ref_end,
+  coalesce(w.count, 0)::BIGINT AS count, coalesce(w.positions, '') AS positions
+FROM scored s LEFT JOIN top t USING (query_id, ref_id) LEFT JOIN whole w USING (query_id, ref_id)"""
+
+
 ORACLE_SQL = {
     "k1_kmers": _kmers(*PART, 4),
     "k1_kmers_long": f"SELECT kmer, count(*)::BIGINT AS n, max(pos)::BIGINT AS last_pos FROM ({_kmers(*DOCS, 6)}) GROUP BY kmer",
     "k2_postings": f"SELECT kmer, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_kmers(*PART, 5)}) GROUP BY kmer",
     "k2_postings_by_id": f"SELECT id, kmer, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_kmers(*PART, 2)}) GROUP BY id, kmer",
+    "k2_postings_parts": f"SELECT id, kmer, pos // 4096 AS part, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_kmers(*DOCS, 2)}) GROUP BY id, kmer, part",
     "s1_seed_join": f"WITH {_seeds(11)} SELECT * FROM seeds",
     "s1_diagonal_runs": f"WITH {_seeds(K_SEED)} SELECT * FROM runs",
     "s2_extend_seeds": f"WITH {_EXTEND} SELECT * FROM extended",
@@ -195,6 +224,11 @@ FROM firsts JOIN documents d ON d.doc_id = text_id""",
     "b1_rotation_ranks_doubling": f"WITH {_rotations('customer', 'c_custkey', 'c_name')} SELECT text_id, i, rank FROM ranked",
     "b2_bwt": f"WITH {_rotations(*PART)} SELECT text_id, string_agg(ch, '' ORDER BY rank) AS bwt FROM ranked GROUP BY text_id",
     "b3_char_table": f"""WITH {_rotations(*PART)}, counted AS (SELECT text_id, ch, count(*)::BIGINT AS n FROM ranked GROUP BY text_id, ch)
+SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM counted""",
+    "b1_rotation_ranks_passages": f"WITH {_rotations(*ITEMS)} SELECT text_id, i, rank FROM ranked",
+    "b2_bwt_passages": f"WITH {_rotations(*ITEMS)} SELECT text_id, string_agg(ch, '' ORDER BY rank) AS bwt FROM ranked GROUP BY text_id",
+    "b3_char_table_documents": """WITH closed AS (SELECT doc_id::BIGINT AS text_id, CASE WHEN text LIKE '%$' THEN text ELSE text || '$' END AS s FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT text_id, ch, count(*)::BIGINT AS n FROM (SELECT text_id, unnest(string_split(s, '')) AS ch FROM closed) GROUP BY text_id, ch)
 SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM counted""",
     "a1_global_score": f"WITH {_PAIRS} SELECT pair_id, (m + n - 3 * levenshtein(x, y))::BIGINT AS score FROM pairs",
     "a1_global_score_kernel": _scores(1, -1, -1, False),
@@ -205,4 +239,5 @@ SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch RO
   SELECT pair_id, i, CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN '|' ELSE ' ' END AS mark FROM (
     SELECT x.c_custkey::BIGINT AS pair_id, x.c_name AS a, y.c_name AS b, unnest(range(1, length(x.c_name) + 1)) AS i FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1)
 ) GROUP BY pair_id""",
+    "a6_compare_methods": _COMPARE,
 }

@@ -65,6 +65,12 @@ def k2_postings_by_id(spark, sf):
     return kmers.kmer_postings(kmers.kmers(_parts(spark, sf), k=2), by_id=True).select("id", "kmer", "n", _joined())
 
 
+def k2_postings_parts(spark, sf):
+    """Positions of short, frequent k-mers of whole documents, those in 4,096 characters to a row."""
+    rows = kmers.kmer_postings(kmers.kmers(_documents(spark, sf), k=2), by_id=True, width=4096)
+    return rows.select("id", "kmer", "part", "n", _joined())
+
+
 def s1_seed_join(spark, sf):
     return seeds.seed_join(_items(spark, sf), _documents(spark, sf), k=11)
 
@@ -148,6 +154,19 @@ def b1_rotation_ranks_doubling(spark, sf):
     return suffix.rotation_ranks(_as(table(spark, sf, "customer"), "c_custkey", "c_name"), short=4)
 
 
+def b1_rotation_ranks_passages(spark, sf):
+    """Whole benchmark passages; those of more than 256 characters go by doubling."""
+    return suffix.rotation_ranks(_items(spark, sf))
+
+
+def b2_bwt_passages(spark, sf):
+    return suffix.bwt(_items(spark, sf))
+
+
+def b3_char_table_documents(spark, sf):
+    return suffix.char_table(_documents(spark, sf))
+
+
 def b2_bwt(spark, sf):
     return suffix.bwt(_parts(spark, sf))
 
@@ -205,10 +224,10 @@ def a6_compare_methods(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id,
+        k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id, k2_postings_parts,
         s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
         p1_pattern_count, p2_pattern_locate, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
-        b1_rotation_ranks, b1_rotation_ranks_doubling, b2_bwt, b3_char_table,
+        b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b2_bwt, b2_bwt_passages, b3_char_table, b3_char_table_documents,
         a1_global_score, a1_global_score_kernel, a1_global_min_score, a2_global_alignments, a3_local_score, a3_local_alignments, a4_affine_score, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )
 }

@@ -26,6 +26,10 @@ def test_postings_and_bad_k(spark):
     df = frame(spark, ["abab", "ab"])
     assert {r.kmer: (r.n, r.positions) for r in kmers.kmer_postings(kmers.kmers(df, k=2)).collect()} == {"ab": (3, [0, 0, 2]), "ba": (1, [1])}
     assert {(r.kmer, r.id): r.positions for r in kmers.kmer_postings(kmers.kmers(df, k=2), True).collect()} == {("ab", 0): [0, 2], ("ba", 0): [1], ("ab", 1): [0]}
+    split = kmers.kmer_postings(kmers.kmers(df, k=2), True, width=2)
+    assert {(r.kmer, r.id, r.part): (r.n, r.positions) for r in split.collect()} == {("ab", 0, 0): (1, [0]), ("ab", 0, 1): (1, [2]), ("ba", 0, 0): (1, [1]), ("ab", 1, 0): (1, [0])}
+    with pytest.raises(ValueError):
+        kmers.kmer_postings(kmers.kmers(df, k=2), width=2)
     with pytest.raises(ValueError):
         kmers.kmers(df, k=0)
 

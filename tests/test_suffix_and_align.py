@@ -23,7 +23,7 @@ def test_fixture_bwt(spark, short):
 
 def test_ranks_by_both_routes(spark):
     rng = random.Random(2)
-    texts = ["", "a", "$", "a$", "abab", "aaaa$", "é🦆 b"] + ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 40))) for _ in range(20)] + [None]
+    texts = ["", "a", "$", "a$", "abab", "aaaa$", "a$a$", "b$a$b$a$", "é🦆 b"] + ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 40))) for _ in range(20)] + [None]
     df = spark.createDataFrame(list(enumerate(texts)), SEQ)
     want = set()
     for n, t in enumerate(texts):
