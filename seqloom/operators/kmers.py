@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 128
 
 
-def blocks(df: DataFrame, id: str, seq: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(id, start, blk): the text in pieces of ``block`` characters, each with the next k - 1 behind it.
+def blocks(df: DataFrame, id: str, seq: str, k: int, block: int = BLOCK, reach: int | None = None) -> DataFrame:
+    """(id, start, blk): the text in pieces of ``block`` characters, each with what its k-mers reach beyond it.
 
     ``substring`` walks a text from its beginning, so positions are cut from short pieces, and
-    the pieces come from one pass of a regular expression: linear in the text's length.
+    the pieces come from one pass of a regular expression, which looks ahead by ``reach`` - 1 characters
+    (k - 1 if not given): linear in the text's length. Pieces without a k-mer are left out.
     """
     size = max(block, k)
-    pieces = df.where(F.char_length(seq) >= k).select(F.col(id).alias("id"), F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("p"))
-    joined = F.transform("p", lambda x, i: F.struct((i.cast("bigint") * size).alias("start"), F.concat(x, F.coalesce(F.substring(F.get(F.col("p"), i + 1), 1, k - 1), F.lit(""))).alias("blk")))
-    return pieces.select("id", F.inline(joined)).where(F.char_length("blk") >= k)
+    whole = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{size + (reach or k) - 1}}})).{{1,{size}}}"), F.lit(1))
+    pieces = df.where(F.char_length(seq) >= k).select(F.col(id).alias("id"), F.posexplode(whole).alias("i", "blk"))
+    return pieces.where(F.char_length("blk") >= k).select("id", (F.col("i").cast("bigint") * size).alias("start"), "blk")
 
 
 def spread_out(df: DataFrame) -> DataFrame:
@@ -29,6 +30,11 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df if size >= cores * split else df.repartition(cores * 4)
 
 
+def substrings(text: Column, k: int) -> Column:
+    """array<string>: all substrings of length k, by a look-ahead at every place: one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+
+
 def kmers(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataFrame:
     """(id, pos, kmer): positions from 0, in code points; texts shorter than k and nulls give no rows.
 
@@ -36,12 +42,7 @@ def kmers(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataF
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    spread = spread_out(df.select(id, seq))
-    size = max(BLOCK, k)
-    # a block yields the k-mers that begin in its first ``size`` characters
-    last = F.least(F.lit(size), F.char_length("blk") - (k - 1))
-    each = F.transform(F.sequence(F.lit(1), last), lambda p: F.substring(F.col("blk"), p, F.lit(k)))
-    cut = blocks(spread, id, seq, k).select("id", "start", F.posexplode(each).alias("off", "kmer"))
+    cut = blocks(spread_out(df.select(id, seq)), id, seq, k).select("id", "start", F.posexplode(substrings(F.col("blk"), k)).alias("off", "kmer"))
     return cut.select("id", (F.col("start") + F.col("off")).alias("pos"), "kmer")
 
 

@@ -1,17 +1,26 @@
-"""Exact search of patterns over a table of texts, overlapping occurrences included."""
+"""Exact search of patterns over a table of texts, overlapping occurrences included.
 
-from __future__ import annotations
+Places are found by anchors. A pattern of at least ``anchor`` characters has the minimizer of its
+first window: of the window's k-mers, the leftmost of the least hash. A text keeps the minimizers of
+all its windows, about 2 in w + 1 of its k-mers; wherever the pattern occurs, the text has that
+window and so the same minimizer. Where a bitmap tells most places at once, windows of one k-mer
+do. A shorter pattern is its own anchor and meets all substrings of its length. An anchor met is a
+candidate, and the pattern is compared at that place.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import kmers
+from .kmers import BLOCK, blocks, spread_out, substrings
 
 ANCHOR = 12
 BROADCAST_CHARS = 2_000_000  # of patterns up to which they are broadcast
-FEW = 1_000  # patterns up to which texts that hold none of them are left out first
+LONG = 256  # characters of a pattern that are compared inside the block of its place
+MOST_BITS = 1 << 20  # of the bitmap of anchors; the largest is 16,384 words of the plan
+# An anchor is a number: a hash, five bits for its class (a short pattern's length, else 0), eight for its place in the block.
+PLACE, CLASS = 255, 31 << 8
 
 
 def _usable(patterns: DataFrame) -> DataFrame:
@@ -19,34 +28,83 @@ def _usable(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern").where("pattern is not null and pattern <> ''").distinct()
 
 
+def _anchors_at(text: Column, n: Column, width: int, kind: int) -> Column:
+    """array<bigint>: the anchors of class ``kind`` at the first ``n`` places of a text, ``width`` characters each."""
+    number = lambda x, i: F.xxhash64(x).bitwiseAND(~(PLACE | CLASS)).bitwiseOR(F.lit(kind << 8)).bitwiseOR(i)
+    return F.transform(substrings(F.substring(text, F.lit(1), n + (width - 1)), width), number)
+
+
+def _minimizers(text: Column, windows: int, k: int, w: int) -> Column:
+    """array<bigint>: the distinct minimizers of the windows of ``w`` k-mers that begin at the first places of a text."""
+    all = _anchors_at(text, F.lit(windows + w - 1), k, 0)
+    least = lambda h: F.array_distinct(F.filter(F.transform(h, lambda x, j: F.when(j + w <= F.size(h), F.least(x, *[F.get(h, j + i) for i in range(1, w)]))), lambda x: x.isNotNull()))
+    # bound to a variable, so that the hashes are taken once and not for each window
+    return all if w == 1 else F.transform(F.array(all), least)[0]
+
+
+def _bitmap(anchors: DataFrame, n: int) -> tuple[list[int], int]:
+    """The anchors' keys in a bitmap of 16 bits or more each, as words, and how far a key is shifted to its bit's number.
+
+    At most MOST_BITS / 64 words come to the driver, whatever the number of patterns.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+    place = F.shiftrightunsigned("key", shift)
+    words = anchors.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("b"))
+    held = [0] * (bits // 64)
+    for r in words.collect():
+        held[r["w"]] = r["b"]
+    return held, shift
+
+
 def pattern_locate(texts: DataFrame, patterns: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """(text_id, pattern, pos) per occurrence in texts (id, seq), positions from 0.
 
-    K-mers of the texts meet the patterns' first characters in an equi-join, one pass per
-    anchor length in use (at most ``anchor``); what a pattern has beyond its anchor is
-    compared at the place found. Patterns are broadcast while they have at most
-    BROADCAST_CHARS characters. Of at most FEW patterns each text is asked first whether it
-    holds any of them, so that only such texts are cut into k-mers.
+    Texts are cut into blocks once, and all classes of anchors come from the same pass. Up to
+    BROADCAST_CHARS characters of patterns are broadcast, and a bitmap of their anchors leaves the
+    other places of a block out before rows are made; the comparison is in the block. Beyond that the
+    anchors of both sides meet by a shuffle of (id, place, anchor), and the candidates fetch their blocks.
+    Of a pattern of more than LONG characters the rest is compared in the text itself.
     """
-    known = _usable(patterns).withColumn("_a", F.least(F.lit(anchor), F.char_length("pattern")))
-    sizes = known.groupBy("_a").agg(F.count("*").alias("n"), F.sum(F.char_length("pattern")).alias("chars")).collect()  # at most ``anchor`` rows
-    counts = {r["_a"]: r["n"] for r in sizes}
-    small = sum(r["chars"] for r in sizes) <= BROADCAST_CHARS
-    if small and sum(counts.values()) <= FEW:
-        held = F.broadcast(known.select(F.col("pattern").alias("_p")))
-        texts = texts.select("id", "seq").join(held, F.contains("seq", "_p"), "left_semi")
-    found = []
-    for a in sorted(counts):
-        own = known.where(F.col("_a") == a).select("pattern", F.substring("pattern", 1, a).alias("kmer"))
-        found.append(kmers(texts, k=a).join(F.broadcast(own) if small else own, "kmer").select(F.col("id").alias("text_id"), "pattern", "pos"))
-    if not found:
+    if not 1 <= anchor <= 31:
+        raise ValueError("anchor must be from 1 to 31")
+    kind = F.when(F.char_length("pattern") < anchor, F.char_length("pattern")).otherwise(F.lit(0))
+    known = _usable(patterns).withColumn("kind", kind)
+    sizes = {r["kind"]: r for r in known.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("pattern")).alias("chars"), F.max(F.char_length("pattern")).alias("most")).collect()}  # a row per class
+    if not sizes:
         return texts.where("false").select(F.col("id").alias("text_id"), F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("pos"))
-    whole = reduce(DataFrame.unionByName, [f for f, a in zip(found, sorted(counts), strict=True) if a < anchor] or [found[0].where("false")])
-    if anchor in counts:
-        begun = found[-1].join(texts.select(F.col("id").alias("text_id"), "seq"), "text_id")
-        length = F.char_length("pattern")
-        whole = whole.unionByName(begun.where(F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), length) == F.col("pattern")).select("text_id", "pattern", "pos"))
-    return whole
+    n, most = sum(r["n"] for r in sizes.values()), max(r["most"] for r in sizes.values())
+    small = sum(r["chars"] for r in sizes.values()) <= BROADCAST_CHARS
+    k = anchor if small else max(1, anchor * 2 // 3)
+    w = anchor - k + 1  # windows matter where anchors are shuffled
+    key = lambda x: F.col(x).bitwiseAND(~PLACE)
+    own = F.lit(None).cast("bigint")
+    for a in sorted(sizes):
+        own = F.when(F.col("kind") == a, F.get(_anchors_at(F.col("pattern"), F.lit(1), a, a) if a else _minimizers(F.col("pattern"), 1, k, w), F.lit(0))).otherwise(own)
+    anchors = known.select("pattern", own.alias("_p")).select("pattern", key("_p").alias("key"), F.col("_p").bitwiseAND(PLACE).cast("int").alias("ahead"))
+
+    cut = blocks(spread_out(texts.select("id", "seq")), "id", "seq", min(a or anchor for a in sizes), BLOCK, max(min(most, LONG), anchor))
+    blk = F.col("blk")
+    places = [_anchors_at(blk, F.lit(BLOCK), a, a) if a else _minimizers(blk, BLOCK, k, w) for a in sorted(sizes)]
+    places = F.concat(*places) if len(places) > 1 else places[0]
+    if small and 4 * n <= MOST_BITS:
+        words, shift = _bitmap(anchors, n)
+        held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # one literal, folded to an array
+        bit = lambda x: F.shiftrightunsigned(x.bitwiseAND(~PLACE), shift)
+        places = F.filter(places, lambda x: F.call_function("shiftrightunsigned", F.get(held, F.shiftright(bit(x), 6).cast("int")), bit(x).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    met = cut.select("id", "start", *(["blk"] if small else []), F.explode(places).alias("_p"))
+    met = met.withColumn("key", key("_p")).join(F.broadcast(anchors) if small else anchors, "key")
+    # a window belongs to the block in which it begins
+    met = met.withColumn("at", F.col("_p").bitwiseAND(PLACE).cast("int") - F.col("ahead")).where(F.col("at").between(0, BLOCK - 1))
+    if not small:
+        met = met.join(cut, ["id", "start"])
+    begun = F.substring(F.col("pattern"), 1, LONG) if most > LONG else F.col("pattern")
+    found = met.where(F.substring(blk, F.col("at") + 1, F.char_length(begun)) == begun).select(F.col("id").alias("text_id"), "pattern", (F.col("start") + F.col("at")).alias("pos"))
+    if most <= LONG:
+        return found
+    rest = found.where(F.char_length("pattern") > LONG).join(texts.select(F.col("id").alias("text_id"), "seq"), "text_id")
+    same = F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern")
+    return found.where(F.char_length("pattern") <= LONG).unionByName(rest.where(same).select("text_id", "pattern", "pos"))
 
 
 def pattern_count(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -201,6 +201,7 @@ SELECT query_id, ref_id, query_start, ref_start, score, substr(d.text, greatest(
 FROM hits JOIN documents d ON d.doc_id = ref_id""",
     "p1_pattern_count": f"WITH {_LOCATED} SELECT text_id, pattern, count(*)::BIGINT AS count FROM located GROUP BY text_id, pattern",
     "p2_pattern_locate": f"WITH {_LOCATED} SELECT * FROM located",
+    "p2_passages": f"WITH patterns AS (SELECT DISTINCT text AS pattern FROM benchmark WHERE text <> ''), {_locate('located', 'patterns')} SELECT * FROM located",
     "p2_overlapping": f"WITH patterns AS (SELECT DISTINCT substr(p_name, 1, 2) AS pattern FROM part), {_locate('located', 'patterns', 'part', 'p_partkey', 'p_name')} SELECT * FROM located",
     "p3_pattern_search": f"""WITH {_LOCATED}, found AS (SELECT text_id, pattern, {_AGG} FROM located GROUP BY text_id, pattern)
 SELECT d.doc_id::BIGINT AS text_id, p.pattern, coalesce(f.count, 0)::BIGINT AS count, coalesce(f.positions, '') AS positions

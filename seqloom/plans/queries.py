@@ -110,6 +110,11 @@ def p2_pattern_locate(spark, sf):
     return patterns.pattern_locate(_documents(spark, sf), _patterns(spark, sf))
 
 
+def p2_passages(spark, sf):
+    """Whole passages, most of several hundred characters, in whole documents."""
+    return patterns.pattern_locate(_documents(spark, sf), _items(spark, sf).select(F.col("seq").alias("pattern")))
+
+
 def p2_overlapping(spark, sf):
     """Short patterns, overlapping occurrences included: each part name's first two characters in all part names."""
     names = _parts(spark, sf)
@@ -226,7 +231,7 @@ QUERIES = {
     for f in (
         k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id, k2_postings_parts,
         s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
-        p1_pattern_count, p2_pattern_locate, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
+        p1_pattern_count, p2_pattern_locate, p2_passages, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
         b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b2_bwt, b2_bwt_passages, b3_char_table, b3_char_table_documents,
         a1_global_score, a1_global_score_kernel, a1_global_min_score, a2_global_alignments, a3_local_score, a3_local_alignments, a4_affine_score, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )

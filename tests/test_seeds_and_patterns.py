@@ -122,10 +122,13 @@ def test_fixture_positions(spark):
         assert got[(t, p)] == (len(positions), positions)
 
 
-def test_positions_equal_plain_scan(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_positions_equal_plain_scan(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(patterns, "BROADCAST_CHARS", broadcast)
     rng = random.Random(9)
-    texts = ["".join(rng.choice("ab $é🦆") for _ in range(n)) for n in (0, 1, 7, 40, 300)] + ["ab" * 200, None]
-    wanted = ["a", "ab", "b $", "é🦆", "ab" * 6, "ab" * 40, "nowhere", "$", "", None, "a"]
+    texts = ["".join(rng.choice("ab $é🦆") for _ in range(n)) for n in (0, 1, 7, 40, 300, 900)] + ["ab" * 400, None]
+    long = texts[5]
+    wanted = ["a", "ab", "b $", "é🦆", "ab" * 6, "ab" * 40, "ab" * 140, long, long[3:], long[120:140], long[127:139], long[-12:], long[100:400], long[100:399] + "#", "nowhere", "$", "", None, "a"]
     df, p = frame(spark, texts), spark.createDataFrame([(x,) for x in wanted], "pattern string")
     plain = {(i, x, s) for i, t in enumerate(texts) if t for x in set(wanted) if x for s in range(len(t)) if t.startswith(x, s)}
     assert {tuple(r) for r in patterns.pattern_locate(df, p).collect()} == plain
@@ -136,6 +139,24 @@ def test_positions_equal_plain_scan(spark):
     assert patterns.pattern_locate(df, p.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast,anchor", [(2_000_000, 12), (0, 12), (0, 5), (0, 1), (10**9, 31)])
+def test_many_patterns(spark, monkeypatch, broadcast, anchor):
+    monkeypatch.setattr(patterns, "BROADCAST_CHARS", broadcast)
+    rng = random.Random(anchor)
+    texts = ["".join(rng.choice("ACGT") for _ in range(600)) for _ in range(6)]
+    wanted = {t[s : s + n] for t in texts for n in (1, 3, 4, 5, 11, 12, 13, 30, 31, 32, 140) for s in rng.sample(range(600 - n), 3)}
+    got = patterns.pattern_locate(frame(spark, texts), spark.createDataFrame([(x,) for x in wanted], "pattern string"), anchor)
+    plain = sorted((i, x, s) for i, t in enumerate(texts) for x in wanted for s in range(600) if t.startswith(x, s))
+    assert sorted(map(tuple, got.collect())) == plain
+
+
+def test_pattern_plan(spark, tmp_path):
+    frame(spark, ["abcdefghijklmnopqrst" * 9] * 50).write.parquet(str(tmp_path / "texts"))
+    texts, p = spark.read.parquet(str(tmp_path / "texts")), spark.createDataFrame([("cdefghijklmno",), ("bcd",), ("zz",)], "pattern string")
+    plan = patterns.pattern_locate(texts, p)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("FileScan") == 1 and plan.count("Generate") == 2
+
+
 def test_fallback_and_context(spark):
     texts = frame(spark, ["xxACGTTAGCyy", "ACGTTAzz", "none"])
     p = spark.createDataFrame([("ACGTTAGC",)], "pattern string")
