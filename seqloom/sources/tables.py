@@ -20,6 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batch_session(spark: SparkSession, rows: int | None = None, size: int = 16 << 20) -> SparkSession:
+    """A session with the settings of ``spark``, but for Arrow batches of at most ``rows`` rows and about ``size`` bytes.
+
+    What is read through it has small batches also where it is computed later, and the caller's settings stay.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    if rows is not None:
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one for local sessions that set none."""
     sc = spark.sparkContext
