@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with production parameters.
+"""The queries of the operators, each over its whole table with production parameters.
 
 ``QUERIES`` maps a name to a function of (spark, sf_dir); ``ORACLE_SQL`` has DuckDB SQL for
 those that SQL can express. The operators live in the sibling modules; here are only their
@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch_path, table
-from . import bpe, chat, fingerprint, flac, mixing, neardup, quality, tokenfiles, toxicity, warc
+from ..sources.tables import batch_session, scratch_path, table
+from . import bpe, chat, clustering, fingerprint, flac, merkle, mixing, neardup, quality, tokenfiles, toxicity, urlfilter, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     docs = table(spark, sf_dir, "documents")
     got = bpe.digests(bpe.encode(F.col("text"), path, pattern), path, pattern)
     return docs.select("doc_id", got.alias("d")).select("doc_id", "d.*")
@@ -51,7 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, from labels outside fold 1 of 3."""
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
     scored = quality.score(docs, model)
@@ -60,7 +60,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as a FLAC stream of 8-bit samples, stored, read back and decoded, with features of the samples."""
-    bpe.small_batches(spark, 1024)
+    spark = batch_session(spark, 1024)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(raw)
     padded = F.greatest(F.ceil(size / 64) * 64, F.lit(64)).cast("int")
@@ -88,7 +88,7 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back from the archives."""
     path = scratch_path(spark, "warc")
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -98,14 +98,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "tokens")
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.with_crc32(tokenfiles.read_token_files(spark, path))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, from labels outside fold 0 of 5."""
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
     scored = toxicity.score(docs, model)
@@ -114,10 +114,31 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets are similar by 0.8 or more."""
-    bpe.small_batches(spark)
+    spark = batch_session(spark, 512)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest of all, where a seventh of them are presented with another n_chars."""
+    spark = batch_session(spark)
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).alias("n_chars")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.when(tampered & F.col("n_chars").isNotNull(), merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")))
+    return merkle.verified(merkle.proofs(merkle.build(docs, changed=changed)))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by four rules."""
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's cluster of eight after ten rounds."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat": op2_chat,
@@ -129,8 +150,31 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_neardup": op10_neardup,
+    "op11_merkle": op11_merkle,
+    "op12_url_filter": op12_url_filter,
+    "op13_clustering": op13_clustering,
 }
 
+
+
+def _rounds_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds as a chain of tables: centroids c0, c1, ..., and each vector's nearest, a0, a1, ..."""
+    near = "SELECT i, v, vec_id, c.cluster, list_sum(list_transform(list_zip(v, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM vectors, c{0} c QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, c.cluster) = 1"
+    moved = """SELECT c.cluster, coalesce(m2, m) AS m FROM c{0} c LEFT JOIN (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m2 FROM (
+    SELECT cluster, j, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS j FROM a{0}) GROUP BY cluster, j) GROUP BY cluster) USING (cluster)"""
+    steps = "".join(f", a{r} AS MATERIALIZED ({near.format(r)}), c{r + 1} AS MATERIALIZED ({moved.format(r)})" for r in range(rounds))
+    return f"""WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster, v AS m FROM vectors QUALIFY cluster < 8
+){steps}, last AS MATERIALIZED ({near.format(rounds)})
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} USING (cluster)"""
+
+
 #: Hash orders, learnt scores, sketches and token ids are beyond SQL; tests/llm hold those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     # the windows of chat.py at a budget of 512 tokens, 128 of history, two earlier turns
@@ -171,4 +215,52 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM m""",
+    # nodes of a level as a list per group, folded in halves; levels of the groups, then of the subroots
+    "op11_merkle": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id::BIGINT AS doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    n_chars::HUGEINT AS n, coalesce(strlen(text) || ':' || text, '-') AS z FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS lang, sha256(a || coalesce(strlen(n::VARCHAR) || ':' || n, '-') || z) AS leaf, sha256(a || coalesce(strlen((n + 1)::VARCHAR) || ':' || (n + 1), '-') || z) AS changed FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM trees WHERE len(nodes) > 1
+), subroots AS (
+  SELECT lang, nodes[1] AS subroot, level AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM trees WHERE len(nodes) = 1
+), crown AS (
+  SELECT 0 AS level, list(subroot ORDER BY g) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM crown WHERE len(nodes) > 1
+), nodes AS (
+  SELECT lang, level, unnest(nodes) AS digest, unnest(range(len(nodes))) AS at FROM trees WHERE len(nodes) > 1
+  UNION ALL
+  SELECT lang, top + level, unnest(nodes), unnest(range(len(nodes))) FROM subroots, crown WHERE len(nodes) > 1
+), bytes AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), checked AS (
+  SELECT p.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 7 = 0 AS tampered FROM placed p, bytes
+), walk AS (
+  SELECT doc_id, lang, i, leaf, 0 AS level, CASE WHEN top = 0 THEN g ELSE i END AS at, top, g, (SELECT max(level) FROM crown) + top AS height, '' AS proof, CASE WHEN tampered THEN changed ELSE leaf END AS h
+  FROM checked JOIN subroots USING (lang)
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.i, w.leaf, w.level + 1, CASE WHEN w.level + 1 = top THEN g ELSE w.at // 2 END, top, g, height, proof || coalesce(digest, ''),
+    CASE WHEN w.at % 2 = 1 THEN sha256(digest || h) ELSE sha256(h || coalesce(digest, '')) END
+  FROM walk w LEFT JOIN nodes n ON n.lang = w.lang AND n.level = w.level AND n.at = xor(w.at, 1) WHERE w.level < height
+)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = nodes[1] AS verified
+FROM walk w JOIN subroots USING (lang) JOIN crown c ON len(c.nodes) = 1 WHERE w.level = height""",
+    "op12_url_filter": """
+WITH parts AS (
+  SELECT page_id::BIGINT AS page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), rules(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+  (SELECT arg_max(rh || rp, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+  coalesce((SELECT arg_max(verdict, length(rh || rp)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)), 'allow') AS verdict
+FROM parts""",
+    "op13_clustering": _rounds_sql(),
 }
