@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +33,21 @@ def _kernel(pairs: DataFrame, kind: str, scores: tuple[int, ...], strings: bool)
     run = {"global": kernels.global_scores, "local": kernels.local_scores, "affine": kernels.affine_scores}[kind]
     trace = {"global": kernels.global_strings, "local": kernels.local_strings, "affine": kernels.affine_strings}[kind]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = b["seq1"].tolist(), b["seq2"].tolist()
+            one, two = b.column("seq1").to_pylist(), b.column("seq2").to_pylist()
             if strings:
                 got = [trace(x, y, *scores) for x, y in zip(one, two, strict=True)]
-                yield pd.DataFrame({"pair_id": b["pair_id"], "aligned1": [g[0] for g in got], "aligned2": [g[1] for g in got], "score": [g[2] for g in got]})
+                told = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("pair_id"), *told], ["pair_id", "aligned1", "aligned2", "score"])
             else:
-                yield pd.DataFrame({"pair_id": b["pair_id"], "score": run(one, two, *scores)})
+                yield pa.RecordBatch.from_arrays([b.column("pair_id"), pa.array(run(one, two, *scores), pa.int64())], ["pair_id", "score"])
 
     columns = "aligned1 string, aligned2 string, score bigint" if strings else "score bigint"
     known = pairs.select("pair_id", F.col("seq1").cast("string").alias("seq1"), F.col("seq2").cast("string").alias("seq2"))
     # pairs of like lengths in one batch waste no cells
     dealt = known.where("seq1 is not null and seq2 is not null").repartition(pairs.sparkSession.sparkContext.defaultParallelism * 2).sortWithinPartitions(F.char_length("seq1") + F.char_length("seq2"))
-    scored = dealt.mapInPandas(work, f"pair_id {id_type}, {columns}")
+    scored = dealt.mapInArrow(work, f"pair_id {id_type}, {columns}")
     return scored
 
 

@@ -191,3 +191,9 @@ def test_compare_methods_query_grows(spark):
     for i, d in small:
         assert got[i, d].global_score == table(items[i], docs[d], 1, -1, -1, False)[-1][-1]
         assert got[i, d].local_score == max(map(max, table(items[i], docs[d], 2, -1, -1, True)))
+
+
+def test_large_pair_ids_beside_null(spark):
+    rows = [(None, "ab", "ac"), (2**53 + 1, "ab", "ab"), (2**53 + 3, "a", "b")]
+    got = align.local_score_join(spark.createDataFrame(rows, "pair_id bigint, seq1 string, seq2 string").coalesce(1)).collect()
+    assert {r.pair_id: r.score for r in got} == {None: 2, 2**53 + 1: 4, 2**53 + 3: 0}
