@@ -26,7 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -513,11 +513,12 @@ def encode_column(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, media): the binary column ``payload`` as FLAC; a narrow pass."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "media": encode_streams([b"" if p is None else bytes(p) for p in b["payload"]])})
+            media = encode_streams([p or b"" for p in b.column("payload").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(media, pa.binary())], ["key", "media"])
 
-    return df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInPandas(run, f"key {kind}, media binary").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInArrow(run, f"key {kind}, media binary").withColumnRenamed("key", key)
 
 
 def store_media(media: DataFrame, path: str) -> DataFrame:
@@ -533,12 +534,13 @@ def decode_blocks(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """A row per PCM block: (key, first_sample, n_samples, pcm); a narrow pass."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *x) for k, blocks in zip(b["key"], decode_streams([bytes(m) for m in b["media"]]), strict=True) for x in blocks]
-            yield pd.DataFrame(rows, columns=["key", "first_sample", "n_samples", "pcm"])
+            rows = [(i, *x) for i, blocks in enumerate(decode_streams(b.column("media").to_pylist())) for x in blocks]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("key").take(columns[0]), *columns[1:]], ["key", "first_sample", "n_samples", "pcm"])
 
-    return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInPandas(run, f"key {kind}, first_sample bigint, n_samples int, pcm binary").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {kind}, first_sample bigint, n_samples int, pcm binary").withColumnRenamed("key", key)
 
 
 def write_pcm_blocks(blocks: DataFrame, path: str, key: str) -> None:

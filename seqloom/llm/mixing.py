@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,24 +64,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _local_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes before each row inside its partition and source (rows come sorted by source)."""
     source, total, first = None, 0, True
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        names = b["source"].to_numpy(dtype=object)
-        names = np.array([None if (n is None or n != n) else n for n in names], dtype=object)
-        size = b["size"].to_numpy(dtype=np.int64)
-        cuts = np.flatnonzero(np.array([names[i] != names[i - 1] for i in range(1, len(names))], dtype=bool)) + 1
-        before = np.empty(len(b), dtype=np.int64)
-        for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
+        names, size = b.column("source").to_pylist(), b.column("size").to_numpy()
+        cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+        before = np.empty(len(names), dtype=np.int64)
+        for lo, hi in zip([0, *cuts], [*cuts, len(names)], strict=True):
             if first or names[lo] != source:
                 source, total, first = names[lo], 0, False
             run = np.cumsum(size[lo:hi])
             before[lo:hi] = total + run - size[lo:hi]
             total += int(run[-1])
-        yield b.assign(before=before)
+        yield b.append_column("before", pa.array(before))
 
 
 def _order_columns(docs: DataFrame, size: Column, seed: int) -> dict[str, Column]:
@@ -101,7 +99,7 @@ def _placed(docs: DataFrame, size: Column, weights: tuple[float, ...], share: fl
     light = materialize(docs.select(F.col("source").cast("string").alias("source"), *[c.alias(n) for n, c in _order_columns(docs, size, seed).items()]), "mix-rows")
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("tie")]
     ranged = light.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = materialize(ranged.mapInPandas(_local_prefix, "source string, key bigint, doc_id bigint, size bigint, tie bigint, part int, before bigint"), "mix-order")
+    local = materialize(ranged.mapInArrow(_local_prefix, "source string, key bigint, doc_id bigint, size bigint, tie bigint, part int, before bigint"), "mix-order")
     discard(light)
     per_part = local.groupBy("source", "part").agg(F.sum("size").alias("n"))
     shift = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

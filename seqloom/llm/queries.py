@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +69,9 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = flac.encode_column(docs, "key", "payload").select("key.doc_id", "key.n_bytes", "media")
     media = flac.store_media(encoded, scratch_path(spark, "media"))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stored = [bytes(m) for m in b["media"]]
+            stored = b.column("media").to_pylist()
             rows = []
             for m, blocks in zip(stored, flac.decode_streams(stored), strict=True):
                 back = flac.payload_of(blocks)
@@ -80,9 +80,11 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
                 feature = f"frames={len(blocks)} sum={int(x.sum())} energy={int((x * x).sum())} peak={int(np.abs(x).max())} crossings={crossings}"
                 rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.concat([b[["doc_id", "n_bytes"]], pd.DataFrame(rows, columns=names, index=b.index)], axis=1)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            told = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *told], ["doc_id", "n_bytes", *names])
 
-    return media.mapInPandas(describe, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.mapInArrow(describe, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

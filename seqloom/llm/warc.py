@@ -39,6 +39,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,27 +157,27 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int | None = None, min_r
     first = told.select("bucket", F.lit(0).alias("kind"), F.col("keeper.page_id").alias("page_id"), F.col("keeper.url").alias("url"), "sha", none.cast("binary").alias("payload"))
     dealt = first.unionByName(rows.withColumn("kind", F.lit(1))).repartitionById(n, F.col("bucket")).sortWithinPartitions("kind", "page_id", "url", "sha")
 
-    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keeper, last, nth = 0, {}, None, 0
         for b in batches:
             packed, buckets = [], []
-            for k, kind, i, u, sha, p in zip(b["bucket"], b["kind"], b["page_id"], b["url"], b["sha"], b["payload"], strict=True):
-                i = None if pd.isna(i) else int(i)
+            for k, kind, i, u, sha, p in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "page_id", "url", "sha", "payload")), strict=True):
                 if kind == 0:
                     keeper[sha] = (i, u)
                     continue
                 nth = nth + 1 if last == (i, u, sha) else 0
                 last, to = (i, u, sha), keeper.get(sha)
-                packed.append(member(record(i, u, bytes(p), sha, nth, to if to and to[0] != i else None), level))
+                packed.append(member(record(i, u, p, sha, nth, to if to and to[0] != i else None), level))
                 buckets.append(k)
             sizes = np.array([len(x) for x in packed], dtype=np.int64)
             ends = at + np.cumsum(sizes)
             if len(ends):
                 at = int(ends[-1])
-            yield pd.DataFrame({"bucket": buckets, "local_start": ends - sizes, "size": sizes, "member": packed})
+            columns = [pa.array(buckets, pa.int32()), pa.array(ends - sizes), pa.array(sizes), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "local_start", "size", "member"])
 
     held = dealt.select("bucket", "kind", "page_id", "url", "sha", "payload")
-    packed = materialize(held.mapInPandas(compress, "bucket int, local_start bigint, size bigint, member binary"), "warc-members")
+    packed = materialize(held.mapInArrow(compress, "bucket int, local_start bigint, size bigint, member binary"), "warc-members")
     totals = packed.groupBy("bucket").agg(F.sum("size").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row per range
@@ -224,16 +225,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     base = _qualified(spark, path)
     manifest = spark.read.schema("name string, records bigint, bytes bigint, sha1 string").option("mode", "FAILFAST").json(f"{base}/MANIFEST.json", multiLine=True)
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = _filesystem(base)
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         whole = lambda v: None if v is None else int(v)
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
         for b in batches:
-            for name, n, size, sha1 in zip(b["name"], b["records"], b["bytes"], b["sha1"], strict=True):
+            for name, n, size, sha1 in zip(*(b.column(c).to_pylist() for c in ("name", "records", "bytes", "sha1")), strict=True):
                 told, seen, rows, found = hashlib.sha1(), 0, [], 0
 
                 def pieces() -> Iterator[bytes]:
@@ -255,4 +258,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name} is not the file of the manifest")
                 yield frame(rows)
 
-    return manifest.repartition(max(1, manifest.count())).mapInPandas(records, schema)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(records, schema)

@@ -118,3 +118,18 @@ def test_first_words(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert mixing.mix(df).count() == 0 and mixing.apply_mix(df).count() == 0
+
+
+BIG = [(None, 5), (2**53 + 1, 4), (2**53 + 3, 3), (2**53 + 5, 6), (1, 2)]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 1.0, 2.0])
+def test_large_ids_beside_null(spark, share):
+    rows = [(i, " ".join(f"w{i}" for _ in range(n)), s, 1, "x", 0) for s in ("a", None) for i, n in BIG]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    mixed = mixing.mix(df, share=share).collect()
+    assert sorted(r.doc_id or 0 for r in mixed) == sorted(2 * [i or 0 for i, _ in BIG])
+    words = {}
+    for r in mixing.apply_mix(df, share=share).collect():
+        words[r.source, r.doc_id] = words.get((r.source, r.doc_id), 0) + len(r.text.split())
+    assert words == {(r.source, r.doc_id): r.taken for r in mixed if r.taken}

@@ -96,3 +96,10 @@ def test_empty(spark, tmp_path):
     assert warc.write_warc(spark.createDataFrame([], PAGES), str(tmp_path / "e")) == []
     assert json.loads((tmp_path / "e/MANIFEST.json").read_text()) == []
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_large_ids_beside_null(spark, tmp_path):
+    rows = [(None, "n", "<p>same</p>", 1, "k"), (2**53 + 1, "a", "<p>same</p>", 1, "k"), (2**53 + 3, "b", "<p>same</p>", 1, "k"), (2**53 + 5, "c", "other", 1, "k")]
+    warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "a"))
+    got = warc.read_warc(spark, str(tmp_path / "a")).collect()
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == expected(rows)
