@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
-from .kmers import kmers
+from ..sources.tables import discard, materialize, partitions, scratch_path
+from .kmers import blocks, kmers
 
 BROADCAST_CHARS = 2_000_000  # query characters up to which the queries' k-mers are broadcast
-CHUNK = 64
+CHUNK = 64  # characters of the first round
+STRETCH = 512  # and of the last ones
 
 
 def seed_join(queries: DataFrame, refs: DataFrame, k: int = 11, max_occ: int | None = None) -> DataFrame:
@@ -38,27 +42,51 @@ def diagonal_runs(seeds: DataFrame) -> DataFrame:
     return runs.select("query_id", "ref_id", "query_pos", (F.col("query_pos") + F.col("_diag")).alias("ref_pos"), "n_seeds")
 
 
-def _grow(state: DataFrame, queries: DataFrame, refs: DataFrame, right: bool, match: int, mismatch: int, xdrop: int) -> DataFrame:
+def addressed(texts: DataFrame, ids: DataFrame, label: str) -> str:
+    """The name of a table (id, no, blk) of the texts among ``ids`` (id): block ``no`` begins at place no * STRETCH and has twice as many characters.
+
+    So each stretch of up to STRETCH characters lies in the block of its first place. The table is bucketed
+    by (id, no) and lies in the shared folder: a round's join moves its other side only.
+    """
+    spark = texts.sparkSession
+    held = texts.select("id", "seq").join(ids, "id", "left_semi")
+    cut = blocks(held, "id", "seq", 1, STRETCH, STRETCH + 1).select("id", (F.col("start") / STRETCH).cast("bigint").alias("no"), "blk")
+    name = f"seqloom_{label}_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    cut.repartition(n, "id", "no").write.bucketBy(n, "id", "no").sortBy("id", "no").option("path", scratch_path(spark, label)).saveAsTable(name)
+    return name
+
+
+def _fetched(state: DataFrame, blocks_of: str, id: str, start: Column, length: Column, name: str) -> DataFrame:
+    """``state`` with ``name``, the ``length`` characters of its text at ``start``; null behind the text's end."""
+    held = state.sparkSession.table(blocks_of).select(F.col("id").alias("_id"), F.col("no").alias("_no"), "blk")
+    no = F.floor(start / STRETCH).cast("bigint")
+    asked = state.withColumn("_n", no)
+    full = asked.join(held, (F.col(id) == F.col("_id")) & (F.col("_n") == F.col("_no")), "left")
+    return full.withColumn(name, F.substring(F.col("blk"), (start - F.col("_n") * STRETCH + 1).cast("int"), length)).drop("_id", "_no", "_n", "blk")
+
+
+def _grow(state: DataFrame, queries: str, refs: str, right: bool, match: int, mismatch: int, xdrop: int) -> DataFrame:
     """Carry (score, best, best_off) of each run to its end on one side, a chunk of offsets at a time.
 
-    A chunk's texts are cut right behind the join, so that no row carries a whole text across
-    a shuffle twice; runs that dropped or reached a text's end leave, and chunks double.
+    A round fetches one block of each text, that of the chunk. Runs that dropped or reached a text's end leave, and
+    chunks double up to STRETCH.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("seq").alias("q"))
-    r = refs.select(F.col("id").alias("ref_id"), F.col("seq").alias("r"))
-    state = state.select("query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", "best_right", F.col("best").cast("bigint").alias("score"), F.col("best").cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("best_off"), F.lit(0).cast("bigint").alias("off"))
+    kept = ["query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", "best_right"]
+    state = state.select(*kept, F.col("best").cast("bigint").alias("score"), F.col("best").cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("best_off"), F.lit(0).cast("bigint").alias("off"))
     ended, chunk = [], CHUNK
     while True:
-        both = state.join(q, "query_id").join(r, "ref_id")
         if right:
-            left_over = F.least(F.char_length("q") - F.col("query_pos"), F.char_length("r") - F.col("ref_pos")) - F.col("off")
-            n = F.greatest(F.lit(0), F.least(F.lit(chunk), left_over)).cast("int")
-            cut = lambda text, pos: F.substring(F.col(text), (F.col(pos) + F.col("off") + 1).cast("int"), n)
+            length = F.lit(chunk)
+            begin = lambda pos: F.col(pos) + F.col("off")
+            turn = lambda text: F.coalesce(text, F.lit(""))
         else:
-            left_over = F.least("query_pos", "ref_pos") - F.col("off")
-            n = F.greatest(F.lit(0), F.least(F.lit(chunk), left_over)).cast("int")
-            cut = lambda text, pos: F.reverse(F.substring(F.col(text), (F.col(pos) - F.col("off") - n + 1).cast("int"), n))
-        pairs = both.select(*state.columns, n.alias("_n"), F.arrays_zip(F.split(cut("q", "query_pos"), "").alias("a"), F.split(cut("r", "ref_pos"), "").alias("b")).alias("_z"))
+            length = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(chunk).cast("bigint"), F.least("query_pos", "ref_pos") - F.col("off"))).cast("int")
+            begin = lambda pos: F.col(pos) - F.col("off") - length
+            turn = lambda text: F.reverse(F.coalesce(text, F.lit("")))
+        both = _fetched(_fetched(state, queries, "query_id", begin("query_pos"), length, "_q"), refs, "ref_id", begin("ref_pos"), length, "_r")
+        n = F.least(F.char_length(turn(F.col("_q"))), F.char_length(turn(F.col("_r"))))
+        pairs = both.select(*state.columns, n.alias("_n"), F.arrays_zip(F.split(turn(F.col("_q")), "").alias("a"), F.split(turn(F.col("_r")), "").alias("b")).alias("_z"))
 
         def step(s, z):
             score = s["score"] + F.when(z["a"] == z["b"], F.lit(match)).otherwise(F.lit(mismatch))
@@ -69,17 +97,12 @@ def _grow(state: DataFrame, queries: DataFrame, refs: DataFrame, right: bool, ma
 
         start = F.struct(F.col("score"), F.col("best"), F.col("best_off"), F.col("off").alias("i"), F.lit(False).alias("dropped"))
         moved = pairs.withColumn("_s", F.aggregate(F.slice("_z", F.lit(1), F.col("_n")), start, step))
-        kept = ["query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", "best_right"]
         done = materialize(moved.select(*kept, "_s.score", "_s.best", "_s.best_off", F.col("_s.i").alias("off"), (F.col("_s.dropped") | (F.col("_n") < chunk)).alias("_done")), "extended")
         ended.append(done.where("_done").drop("_done"))
         state = done.where("not _done").drop("_done")
         if state.isEmpty():
-            break
-        chunk *= 2
-    out = ended[0]
-    for e in ended[1:]:
-        out = out.unionByName(e)
-    return out
+            return reduce(DataFrame.unionByName, ended)
+        chunk = min(chunk * 2, STRETCH)
 
 
 def extend_seeds(seeds: DataFrame, queries: DataFrame, refs: DataFrame, match: int = 1, mismatch: int = -1, xdrop: int = 5) -> DataFrame:
@@ -88,12 +111,20 @@ def extend_seeds(seeds: DataFrame, queries: DataFrame, refs: DataFrame, match: i
     Growth without gaps, right from the seed's start, then left from the best score found;
     the first offset of a strictly greater score counts, and a side ends where the score is
     more than ``xdrop`` below the best. For match > 0 the seeds of a diagonal run have the same
-    hit, so one row per run is grown and ``n_seeds`` tells how many it stands for.
+    hit, so one row per run is grown and ``n_seeds`` tells how many it stands for. The texts that have
+    seeds are stored as blocks once, and no row of a round has more of a text than a block.
     """
+    spark = queries.sparkSession
     runs = diagonal_runs(seeds) if match > 0 and mismatch <= match else seeds.withColumn("n_seeds", F.lit(1).cast("bigint"))
     runs = runs.withColumn("best", F.lit(0)).withColumn("best_right", F.lit(0).cast("bigint"))
-    rightward = _grow(runs, queries, refs, True, match, mismatch, xdrop).withColumn("best_right", F.col("best_off"))
-    both = _grow(rightward, queries, refs, False, match, mismatch, xdrop)
+    runs = materialize(runs, "runs")
+    q, r = (addressed(texts, runs.select(F.col(f"{name}_id").alias("id")).distinct(), name) for texts, name in ((queries, "query"), (refs, "ref")))
+    rightward = _grow(runs, q, r, True, match, mismatch, xdrop).withColumn("best_right", F.col("best_off"))
+    both = _grow(rightward, q, r, False, match, mismatch, xdrop)
+    for name in (q, r):
+        where = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+        discard(where)
     at = lambda pos: ((F.col(pos) - F.col("best_off")).cast("bigint"), (F.col(pos) + F.col("best_right")).cast("bigint"))
     (qs, qe), (rs, re) = at("query_pos"), at("ref_pos")
     return both.select("query_id", "ref_id", "query_pos", "ref_pos", "n_seeds", qs.alias("query_start"), qe.alias("query_end"), rs.alias("ref_start"), re.alias("ref_end"), F.col("best").alias("score"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, materialize
+from ..sources.tables import discard, materialize, partitions
+from .kmers import blocks, substrings
 
 SHORT = 256
+FIRST = 12  # characters of the first ranks
 
 
 def closed(texts: DataFrame) -> DataFrame:
@@ -25,7 +33,7 @@ def rotation_ranks(texts: DataFrame, short: int = SHORT) -> DataFrame:
     """(text_id, i, rank): the place of each rotation among all of its text, equal ones by index.
 
     Texts up to ``short`` characters sort their rotations; longer ones double a prefix rank
-    in rounds (rank by the first h characters, then 2h), about log2 of the longest repeat.
+    in rounds (rank by the first h characters, then 2h), about log2 of the longest repeat / FIRST.
     """
     ended = closed(texts)
     brief = ended.where(F.char_length("seq") <= short)
@@ -34,44 +42,120 @@ def rotation_ranks(texts: DataFrame, short: int = SHORT) -> DataFrame:
     long = ended.where(F.char_length("seq") > short)
     if long.isEmpty():
         return direct
-    return direct.unionByName(_doubled(characters(long)))
+    return direct.unionByName(_doubled(long))
+
+
+def _beginnings(ended: DataFrame) -> DataFrame:
+    """(text_id, i, n, r, k): each rotation's first FIRST characters as ``k``, r = 0; a text's pieces are dealt out before they are cut."""
+    head = F.substring("seq", 1, FIRST - 1)
+    turned = ended.select(F.struct("text_id", F.char_length("seq").cast("bigint").alias("n")).alias("id"), F.concat("seq", F.substring(F.repeat(head, FIRST - 1), 1, FIRST - 1)).alias("seq"))
+    pieces = blocks(turned, "id", "seq", FIRST).repartition(partitions(ended.sparkSession))
+    each = pieces.select("id", "start", F.posexplode(substrings(F.col("blk"), FIRST)).alias("off", "k"))
+    return each.select("id.text_id", (F.col("start") + F.col("off")).alias("i"), "id.n", F.lit(0).cast("bigint").alias("r"), "k")
 
 
-def _doubled(chars: DataFrame) -> DataFrame:
-    """Ranks by doubling; no window spans a whole text.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (text_id, r, k) with what the range itself tells of them.
+
+    ``number``: the row's number in its text; ``start_r`` and ``start_k``: those of the first row with its r, and with its r and k;
+    ``alone``: neither neighbour has its r and k. A row waits until the next one is known.
+    """
+    held, count = None, 0
+    starts, news = np.zeros(3, dtype=np.int64), np.ones(3, dtype=bool)  # of text, r and k: where the run began, and whether the next row begins one
+
+    def told(b: pa.RecordBatch, after: pa.RecordBatch | None) -> pa.RecordBatch:
+        nonlocal count, starts, news
+        rows, n = pa.concat_batches([b, after]) if after is not None else b, b.num_rows
+        at = np.arange(count, count + n)
+        begins, follows, found = [], [], []
+        for j, name in enumerate(("text_id", "r", "k")):
+            c = rows.column(name)
+            other = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False).astype(bool)
+            other = other | follows[-1][: len(other)] if follows else other
+            follows.append(other if after is not None else np.append(other, True))
+            begins.append(np.append(news[j], follows[j][: n - 1]))
+            found.append(np.maximum.accumulate(np.where(begins[j], at, starts[j])))
+        starts, news, count = np.array([f[-1] for f in found]), np.array([f[-1] for f in follows]), count + n
+        columns = [at - found[0], found[1] - found[0], found[2] - found[0], begins[2] & follows[2]]
+        return pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns)], [*b.schema.names, "number", "start_r", "start_k", "alone"])
+
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                yield told(held, b.slice(0, 1))
+            held = b
+    if held is not None:
+        yield told(held, None)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(text_id, i, n, r, tied) of rows (text_id, i, n, r, k): ranks by r and then k, and who still shares one.
+
+    Rows are dealt out by ranges of (text_id, r, k, i), so neither a long text nor a rank that
+    many rotations share is one task's work. A run of equal keys may lie in several ranges: a table of a row per range
+    and text tells how many rows come before a range and where the run at its beginning began.
+    """
+    order = ["text_id", "r", "k", "i"]
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    kinds = ", ".join(f"{c} {t}" for c, t in ranged.dtypes)
+    local = materialize(ranged.mapInArrow(_numbered, f"{kinds}, number bigint, start_r bigint, start_k bigint, alone boolean"), "ranges")
+    key = F.struct("number", "r", "k")
+    ends = local.groupBy("text_id", "part").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), F.max("start_r").alias("last_r"), F.max("start_k").alias("last_k"))
+    by = Window.partitionBy("text_id").orderBy("part")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"offset": F.coalesce(F.sum("rows").over(before), F.lit(0)), "prev": F.lag("last").over(by), "next": F.lead("first").over(by)})
+    same = lambda x, y, c: F.coalesce(F.col(x)[c] == F.col(y)[c], F.lit(False))
+    ends = ends.withColumn("on_r", same("prev", "first", "r")).withColumn("on_k", F.col("on_r") & same("prev", "first", "k")).withColumn("goes_on", same("last", "next", "r") & same("last", "next", "k"))
+    begun = lambda at, on: F.last(F.when((F.col(at) > 0) | ~F.col(on), F.col("offset") + F.col(at)), ignorenulls=True).over(before)
+    facts = ends.select("text_id", "part", "offset", "on_r", "on_k", "goes_on", "last_k", begun("last_r", "on_r").alias("from_r"), begun("last_k", "on_k").alias("from_k"))
+    full = local.join(facts, ["text_id", "part"])
+    first = lambda at, on, come: F.when((F.col(at) == 0) & F.col(on), F.col(come)).otherwise(F.col("offset") + F.col(at))
+    r = F.col("r") + first("start_k", "on_k", "from_k") - first("start_r", "on_r", "from_r")
+    tied = ~F.col("alone") | ((F.col("start_k") == 0) & F.col("on_k")) | ((F.col("start_k") == F.col("last_k")) & F.col("goes_on"))
+    new = materialize(full.select("text_id", "i", "n", r.alias("r"), tied.alias("tied")), "ranks")
+    discard(local)
+    return new
+
+
+def _doubled(ended: DataFrame) -> DataFrame:
+    """Ranks by doubling; no window and no task has a whole text.
 
     A rotation's rank by its first h characters is the number of its text's rotations that begin
-    with less, so the next round orders each group of equal ranks by itself, and a text of any
-    length is spread over its groups. The first ranks come from the character table, whose
-    window has a row per distinct character. Rotations alone in their group are not joined again.
+    with less. The first ranks are of FIRST characters; each round orders those that share a rank by the
+    rank h places on, which makes it one of 2h characters. Rotations alone with their rank are not joined again.
     """
-    counts = chars.groupBy("text_id", "ch").agg(F.count("*").alias("same"))
-    below = Window.partitionBy("text_id").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("r", F.coalesce(F.sum("same").over(below), F.lit(0)).cast("bigint"))
-    ranks = materialize(chars.join(first, ["text_id", "ch"]).select("text_id", "i", "n", "r", ((F.col("same") > 1) & (F.col("n") > 1)).alias("tied")), "ranks")
-    group = Window.partitionBy("text_id", "r")
-    h = 1
-    while not ranks.where("tied").isEmpty():
-        tied = ranks.where("tied")
-        shifted = ranks.select("text_id", F.pmod(F.col("i") - h, F.col("n")).alias("i"), F.col("r").alias("r2"))
-        ordered = tied.join(shifted, ["text_id", "i"]).select(
-            "text_id", "i", "n",
-            (F.col("r") + F.rank().over(group.orderBy("r2")) - 1).cast("bigint").alias("r"),
-            ((F.count("*").over(Window.partitionBy("text_id", "r", "r2")) > 1) & (F.col("n") > 2 * h)).alias("tied"),
-        )
-        new = materialize(ranks.where("not tied").unionByName(ordered), "ranks")
-        discard(ranks)
-        ranks, h = new, h * 2
-    return ranks.select("text_id", "i", (F.col("r") + F.row_number().over(group.orderBy("i")) - 1).cast("bigint").alias("rank"))
+    now, h, done = _ranked(_beginnings(ended)), FIRST, []
+    while True:
+        open = F.col("tied") & (F.col("n") > h)
+        if now.where(open).isEmpty():
+            break
+        every = reduce(DataFrame.unionByName, [*done, now])
+        shifted = every.select("text_id", F.pmod(F.col("i") - h, F.col("n")).alias("i"), F.col("r").alias("k"))
+        ordered = _ranked(now.where(open).join(shifted, ["text_id", "i"]).select("text_id", "i", "n", "r", "k"))
+        done, now, h = [*done, now.where(~open)], ordered, h * 2
+    ranks = reduce(DataFrame.unionByName, [*done, now])
+    # what is still tied are the equal rotations of a periodic text: n / rows places apart, in the order of their index
+    alike = ranks.where("tied").groupBy("text_id", "r").agg(F.min("i").alias("least"), F.count("*").alias("rows"))
+    turn = F.expr("(i - least) * rows div n").cast("bigint")
+    periodic = ranks.where("tied").join(alike, ["text_id", "r"]).select("text_id", "i", (F.col("r") + turn).alias("rank"))
+    return ranks.where("not tied").select("text_id", "i", F.col("r").alias("rank")).unionByName(periodic)
+
+
+def bwt_blocks(texts: DataFrame, short: int = SHORT, size: int = 1 << 16) -> DataFrame:
+    """(text_id, block, bwt): the last characters of the rotations in rank order, those of ``size`` ranks to a row.
+
+    A row's length is bounded, whatever the text's; the blocks of a text one after another are its ``bwt``.
+    """
+    last = characters(closed(texts)).select("text_id", F.pmod(F.col("i") + 1, F.col("n")).alias("i"), "ch")
+    joined = rotation_ranks(texts, short).join(last, ["text_id", "i"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "ch"))), lambda x: x["ch"])
+    return joined.groupBy("text_id", F.floor(F.col("rank") / size).cast("bigint").alias("block")).agg(F.array_join(ordered, "").alias("bwt"))
 
 
 def bwt(texts: DataFrame, short: int = SHORT) -> DataFrame:
-    """(text_id, bwt): the last character of each rotation, in rank order."""
-    chars = characters(closed(texts))
-    last = chars.select("text_id", F.pmod(F.col("i") + 1, F.col("n")).alias("i"), "ch")
-    joined = rotation_ranks(texts, short).join(last, ["text_id", "i"])
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "ch"))), lambda x: x["ch"])
-    return joined.groupBy("text_id").agg(F.array_join(ordered, "").alias("bwt"))
+    """(text_id, bwt): the last character of each rotation, in rank order; a text is one row, so long ones are for ``bwt_blocks``."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("block", "bwt"))), lambda x: x["bwt"])
+    return bwt_blocks(texts, short).groupBy("text_id").agg(F.array_join(parts, "").alias("bwt"))
 
 
 def char_table(texts: DataFrame) -> DataFrame:

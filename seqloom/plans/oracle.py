@@ -152,6 +152,23 @@ rotations AS (SELECT text_id, s, i, substr(s, i + 1) || substr(s, 1, i) AS rot F
 ranked AS (SELECT text_id, i, row_number() OVER (PARTITION BY text_id ORDER BY rot, i) - 1 AS rank, right(rot, 1) AS ch FROM rotations)"""
 
 
+def _doubling() -> str:
+    """CTEs up to ``ranked`` (text_id, i, rank, ch) of whole documents: ranks of 16 characters, doubled in twelve windows, up to 65,536."""
+    steps = "".join(
+        f""", r{n + 1} AS MATERIALIZED (
+  SELECT a.text_id, a.i, a.n, rank() OVER (PARTITION BY a.text_id ORDER BY a.r, b.r) AS r FROM r{n} a JOIN r{n} b ON b.text_id = a.text_id AND b.i = (a.i + {16 << n}) % a.n)"""
+        for n in range(12)
+    )
+    return f"""closed AS (SELECT doc_id::BIGINT AS text_id, CASE WHEN text LIKE '%$' THEN text ELSE text || '$' END AS s FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT text_id, n, start, substr(s || repeat(s, 16)[:15], (start + 1)::BIGINT, {SIZE} + 15) AS blk FROM (SELECT text_id, s, length(s) AS n, unnest(range(0, length(s), {SIZE}))::BIGINT AS start FROM closed)),
+r0 AS MATERIALIZED (
+  SELECT text_id, i, n, rank() OVER (PARTITION BY text_id ORDER BY b) AS r FROM (
+    SELECT text_id, n, start + off AS i, substr(blk, off + 1, 16) AS b FROM (SELECT *, unnest(range(least({SIZE}, n - start)))::BIGINT AS off FROM pieces)
+  )){steps}, ranked AS (
+  SELECT text_id, i, row_number() OVER (PARTITION BY text_id ORDER BY r, i) - 1 AS rank FROM r12
+)"""
+
+
 # Both scores of whole texts: a row of cells a round, a cell a table row; a gap along the row is a running maximum.
 _COMPARE = f"""WITH RECURSIVE {_EXTEND}, asked AS (
   SELECT DISTINCT query_id, ref_id, b.text AS q, d.text AS r FROM seeds JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = ref_id
@@ -227,6 +244,9 @@ FROM firsts JOIN documents d ON d.doc_id = text_id""",
     "b3_char_table": f"""WITH {_rotations(*PART)}, counted AS (SELECT text_id, ch, count(*)::BIGINT AS n FROM ranked GROUP BY text_id, ch)
 SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c_before FROM counted""",
     "b1_rotation_ranks_passages": f"WITH {_rotations(*ITEMS)} SELECT text_id, i, rank FROM ranked",
+    "b1_rotation_ranks_documents": f"WITH {_doubling()} SELECT text_id, rank // 4096 AS part, string_agg(i::VARCHAR, ',' ORDER BY rank) AS indexes FROM ranked GROUP BY text_id, part",
+    "b2_bwt_blocks": f"""WITH {_doubling()}, letters AS (SELECT text_id, unnest(string_split(s, '')) AS ch, unnest(range(length(s))) AS i, length(s) AS n FROM closed)
+SELECT text_id, rank // 1024 AS block, string_agg(ch, '' ORDER BY rank) AS bwt FROM ranked JOIN (SELECT text_id, ch, (i + 1) % n AS i FROM letters) USING (text_id, i) GROUP BY text_id, block""",
     "b2_bwt_passages": f"WITH {_rotations(*ITEMS)} SELECT text_id, string_agg(ch, '' ORDER BY rank) AS bwt FROM ranked GROUP BY text_id",
     "b3_char_table_documents": """WITH closed AS (SELECT doc_id::BIGINT AS text_id, CASE WHEN text LIKE '%$' THEN text ELSE text || '$' END AS s FROM documents WHERE text IS NOT NULL),
 counted AS (SELECT text_id, ch, count(*)::BIGINT AS n FROM (SELECT text_id, unnest(string_split(s, '')) AS ch FROM closed) GROUP BY text_id, ch)

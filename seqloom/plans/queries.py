@@ -164,6 +164,18 @@ def b1_rotation_ranks_passages(spark, sf):
     return suffix.rotation_ranks(_items(spark, sf))
 
 
+def b1_rotation_ranks_documents(spark, sf):
+    """Whole documents: the rotations' indexes in rank order, those of 4,096 ranks to a row."""
+    part = F.floor(F.col("rank") / 4096).cast("bigint").alias("part")
+    listed = suffix.rotation_ranks(_documents(spark, sf)).groupBy("text_id", part).agg(F.sort_array(F.collect_list(F.struct("rank", "i"))).alias("l"))
+    return listed.select("text_id", "part", F.array_join(F.transform("l", lambda x: x["i"].cast("string")), ",").alias("indexes"))
+
+
+def b2_bwt_blocks(spark, sf):
+    """Whole documents, 1,024 ranks to a block."""
+    return suffix.bwt_blocks(_documents(spark, sf), size=1024)
+
+
 def b2_bwt_passages(spark, sf):
     return suffix.bwt(_items(spark, sf))
 
@@ -232,7 +244,7 @@ QUERIES = {
         k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id, k2_postings_parts,
         s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
         p1_pattern_count, p2_pattern_locate, p2_passages, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
-        b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b2_bwt, b2_bwt_passages, b3_char_table, b3_char_table_documents,
+        b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b1_rotation_ranks_documents, b2_bwt, b2_bwt_passages, b2_bwt_blocks, b3_char_table, b3_char_table_documents,
         a1_global_score, a1_global_score_kernel, a1_global_min_score, a2_global_alignments, a3_local_score, a3_local_alignments, a4_affine_score, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )
 }

@@ -96,6 +96,26 @@ def test_hits_equal_plain_loops(spark, scores):
     assert all(h.query_seq == qs[h.query_id][h.query_start : h.query_end] and h.ref_seq == rs[h.ref_id][h.ref_start : h.ref_end] for h in got)
 
 
+def test_growth_over_blocks(spark):
+    """Hits over many blocks, and no round has or moves more of a text than a block of it."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("acgt") for _ in range(5000))
+    q, r = frame(spark, [long[700:4300], "acgt"]), frame(spark, ["tt" + long[:2500] + "n" + long[2501:], long[4290:]])
+    got = seeds.seed_extend(q, r, 30, dedup=True).collect()
+    assert (0, 0, 0, 3600, 702, 4302, 3598) in {(h.query_id, h.ref_id, h.query_start, h.query_end, h.ref_start, h.ref_end, h.score) for h in got}
+    name = seeds.addressed(r, r.select("id"), "test")
+    held = spark.table(name)
+    assert {(b.id, b.no): b.blk for b in held.collect()} == {(i, n): t[n * seeds.STRETCH : (n + 2) * seeds.STRETCH] for i, t in ((0, "tt" + long[:2500] + "n" + long[2501:]), (1, long[4290:])) for n in range(-(-len(t) // seeds.STRETCH))}
+    state = spark.range(100).select(F.col("id").alias("ref_id"), (F.col("id") * 100).alias("pos"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = seeds._fetched(state, name, "ref_id", F.col("pos"), F.lit(9), "x")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
 def test_order_context_and_frequent_kmers(spark):
     q, r = frame(spark, ["ACGTTAGC", "GGGG"]), frame(spark, ["ACGTACGTTAGCTAGCT", "GGGGGGGG"])
     hits = seeds.seed_extend(q, r, 4, dedup=True)

@@ -197,3 +197,22 @@ def test_large_pair_ids_beside_null(spark):
     rows = [(None, "ab", "ac"), (2**53 + 1, "ab", "ab"), (2**53 + 3, "a", "b")]
     got = align.local_score_join(spark.createDataFrame(rows, "pair_id bigint, seq1 string, seq2 string").coalesce(1)).collect()
     assert {r.pair_id: r.score for r in got} == {None: 2, 2**53 + 1: 4, 2**53 + 3: 0}
+
+
+@pytest.mark.parametrize("name", ["letters", "one letter", "period", "emoji"])
+def test_long_texts(spark, name):
+    rng = random.Random(4)
+    text = {"letters": "".join(rng.choices("ACGT", k=3000)), "one letter": "a" * 700, "period": ("ab" * 40 + "c$") * 9, "emoji": "é🦆$" * 300}[name]
+    s = text if text.endswith("$") else text + "$"
+    order = sorted((s[i:] + s[:i], i) for i in range(len(s)))
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], SEQ)
+    assert [r.i for r in suffix.rotation_ranks(df).where("text_id = 1").orderBy("rank").collect()] == [i for _, i in order]
+    pieces = suffix.bwt_blocks(df, size=100).where("text_id = 1").orderBy("block").collect()
+    assert max(len(p.bwt) for p in pieces) <= 100 and "".join(p.bwt for p in pieces) == "".join(t[-1] for t, _ in order)
+
+
+def test_no_window_spans_a_text(spark):
+    """A row per range enters the windows of a long text's ranks, and its rotations are dealt out by range."""
+    rows = spark.createDataFrame([(1, i, 9, 0, "k") for i in range(9)], "text_id bigint, i bigint, n bigint, r bigint, k string")
+    ranked = suffix._ranked(rows)
+    assert sorted(tuple(r) for r in ranked.collect()) == [(1, i, 9, 0, True) for i in range(9)]
