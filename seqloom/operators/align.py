@@ -15,6 +15,9 @@ from ..functions import kernels
 from .patterns import pattern_locate
 from .seeds import seed_extend, seed_join, top_hits
 
+DELETIONS = {0: 1 << 30, 1: 256, 2: 40}  # edits, and the characters up to which texts are compared by deletions
+TILE = 4096  # characters of a long text between the beginnings of two tiles
+
 
 def candidate_pairs(queries: DataFrame, refs: DataFrame, k: int = 11) -> DataFrame:
     """(query_id, ref_id, seq1, seq2) of pairs that share a k-mer."""
@@ -87,6 +90,66 @@ def global_score_join(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap:
     return _with_nulls(_kernel(pairs, "global", (match, mismatch, gap), False), pairs, min_score)
 
 
+def most_edits(match: int, mismatch: int, gap: int, min_score: int, m: Column, n: Column) -> Column:
+    """How many mismatches and gap characters an alignment of m and n characters with ``min_score`` can have; below 0: there is none.
+
+    Each of the m + n characters is worth match / 2; a mismatch loses match - mismatch of that, a gap's character match / 2 - gap.
+    """
+    loss = min(2 * (match - mismatch), match - 2 * gap)
+    return F.floor((match * (m + n) - 2 * min_score) / F.lit(loss)).cast("int")
+
+
+def _rests(text: Column, d: Column) -> Column:
+    """array<bigint>: hashes of what is left of a text after at most ``d`` deletions, for the d of DELETIONS."""
+    less = lambda t: F.when(F.char_length(t) > 0, F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda p: F.concat(F.substr(t, F.lit(1), p - 1), F.substr(t, p + 1, F.char_length(t))))).otherwise(F.array().cast("array<string>"))
+    none, one = F.array(text), F.array_distinct(less(text))
+    two = F.array_distinct(F.flatten(F.transform(one, less)))
+    rests = F.when(d == 0, none).when(d == 1, F.concat(none, one)).otherwise(F.concat(none, one, two))
+    return F.array_distinct(F.transform(rests, lambda t: F.xxhash64(t)))
+
+
+def global_score_pairs(left: DataFrame, right: DataFrame, min_score: int, match: int = 1, mismatch: int = -1, gap: int = -1) -> DataFrame:
+    """(id1, id2, score): all pairs of two tables (id, seq) whose global score is ``min_score`` or more.
+
+    Candidates meet without loss in an equi-join, for each length that a partner can have. Where d edits are few for
+    the length (DELETIONS), both sides give what is left of a text after at most d deletions: texts within d
+    edits have one such rest in common, and texts that have are within 2 d, so common beginnings cost nothing.
+    Elsewhere by the pigeonhole principle: one of the d + 1 even segments of the first lies unchanged in the second, at most d
+    places from its own; a segment that many texts share makes many candidates there. Where ``min_score`` allows
+    as many edits as there are characters, a segment is empty and all texts of those lengths are candidates,
+    as nearly all are results. Ids must not repeat; null ids and texts have no pairs.
+    """
+    _check(match, mismatch, gap)
+    if match <= 0 or mismatch >= match:
+        raise ValueError("match must be above 0 and above mismatch")
+    sides = [t.select("id", "seq", F.char_length("seq").alias("len")).where("id is not null and seq is not null") for t in (left, right)]
+    # lengths that occur: at most as many as the longest text has characters
+    lengths = [[r["len"] for r in t.select("len").distinct().orderBy("len").collect()] for t in sides]
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs)) or "-1"), ",").cast("array<int>")
+    able = lambda m, n: most_edits(match, mismatch, gap, min_score, m, n) >= F.abs(m - n)
+    cut = lambda m, d, i: F.floor(m.cast("bigint") * i / (d + 1)).cast("int")
+    own, other = F.col("len"), F.col("other")
+    partners = lambda t, xs: t.select("id", "seq", "len", F.explode(F.filter(numbers(xs), lambda x: able(F.col("len"), x))).alias("other")).withColumn("d", most_edits(match, mismatch, gap, min_score, own, other))
+    short = F.lit(False)
+    for d, most in DELETIONS.items():
+        short = short | ((F.col("d") == d) & (F.greatest("len", "other") <= most))
+    tried = [partners(sides[0], lengths[1]), partners(sides[1], lengths[0])]
+    few = [t.where(short).withColumn("key", F.explode(_rests(F.col("seq"), F.col("d")))) for t in tried]
+    near = few[0].select(F.col("id").alias("id1"), F.col("len").alias("m"), F.col("other").alias("n"), "key").join(few[1].select(F.col("id").alias("id2"), F.col("other").alias("m"), F.col("len").alias("n"), "key"), ["m", "n", "key"])
+    one, two = (t.where(~short).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))) for t in tried)
+    begin, end = cut(own, F.col("d"), F.col("i")), cut(own, F.col("d"), F.col("i") + 1)
+    one = one.select(F.col("id").alias("id1"), F.col("len").alias("m"), F.col("other").alias("n"), "i", F.substr("seq", begin + 1, end - begin).alias("segment"))
+    begin, end = cut(other, F.col("d"), F.col("i")), cut(other, F.col("d"), F.col("i") + 1)
+    first, last = F.greatest(F.lit(0), begin - F.col("d")), F.least(own - (end - begin), begin + F.col("d"))
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    found = F.array_distinct(F.transform(places, lambda p: F.substr(F.col("seq"), p + 1, end - begin)))
+    two = two.select(F.col("id").alias("id2"), F.col("other").alias("m"), F.col("len").alias("n"), "i", F.explode(found).alias("segment"))
+    ids = one.join(two, ["m", "n", "i", "segment"]).select("id1", "id2").unionByName(near.select("id1", "id2")).distinct()
+    texts = ids.join(sides[0].select(F.col("id").alias("id1"), F.col("seq").alias("seq1")), "id1").join(sides[1].select(F.col("id").alias("id2"), F.col("seq").alias("seq2")), "id2")
+    scored = global_score_join(texts.select(F.struct("id1", "id2").alias("pair_id"), "seq1", "seq2"), match, mismatch, gap, min_score)
+    return scored.select("pair_id.id1", "pair_id.id2", "score")
+
+
 def _survivors(pairs: DataFrame, scored: DataFrame, top: int | None) -> DataFrame:
     """The pairs that were scored and are among the best ``top``."""
     if top is not None:
@@ -102,19 +165,41 @@ def _alignments(pairs: DataFrame, scored: DataFrame | None, kind: str, scores: t
 def global_alignments(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: int = -1, min_score: int | None = None, top: int | None = None) -> DataFrame:
     """(pair_id, aligned1, aligned2, score); among equal paths a diagonal step, then a gap in seq2, then one in seq1.
 
-    Scores decide first which pairs survive; only those are traced. Long pairs keep every
+    With ``min_score`` or ``top``, scores decide first which pairs survive, and only those are traced. Long pairs keep every
     few rows and fill the rows between again on the way back, for the same strings.
     """
     scored = None if min_score is None and top is None else global_score_join(pairs, match, mismatch, gap, min_score)
     return _alignments(pairs, scored, "global", (match, mismatch, gap), min_score, top)
 
 
+def _tiled_scores(pairs: DataFrame, kind: str, scores: tuple[int, ...], gap: int) -> DataFrame:
+    """(pair_id, score) of local alignment; a long text is scored in tiles, each in a task of its own.
+
+    A positive local alignment has at most m characters of the shorter text, and as each gap's character costs
+    ``gap``, at most m + m * match / -gap of the longer one. Tiles that overlap by so much hold every
+    alignment whole, so the best of a pair's tiles is its score.
+    """
+    match = scores[0]
+    one, two = F.char_length("seq1"), F.char_length("seq2")
+    least, most = F.least(one, two), F.greatest(one, two)
+    span = least + F.floor(least * match / F.lit(max(1, -gap))).cast("int")
+    step = F.greatest(F.lit(TILE), span)
+    cut = F.regexp_extract_all("long", F.format_string("(?s)(?=(.{1,%d})).{1,%d}", F.col("step") + F.col("span") - 1, F.col("step")), F.lit(1))
+    whole = (F.col("most") < 2 * F.col("step")) if match > 0 and gap < 0 else F.lit(True)
+    told = pairs.where("seq1 is not null and seq2 is not null").select(
+        F.struct(F.monotonically_increasing_id().alias("row"), "pair_id").alias("pair_id"), F.when(one <= two, F.col("seq1")).otherwise(F.col("seq2")).alias("short"),
+        F.when(one <= two, F.col("seq2")).otherwise(F.col("seq1")).alias("long"), span.alias("span"), step.alias("step"), most.alias("most"),
+    )
+    tiles = told.select("pair_id", F.col("short").alias("seq1"), F.explode(F.when(whole, F.array("long")).otherwise(cut)).alias("seq2"))
+    return _kernel(tiles, kind, scores, False).groupBy("pair_id").agg(F.max("score").alias("score")).select("pair_id.pair_id", "score")
+
+
 def local_score_join(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -1, min_score: int | None = None) -> DataFrame:
-    """(pair_id, score): the best score of two substrings, 0 or more."""
+    """(pair_id, score): the best score of two substrings, 0 or more; long texts in tiles."""
     _check(match, mismatch, gap)
     if min_score is not None and match > 0:
         pairs = pairs.where(match * F.least(F.char_length("seq1"), F.char_length("seq2")) >= min_score)
-    return _with_nulls(_kernel(pairs, "local", (match, mismatch, gap), False), pairs, min_score)
+    return _with_nulls(_tiled_scores(pairs, "local", (match, mismatch, gap), gap), pairs, min_score)
 
 
 def local_alignments(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -1, min_score: int | None = None, top: int | None = None) -> DataFrame:
@@ -128,7 +213,7 @@ def local_affine_join(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap_
     _check(match, mismatch, gap_open, gap_extend)
     if min_score is not None and match > 0:
         pairs = pairs.where(match * F.least(F.char_length("seq1"), F.char_length("seq2")) >= min_score)
-    return _with_nulls(_kernel(pairs, "affine", (match, mismatch, gap_open, gap_extend), False), pairs, min_score)
+    return _with_nulls(_tiled_scores(pairs, "affine", (match, mismatch, gap_open, gap_extend), gap_extend), pairs, min_score)
 
 
 def local_affine_alignments(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap_open: int = -3, gap_extend: int = -1, min_score: int | None = None, top: int | None = None) -> DataFrame:
@@ -172,4 +257,4 @@ def compare_methods(queries: DataFrame, refs: DataFrame, k: int = 4, pairs: Data
     return full.select("query_id", "ref_id", "global_score", "local_score", "seed_score", "seed_ref_start", "seed_ref_end", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("positions", F.array().cast("array<bigint>")).alias("positions"))
 
 
-__all__ = ["by_edit_distance", "candidate_pairs", "compare_methods", "global_alignments", "global_bound", "global_score_join", "identity", "local_affine_alignments", "local_affine_join", "local_alignments", "local_score_join", "match_line", "top_hits"]
+__all__ = ["by_edit_distance", "candidate_pairs", "compare_methods", "global_alignments", "global_bound", "global_score_join", "global_score_pairs", "identity", "local_affine_alignments", "local_affine_join", "local_alignments", "local_score_join", "match_line", "most_edits", "top_hits"]

@@ -196,6 +196,24 @@ SELECT s.query_id, s.ref_id, global_score, local_score, t.score AS seed_score, t
   coalesce(w.count, 0)::BIGINT AS count, coalesce(w.positions, '') AS positions
 FROM scored s LEFT JOIN top t USING (query_id, ref_id) LEFT JOIN whole w USING (query_id, ref_id)"""
 
+# Affine scores of whole texts, a row of cells a round: m ends in a match or mismatch, d in a gap of the document, g in one of the
+# passage. Inside a row only g runs on, so its best opening is a running maximum.
+_AFFINE_WHOLE = f"""WITH RECURSIVE {_seeds(K_SEED)}, asked AS (
+  SELECT DISTINCT query_id, ref_id, b.text AS q, d.text AS r FROM seeds JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = ref_id
+), letters AS (
+  SELECT query_id, ref_id, unnest(range(length(r) + 1))::INTEGER AS j, unnest(list_concat([''], string_split(r, ''))) AS ch FROM asked
+), cells AS (
+  SELECT query_id, ref_id, 0 AS i, j, ch, 0 AS m, -1000000 AS d, -1000000 AS g FROM letters
+  UNION ALL
+  SELECT query_id, ref_id, i, j, ch, m, d, (CASE WHEN j = 0 THEN -1000000 ELSE greatest(0, max(greatest(m, d) + j) OVER w - 4 + 1 - j) END)::INTEGER AS g FROM (
+    SELECT c.query_id, c.ref_id, i + 1 AS i, j, ch,
+      CASE WHEN j = 0 THEN 0 ELSE greatest(0, greatest(lag(m) OVER o, lag(d) OVER o, lag(g) OVER o) + CASE WHEN ch = substr(q, i + 1, 1) THEN 2 ELSE -1 END) END AS m,
+      CASE WHEN j = 0 THEN -1000000 ELSE greatest(0, greatest(m, g) - 4, d - 1) END AS d
+    FROM cells c JOIN asked USING (query_id, ref_id) WHERE i < length(q) WINDOW o AS (PARTITION BY c.query_id, c.ref_id ORDER BY j)
+  ) WINDOW w AS (PARTITION BY query_id, ref_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT query_id, ref_id, max(greatest(m, d, g))::BIGINT AS score FROM cells GROUP BY query_id, ref_id"""
+
 
 ORACLE_SQL = {
     "k1_kmers": _kmers(*PART, 4),
@@ -254,6 +272,10 @@ SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch RO
     "a1_global_score": f"WITH {_PAIRS} SELECT pair_id, (m + n - 3 * levenshtein(x, y))::BIGINT AS score FROM pairs",
     "a1_global_score_kernel": _scores(1, -1, -1, False),
     "a1_global_min_score": _scores(1, -1, -1, False, "AND cells[n + 2] >= 1"),
+    "a1_global_pairs": """SELECT a.c_custkey::BIGINT AS id1, b.c_custkey::BIGINT AS id2, (length(a.c_name) + length(b.c_name) - 3 * levenshtein(a.c_name, b.c_name))::BIGINT AS score
+FROM customer a JOIN customer b ON length(a.c_name) + length(b.c_name) - 3 * levenshtein(a.c_name, b.c_name) >= 33""",
+    "a3_local_tiles": f"{_COMPARE[: _COMPARE.index('), top AS')]}) SELECT query_id, ref_id, local_score AS score FROM scored",
+    "a4_affine_tiles": _AFFINE_WHOLE,
     "a3_local_score": _scores(2, -1, -1, True),
     "a4_affine_score": _affine(2, -1, -4, -1),
     "a5_match_line": """SELECT pair_id, string_agg(mark, '' ORDER BY i) AS line, count(*) FILTER (WHERE mark = '|') / count(*)::DOUBLE AS identity FROM (

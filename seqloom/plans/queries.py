@@ -204,6 +204,28 @@ def a1_global_min_score(spark, sf):
     return align.global_score_join(_name_pairs(spark, sf), 1, -1, -1, min_score=1)
 
 
+def a1_global_pairs(spark, sf):
+    """All pairs of customers' names with a global score of 33 or more, which is one edit of 18 characters; no pairs are given."""
+    names = _as(table(spark, sf, "customer"), "c_custkey", "c_name")
+    return align.global_score_pairs(names, names, 33, 2, -1, -2)
+
+
+def a3_local_tiles(spark, sf):
+    """Local scores of benchmark passages against the whole documents that share a k-mer with them."""
+    return _against_documents(spark, sf, align.local_score_join)
+
+
+def a4_affine_tiles(spark, sf):
+    """The same with affine gaps."""
+    return _against_documents(spark, sf, align.local_affine_join)
+
+
+def _against_documents(spark, sf, score):
+    items, docs = _items(spark, sf), _documents(spark, sf)
+    held = align.candidate_pairs(items, docs, K_SEED).select(F.struct("query_id", "ref_id").alias("pair_id"), "seq1", "seq2")
+    return score(held).select("pair_id.query_id", "pair_id.ref_id", "score")
+
+
 def a2_global_alignments(spark, sf):
     return align.global_alignments(_name_pairs(spark, sf))
 
@@ -245,6 +267,6 @@ QUERIES = {
         s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
         p1_pattern_count, p2_pattern_locate, p2_passages, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
         b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b1_rotation_ranks_documents, b2_bwt, b2_bwt_passages, b2_bwt_blocks, b3_char_table, b3_char_table_documents,
-        a1_global_score, a1_global_score_kernel, a1_global_min_score, a2_global_alignments, a3_local_score, a3_local_alignments, a4_affine_score, a4_affine_alignments, a5_match_line, a6_compare_methods,
+        a1_global_score, a1_global_score_kernel, a1_global_min_score, a1_global_pairs, a2_global_alignments, a3_local_score, a3_local_tiles, a3_local_alignments, a4_affine_score, a4_affine_tiles, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )
 }

@@ -216,3 +216,29 @@ def test_no_window_spans_a_text(spark):
     rows = spark.createDataFrame([(1, i, 9, 0, "k") for i in range(9)], "text_id bigint, i bigint, n bigint, r bigint, k string")
     ranked = suffix._ranked(rows)
     assert sorted(tuple(r) for r in ranked.collect()) == [(1, i, 9, 0, True) for i in range(9)]
+
+
+@pytest.mark.parametrize("scores,least", [((2, -1, -2), 3), ((1, -1, -1), 0), ((1, -1, -1), 4), ((3, -2, -2), 11), ((1, 0, 0), 5), ((2, -3, -1), -2)])
+def test_pairs_equal_all_pairs(spark, scores, least):
+    rng = random.Random(least)
+    texts = ["".join(rng.choice("abé🦆") for _ in range(rng.randint(0, 9))) for _ in range(50)] + ["abababa", "abababab", "", None]
+    one, two = (spark.createDataFrame(list(enumerate(t)), SEQ) for t in (texts[:30], texts[24:]))
+    want = {(i, j, int(s)) for i, a in enumerate(texts[:30]) for j, b in enumerate(texts[24:]) if a is not None and b is not None for s in [kernels.global_scores([a], [b], *scores)[0]] if s >= least}
+    found = align.global_score_pairs(one, two, least, *scores)
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert align.global_score_pairs(one.where("false"), two, least, *scores).count() == 0
+
+
+@pytest.mark.parametrize("scores", [(2, -1, -1), (3, -2, -2), (1, -3, -5), (2, -1, 0)])
+def test_tiles_equal_whole_texts(spark, monkeypatch, scores):
+    monkeypatch.setattr(align, "TILE", 7)
+    rng = random.Random(3)
+    rows = [(i % 9, "".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 4, 9]))), "".join(rng.choice("abé") for _ in range(rng.choice([0, 5, 60, 150])))) for i in range(60)]
+    rows += [(9, "abab", None), (None, "ab" * 30, "ba"), (None, "ab" * 40, "ba")]
+    df = spark.createDataFrame(rows, PAIR)
+    for join, kernel, extra in ((align.local_score_join, kernels.local_scores, ()), (align.local_affine_join, kernels.affine_scores, (-1,))):
+        given = (*scores, *extra)
+        want = [(i, None if b is None else int(kernel([a], [b], *given)[0])) for i, a, b in rows]
+        assert sorted(map(tuple, join(df, *given).collect()), key=str) == sorted(want, key=str)
