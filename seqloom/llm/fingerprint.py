@@ -2,8 +2,8 @@
 
 A text's paragraphs (lines, long ones cut every ``PIECE`` characters) are hashed to 64 bits.
 Each digest goes to one cell in each of three parts of a sketch; a cell holds how many
-digests it got, their xor and the xor of their check values. Each version is sketched once, and
-two versions' sketches are subtracted cell by cell, so that common digests vanish whatever the
+digests it got, their xor and the xor of their check values. Each version is sketched once for its
+comparisons, and two versions' sketches are subtracted cell by cell, so that common digests vanish whatever the
 texts' length. Peeling then recovers what differs: a cell with one digest (count 1 or -1 and a
 matching check) gives that digest, which is taken out of its other cells, and so on, part after
 part. The likeness follows from the recovered digests and the sketches' counts. Pairs whose
@@ -148,18 +148,21 @@ def likeness(pairs: DataFrame, keys: list[str], cells: int = CELLS, rounds: int
         cells, todo = cells * 4, again
 
 
-def fingerprints(versions: DataFrame, keys: list[str], columns: dict[str, str], cells: int = CELLS) -> DataFrame:
-    """(keys, a fingerprint per entry of ``columns``): the sketch's non-empty cells as text.
+def fingerprint_text(digests: Column, cells: int = CELLS) -> Column:
+    """The non-empty cells of the sketch of an array of digests, as text: cell, count, xor of digests and of check values.
 
-    ``columns`` maps a column of digest arrays to the name of its fingerprint. All rows of one
-    value of the first key must be in one partition already, or are brought there.
+    One row's own expression: a sketch to be kept or printed needs no grouping, only those that are subtracted do.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("d")) for i, c in enumerate(columns)])
-    rows = versions.select(*keys, F.inline(each)).select(*keys, "v", F.explode_outer("d").alias("digest"))
-    told = F.struct("cell", F.concat_ws(":", "cell", "n", F.lower(F.hex("x")), F.lower(F.hex("c"))).alias("t"))
-    listed = sketch_cells(rows, [*keys, "v"], cells).select(*keys, "v", F.when(F.col("cell") >= 0, told).alias("s"))
-    printed = [F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col("s")))), lambda s: s["t"]), " ").alias(name) for i, name in enumerate(columns.values())]
-    return listed.groupBy(*keys).agg(*printed)
+    width = cells // PARTS
+    known = F.transform(digests, lambda x: F.struct(x.alias("x"), check_of(x).alias("c"), *[cell_of(x, F.lit(p), cells).alias(f"p{p}") for p in range(PARTS)]))
+    xor = lambda held, c: F.lower(F.hex(F.aggregate(held, F.lit(0).cast("bigint"), lambda a, e: a.bitwiseXOR(e[c]))))
+
+    def of_part(k: Column, p: int) -> Column:
+        members = F.transform(F.sequence(F.lit(p * width), F.lit((p + 1) * width - 1)), lambda j: F.struct(j.alias("cell"), F.filter(k, lambda e: e[f"p{p}"] == j).alias("m")))
+        return F.transform(F.filter(members, lambda z: F.size(z["m"]) > 0), lambda z: F.concat_ws(":", z["cell"], F.size(z["m"]), xor(z["m"], "x"), xor(z["m"], "c")))
+
+    # bound to a variable, so that a digest's cells are found once
+    return F.transform(F.array(known), lambda k: F.array_join(F.concat(*[of_part(k, p) for p in range(PARTS)]), " "))[0]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def edit_fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     told = F.sha2(F.concat_ws("|", *[F.array_join(F.sort_array(c), ",") for c in ("left", "right")]).cast("binary"), 256)
     short = near.select(*pair, "likeness", told.alias("told"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    wide = short.groupBy(*keys).agg(of(EDITED, "likeness").alias("near_edited"), of(NEXT, "likeness").alias("near_next"), of(EDITED, "told").alias("recovered_edited_sha256"), of(NEXT, "told").alias("recovered_next_sha256"))
-    kept = ["doc_id", "n_chars", "edited_sha256", *wide.columns[2:]]
-    out = fingerprints(table.where("end = 0").join(wide, keys), [*keys, *kept], {"own": "fingerprint", "changed": "edited_fingerprint"}, cells)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *wide.columns[2:])
+    n = partitions(spark)  # as many tasks as were asked for: what is small to shuffle is not small to print
+    wide = short.repartition(n, *keys).groupBy(*keys).agg(of(EDITED, "likeness").alias("near_edited"), of(NEXT, "likeness").alias("near_next"), of(EDITED, "told").alias("recovered_edited_sha256"), of(NEXT, "told").alias("recovered_next_sha256"))
+    printed = [fingerprint_text(F.col(c), cells).alias(name) for c, name in (("own", "fingerprint"), ("changed", "edited_fingerprint"))]
+    return table.where("end = 0").repartition(n, *keys).join(wide, keys).select("doc_id", "n_chars", "edited_sha256", *printed, *wide.columns[2:])

@@ -88,3 +88,16 @@ def test_edges(spark):
     one = fp.edit_fingerprints(spark.createDataFrame([(1, "abcdefgh", "b", 1, 2)], DOCS)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
     assert fp.edit_fingerprints(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_text_is_of_the_sketch(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-(2**63), 2**63) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 40, 500))]
+    df = spark.createDataFrame(rows, "k int, d array<bigint>")
+    cells = {}
+    for r in fp.sketch_cells(df.select("k", F.explode("d").alias("digest")), ["k"], 96).where("cell >= 0").collect():
+        cells.setdefault(r.k, []).append((r.cell, f"{r.cell}:{r.n}:{r.x % 2**64:x}:{r.c % 2**64:x}".lower()))
+    want = {i: " ".join(t for _, t in sorted(cells.get(i, []))) for i, _ in rows}
+    pad = lambda t: " ".join(":".join(p.lstrip("0") or "0" if n > 1 else p for n, p in enumerate(c.split(":"))) for c in t.split(" ")) if t else ""
+    got = {r.k: r.f for r in df.select("k", fp.fingerprint_text(F.col("d"), 96).alias("f")).collect()}
+    assert {i: pad(t) for i, t in got.items()} == {i: pad(t) for i, t in want.items()}
