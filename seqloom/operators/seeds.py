@@ -20,17 +20,64 @@ def seed_join(queries: DataFrame, refs: DataFrame, k: int = 11, max_occ: int | N
     """(query_id, ref_id, query_pos, ref_pos): all pairs of equal k-mers of (id, seq) tables.
 
     The queries' k-mers are broadcast while the queries have at most BROADCAST_CHARS
-    characters, so that the references' never move; beyond that both sides shuffle by k-mer
-    and AQE splits frequent ones. ``max_occ`` leaves out k-mers that occur more often in the
+    characters, so that the references' never move; beyond that both sides shuffle by k-mer, and
+    frequent ones by a salt too (``salted``). ``max_occ`` leaves out k-mers that occur more often in the
     references; None, the default, loses nothing.
     """
-    q = kmers(queries, k=k).select(F.col("id").alias("query_id"), F.col("pos").alias("query_pos"), "kmer")
-    r = kmers(refs, k=k).select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), "kmer")
+    return _joined(_query_kmers(queries, k), kmers(refs, k=k).withColumnsRenamed({"id": "ref_id", "pos": "ref_pos"}), _small(queries), max_occ)
+
+
+def _query_kmers(queries: DataFrame, k: int) -> DataFrame:
+    return kmers(queries, k=k).select(F.col("id").alias("query_id"), F.col("pos").alias("query_pos"), "kmer")
+
+
+def _small(queries: DataFrame) -> bool:
+    return (queries.agg(F.sum(F.char_length("seq"))).first()[0] or 0) <= BROADCAST_CHARS
+
+
+def _joined(q: DataFrame, r: DataFrame, small: bool, max_occ: int | None) -> DataFrame:
     if max_occ is not None:
         common = r.groupBy("kmer").count().where(F.col("count") > max_occ).select("kmer")
         q = q.join(common, "kmer", "left_anti")
-    chars = queries.agg(F.sum(F.char_length("seq"))).first()[0] or 0
-    q = F.broadcast(q) if chars <= BROADCAST_CHARS else q
+    if small:
+        return r.join(F.broadcast(q), "kmer").select("query_id", "ref_id", "query_pos", "ref_pos")
+    q, r = salted(q, r)
+    return r.join(q, ["kmer", "salt"]).select("query_id", "ref_id", "query_pos", "ref_pos")
+
+
+def salted(q: DataFrame, r: DataFrame, kinds: int = 1 << 16, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: rows of frequent k-mers are dealt out on the reference side and repeated on the query side.
+
+    Counts decide, by hash of the k-mer in ``kinds`` groups: one pass whose map side leaves ``kinds`` rows.
+    A group of more than one in ``share`` of all rows is frequent, so there are fewer than ``share`` of them, and
+    gets as many salts as it has such parts: no salt of a frequent k-mer has more than that of the references.
+    """
+    kind = lambda: F.pmod(F.xxhash64("kmer"), F.lit(kinds)).cast("int").alias("kind")
+    counts = r.groupBy(kind()).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(F.col("n") * share > total).select("kind", F.ceil(F.col("n") * share / F.lit(max(1, total))).cast("int").alias("salts"))
+    parts = F.coalesce("salts", F.lit(1))
+    dealt = r.withColumn("kind", kind()).join(F.broadcast(heavy), "kind", "left").withColumn("salt", F.pmod(F.xxhash64("ref_id", "ref_pos"), parts).cast("int"))
+    each = q.withColumn("kind", kind()).join(F.broadcast(heavy), "kind", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return each.drop("kind", "salts"), dealt.drop("kind", "salts")
+
+
+def store_kmers(refs: DataFrame, name: str, k: int = 11, path: str | None = None) -> None:
+    """Write the references' k-mers once, as table ``name`` (ref_id, ref_pos, kmer) bucketed and sorted by k-mer, for later ``probe``s.
+
+    ``path``: its folder, if not the warehouse. Longer k-mers than the table's find nothing there.
+    """
+    n = partitions(refs.sparkSession)
+    rows = kmers(refs, k=k).select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), "kmer")
+    writer = rows.repartition(n, "kmer").write.bucketBy(n, "kmer").sortBy("kmer")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def probe(queries: DataFrame, name: str, k: int = 11, max_occ: int | None = None) -> DataFrame:
+    """As ``seed_join``, with the references' k-mers of a table by ``store_kmers``: their side is neither cut again nor moved."""
+    q, r = _query_kmers(queries, k), queries.sparkSession.table(name)
+    if _small(queries) or max_occ is not None:
+        return _joined(q, r, _small(queries), max_occ)
     return r.join(q, "kmer").select("query_id", "ref_id", "query_pos", "ref_pos")
 
 

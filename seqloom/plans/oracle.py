@@ -222,6 +222,7 @@ ORACLE_SQL = {
     "k2_postings_by_id": f"SELECT id, kmer, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_kmers(*PART, 2)}) GROUP BY id, kmer",
     "k2_postings_parts": f"SELECT id, kmer, pos // 4096 AS part, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM ({_kmers(*DOCS, 2)}) GROUP BY id, kmer, part",
     "s1_seed_join": f"WITH {_seeds(11)} SELECT * FROM seeds",
+    "s1_seed_join_stored": f"WITH {_seeds(11)} SELECT * FROM seeds",
     "s1_diagonal_runs": f"WITH {_seeds(K_SEED)} SELECT * FROM runs",
     "s2_extend_seeds": f"WITH {_EXTEND} SELECT * FROM extended",
     "s3_seed_extend": f"""WITH {_EXTEND}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, kmers, patterns, seeds, suffix
-from ..sources.tables import materialize, table
+from ..sources.tables import materialize, scratch_path, table
 
 K_SEED = 20
 
@@ -75,6 +77,13 @@ def s1_seed_join(spark, sf):
     return seeds.seed_join(_items(spark, sf), _documents(spark, sf), k=11)
 
 
+def s1_seed_join_stored(spark, sf):
+    """The same seeds from a table of the documents' k-mers that is written first, bucketed by k-mer."""
+    name = f"kmers_{uuid.uuid4().hex}"
+    seeds.store_kmers(_documents(spark, sf), name, 11, scratch_path(spark, "kmers"))
+    return seeds.probe(_items(spark, sf), name, 11)
+
+
 def s1_diagonal_runs(spark, sf):
     return seeds.diagonal_runs(seeds.seed_join(_items(spark, sf), _documents(spark, sf), k=K_SEED))
 
@@ -264,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         k1_kmers, k1_kmers_long, k2_postings, k2_postings_by_id, k2_postings_parts,
-        s1_seed_join, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
+        s1_seed_join, s1_seed_join_stored, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
         p1_pattern_count, p2_pattern_locate, p2_passages, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
         b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b1_rotation_ranks_documents, b2_bwt, b2_bwt_passages, b2_bwt_blocks, b3_char_table, b3_char_table_documents,
         a1_global_score, a1_global_score_kernel, a1_global_min_score, a1_global_pairs, a2_global_alignments, a3_local_score, a3_local_tiles, a3_local_alignments, a4_affine_score, a4_affine_tiles, a4_affine_alignments, a5_match_line, a6_compare_methods,

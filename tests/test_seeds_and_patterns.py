@@ -116,6 +116,46 @@ def test_growth_over_blocks(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
+@pytest.fixture
+def plain_joins(spark, monkeypatch):
+    """Shuffled joins only, as on large tables, and nothing re-planned."""
+    monkeypatch.setattr(seeds, "BROADCAST_CHARS", 0)
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+def test_a_kmer_of_a_third_of_the_texts(spark, plain_joins):
+    rng = random.Random(6)
+    other = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    qs = [other(30) for _ in range(8)] + ["GGGGGG" + other(5)]
+    rs = [("GGGGGG" if i % 3 == 0 else "") + other(12) for i in range(300)] + [qs[0], qs[1][4:]]
+    q, r = frame(spark, qs), frame(spark, rs)
+    want = sorted((i, j, a, b) for i, x in enumerate(qs) for j, y in enumerate(rs) for a in range(len(x) - 5) for b in range(len(y) - 5) if x[a : a + 6] == y[b : b + 6])
+    assert sorted(map(tuple, seeds.seed_join(q, r, 6).collect())) == want
+    one, two = (kmers.kmers(t, k=6).withColumnsRenamed({"id": f"{n}_id", "pos": f"{n}_pos"}) for t, n in ((q, "query"), (r, "ref")))
+    each, dealt = seeds.salted(one, two, share=100)
+    parts = [x["count"] for x in dealt.groupBy("kmer", "salt").count().collect()]
+    assert max(parts) <= 2 * two.count() / 100 < dealt.where("kmer = 'GGGGGG'").count()
+    assert each.where("kmer = 'GGGGGG'").count() == dealt.where("kmer = 'GGGGGG'").select("salt").distinct().count() > 1
+
+
+def test_stored_kmers(spark, plain_joins, tmp_path):
+    q, r = frame(spark, ["ACGTTAGC", "GGGG", None]), frame(spark, ["ACGTACGTTAGCTAGCT", "GGGGGGGG", "", None])
+    seeds.store_kmers(r, "stored_kmers", 4, str(tmp_path / "kmers"))
+    try:
+        found = seeds.probe(q, "stored_kmers", 4)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, seeds.seed_join(q, r, 4).collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert seeds.probe(q, "stored_kmers", 4, max_occ=2).where("query_id = 1").count() == 0
+    finally:
+        spark.sql("DROP TABLE stored_kmers")
+
+
 def test_order_context_and_frequent_kmers(spark):
     q, r = frame(spark, ["ACGTTAGC", "GGGG"]), frame(spark, ["ACGTACGTTAGCTAGCT", "GGGGGGGG"])
     hits = seeds.seed_extend(q, r, 4, dedup=True)
