@@ -7,10 +7,10 @@
    the members whose signatures agree with the centre's are confirmed on full sets. Large-star and small-star turn the links into components.
 3. Rest: the buckets of one centre may still hold a link that the centre is not part of.
    Where a centre's members lie in different components, those outside its largest
-   component are compared with all members of other components, block against block with
-   their texts. A pair of blocks is a task's unit of work, dealt by the hash of all three of
-   (centre, left block, right block), so that no centre decides the longest task, and only
-   confirmed links leave a task. Components are then found again.
+   component are compared with all members of other components, block against block by
+   their signatures. A pair of blocks is a task's unit of work, dealt by the hash of all three of
+   (centre, left block, right block), so that no centre decides the longest task. The pairs left are
+   confirmed on full sets, as those of step 2, and components are found again.
 After step 3 every two classes that share a bucket are in one component or were compared.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands: 1.3e-7 at
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,9 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 BITS = 1 << 24  # of the filter that is broadcast to find candidates' texts
-BLOCK = 30_000  # shingles of the texts in a block of the third step
+BLOCK = 2_000  # members in a block of the third step
 SALTS = 64
+SHARE = 1_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -278,67 +280,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def _links_of_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Links (u, v) of different components inside groups (z, rep, root, main, total, outside, n, sketch).
+def _candidates_of_groups(groups: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs (u, v) of different components inside groups (z, rep, root, main, total, outside, n, sketch) that the sketches leave.
 
     Members outside the main component, in blocks, meet all members of their group, in blocks. A member
-    goes to every pair of blocks that its own is part of.
+    goes to every pair of blocks that its own is part of, with its sketch and without its text.
     """
-    spark = docs.sparkSession
-    wanted = groups.select(F.col("rep").alias("doc_id")).distinct()
-    texts = texts_of(docs, wanted).withColumnRenamed("doc_id", "rep")
+    spark = groups.sparkSession
     blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
     slot = lambda size: F.pmod(F.xxhash64("rep"), blocks(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), blocks(size) - 1))
-    own = ["z", "rep", "root", "n", "sketch"]
+    own = ["z", "rep", "root", "n", "sketch", (F.col("root") == F.col("main")).alias("inside")]
     left = groups.where("root <> main").select(*own, F.lit(True).alias("first"), slot("outside").alias("i"), every("total").alias("j"))
     right = groups.select(*own, F.lit(False).alias("first"), slot("total").alias("j"), every("outside").alias("i"))
-    held = left.unionByName(right).join(texts, "rep")
-    member = F.struct("rep", "root", "n", "sketch", "text")
-    tiles = held.groupBy("z", "i", "j").agg(F.collect_list(F.when(F.col("first"), member)).alias("left"), F.collect_list(F.when(~F.col("first"), member)).alias("right")).select("left", "right")
+    member = F.struct("rep", "root", "n", "sketch", "inside")
+    tiles = left.unionByName(right).groupBy("z", "i", "j").agg(F.collect_list(F.when(F.col("first"), member)).alias("left"), F.collect_list(F.when(~F.col("first"), member)).alias("right")).select("left", "right")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def columns(block) -> tuple:
-            ids, roots, sizes = (np.array([m[c] for m in block], dtype=np.int64) for c in ("rep", "root", "n"))
-            return ids, roots, sizes, np.frombuffer(b"".join(bytes(m["sketch"]) for m in block), dtype=np.uint8).reshape(len(ids), -1)
+            ids, roots, sizes, inside = (np.array([m[c] for m in block], dtype=np.int64) for c in ("rep", "root", "n", "inside"))
+            return ids, roots, sizes, inside == 1, np.frombuffer(b"".join(bytes(m["sketch"]) for m in block), dtype=np.uint8).reshape(len(ids), -1)
 
         for b in batches:
-            us, vs = [], []
+            us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for left, right in zip(b["left"], b["right"], strict=True):
                 if not len(left) or not len(right):
                     continue
-                (xi, xr, xn, xs), (yi, yr, yn, ys) = columns(left), columns(right)
-                sets: dict[int, set] = {}
+                (xi, xr, xn, _, xs), (yi, yr, yn, inside, ys) = columns(left), columns(right)
                 for i in range(len(xi)):
-                    near = ((ys == xs[i]).sum(axis=1) >= least) & (yr != xr[i]) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i]))
-                    found = np.flatnonzero(near)
-                    if len(found):
-                        one = shingle_set(left[i]["text"], k)
-                        for j in found:
-                            two = sets.get(j)
-                            if two is None:
-                                two = sets[j] = shingle_set(right[j]["text"], k)
-                            both = len(one & two)
-                            if both and 100 * both >= percent * (len(one) + len(two) - both):
-                                us.append(min(xi[i], yi[j]))
-                                vs.append(max(xi[i], yi[j]))
-            yield pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+                    # two members outside meet in two tiles, and one of these tells
+                    able = np.flatnonzero((yr != xr[i]) & (inside | (yi > xi[i])) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i])))
+                    near = yi[able[(ys[able] == xs[i]).sum(axis=1) >= least]]
+                    us.append(np.minimum(near, xi[i]))
+                    vs.append(np.maximum(near, xi[i]))
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks of texts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks of sketches
     try:
-        return materialize(tiles.mapInPandas(compare, "u bigint, v bigint").distinct(), "links")
+        return materialize(tiles.mapInPandas(compare, "u bigint, v bigint").distinct(), "candidates")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def _roots_of_rows(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n, root) of the rows ``signed`` by their class in ``roots`` (text_key, n, root, copies).
+
+    Classes with over a 1 / SHARE of all rows, fewer than SHARE, are broadcast, so that the copies of a common text are
+    looked up where they are; a row without shingles is its own root.
+    """
+    all_rows = roots.agg(F.sum("copies")).first()[0] or 0
+    common = F.col("copies") * SHARE > all_rows
+    rows = signed.select("doc_id", "n", "text_key")
+    known = rows.where("n > 0").join(F.broadcast(roots.where(common).select("text_key", "n", "root")), ["text_key", "n"], "left")
+    others = known.where("root is null").drop("root").join(roots.where(~common).select("text_key", "n", "root"), ["text_key", "n"])
+    parts = [known.where("root is not null"), others, rows.where("n = 0").withColumn("root", F.col("doc_id"))]
+    return reduce(DataFrame.unionByName, [p.select("doc_id", "n", "root") for p in parts])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, seed: int = 11) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for the documents ``docs`` (doc_id, text)."""
     least = _least_agreement(bands * rows, percent)
     likely = bands * rows * (percent - 4) // 100  # stars below it are left to the third step
     signed = materialize(signatures(docs, k, bands, rows, seed), "signatures")
     # one class per set; the smallest id stands for it, and equal sets have equal signatures
-    classes = materialize(signed.where("n > 0").groupBy("text_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys")), "classes")
+    classes = materialize(signed.where("n > 0").groupBy("text_key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("band_keys").alias("band_keys"), F.count("*").alias("copies")), "classes")
     buckets = classes.select(F.explode("band_keys").alias("bucket"), "rep")
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre <> _top").select("bucket", "centre")
     members = materialize(buckets.join(shared, "bucket").select("centre", "rep").distinct(), "members")
@@ -351,8 +357,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             yield b.loc[_agreeing(b["su"], b["sv"]) >= likely, ["u", "v"]]
 
     side = lambda name: light.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    # a centre's sketch goes to as many of SALTS tasks as its members fall into
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    centres = salted.select("u", "salt").distinct().join(side("u"), "u")
     screened = (
-        stars.join(side("v"), "v").join(side("u"), "u")
+        salted.join(side("v"), "v").join(centres, ["u", "salt"])
         .where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
         .select("u", "v", "su", "sv").mapInPandas(screen, "u bigint, v bigint").distinct()
     )
@@ -362,20 +371,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     groups = members.select(F.col("centre").alias("z"), "rep").union(members.select("centre", "centre")).distinct()
     rooted = groups.join(first, groups["rep"] == first["node"], "left").select("z", "rep", F.coalesce("root", "rep").alias("root")).join(light, "rep")
-    sizes = rooted.groupBy("z", "root").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
-    mixed = sizes.groupBy("z").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("total").alias("total"), F.max(F.struct("c", "root", "total"))["total"].alias("inside"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = rooted.groupBy("z", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("z").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("inside"), F.count("*").alias("roots")).where("roots > 1")
     mixed = mixed.select("z", "main", "total", (F.col("total") - F.col("inside")).alias("outside"))
     # a centre's members meet its facts in SALTS tasks
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")
     facts = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = materialize(rooted.select("*", salt).join(facts, ["z", "salt"]).drop("salt"), "groups")
-    more = _links_of_groups(held, docs, k, percent, least)
+    pairs = _candidates_of_groups(held, percent, least)
+    more = materialize(confirm(pairs, docs, k, percent), "links")
     final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
-    reps = classes.select("text_key", F.col("n").alias("_n"), F.col("rep").alias("_rep"))
-    named = signed.select("doc_id", "n", "text_key").join(reps, (signed["text_key"] == reps["text_key"]) & (signed["n"] == reps["_n"]), "left").drop(reps["text_key"])
-    named = named.join(final, named["_rep"] == final["node"], "left")
-    out = named.select("doc_id", "n", F.coalesce("root", "_rep", "doc_id").alias("root"))
+    roots = classes.select("text_key", "n", "rep", "copies").join(final, F.col("rep") == final["node"], "left")
+    roots = materialize(roots.select("text_key", "n", F.coalesce("root", "rep").alias("root"), "copies"), "roots")
+    for done in (classes, members, screened, links, held, pairs, more):
+        discard(done)
+    out = _roots_of_rows(signed, roots)
     # a document whose rows have several texts joins all their classes
     ids = out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("root").alias("component_id"), F.max("root").alias("_other"))
     ids = materialize(ids, "components")
