@@ -73,12 +73,31 @@ def global_bound(match: int, mismatch: int, gap: int) -> Column:
     return match * F.least(m, n) + gap * F.abs(m - n)
 
 
+def shared_characters() -> Column:
+    """How many characters seq1 and seq2 have in common, each counted as often as in the text that has fewer of it; null beside a null."""
+    short, long = (F.when((F.char_length("seq1") <= F.char_length("seq2")) == first, F.col("seq1")).otherwise(F.col("seq2")) for first in (True, False))
+    count = lambda t, c: F.char_length(t) - F.char_length(F.replace(t, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(short, "")), F.lit(0), lambda n, c: n + F.least(count(short, c), count(long, c)))
+    return F.when(F.col("seq1").isNotNull() & F.col("seq2").isNotNull(), common)
+
+
+def local_bound(match: int, mismatch: int) -> Column:
+    """What a pair's local score cannot exceed: equal characters are shared ones, and no more columns than the shorter text has characters lack gaps."""
+    one, two = F.char_length("seq1"), F.char_length("seq2")
+    least = F.when(one <= two, one).when(one > two, two)
+    if match <= mismatch:
+        return max(mismatch, 0) * least
+    shared = shared_characters()
+    return max(match, 0) * shared + max(mismatch, 0) * (least - shared)
+
+
 def global_score_join(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: int = -1, min_score: int | None = None) -> DataFrame:
     """(pair_id, score): the best end-to-end score.
 
     Where mismatch = gap + match / 2 the score is match * (m + n) / 2 less (match - mismatch)
     times the edit distance, a built-in function; otherwise a kernel fills the cells. A least
-    score first drops pairs whose lengths cannot reach it.
+    score first drops pairs whose lengths cannot reach it, and before the kernel those whose characters
+    cannot: what the longer text has beyond the shared characters takes an edit each.
     """
     _check(match, mismatch, gap)
     if min_score is not None and match > 0 and mismatch <= match:
@@ -87,6 +106,9 @@ def global_score_join(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap:
         value = match // 2 * (F.char_length("seq1") + F.char_length("seq2")) - (match - mismatch) * F.levenshtein("seq1", "seq2")
         scored = pairs.select("pair_id", value.cast("bigint").alias("score"))
         return scored if min_score is None else scored.where(F.col("score") >= min_score)
+    if min_score is not None and match > 0 and mismatch < match:
+        m, n = F.char_length("seq1"), F.char_length("seq2")
+        pairs = pairs.where(most_edits(match, mismatch, gap, min_score, m, n) >= F.greatest(m, n) - shared_characters())
     return _with_nulls(_kernel(pairs, "global", (match, mismatch, gap), False), pairs, min_score)
 
 
@@ -172,14 +194,17 @@ def global_alignments(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap:
     return _alignments(pairs, scored, "global", (match, mismatch, gap), min_score, top)
 
 
-def _tiled_scores(pairs: DataFrame, kind: str, scores: tuple[int, ...], gap: int) -> DataFrame:
+def _tiled_scores(pairs: DataFrame, kind: str, scores: tuple[int, ...], gap: int, min_score: int | None) -> DataFrame:
     """(pair_id, score) of local alignment; a long text is scored in tiles, each in a task of its own.
 
     A positive local alignment has at most m characters of the shorter text, and as each gap's character costs
     ``gap``, at most m + m * match / -gap of the longer one. Tiles that overlap by so much hold every
-    alignment whole, so the best of a pair's tiles is its score.
+    alignment whole, so the best of a pair's tiles is its score. With ``min_score`` tiles whose characters cannot
+    reach it are left out, and pairs that cannot have no row.
     """
-    match = scores[0]
+    match = max(scores[:2])
+    if min_score is not None:
+        pairs = pairs.where(max(match, 0) * F.least(F.char_length("seq1"), F.char_length("seq2")) >= min_score)
     one, two = F.char_length("seq1"), F.char_length("seq2")
     least, most = F.least(one, two), F.greatest(one, two)
     span = least + F.floor(least * match / F.lit(max(1, -gap))).cast("int")
@@ -191,15 +216,15 @@ def _tiled_scores(pairs: DataFrame, kind: str, scores: tuple[int, ...], gap: int
         F.when(one <= two, F.col("seq2")).otherwise(F.col("seq1")).alias("long"), span.alias("span"), step.alias("step"), most.alias("most"),
     )
     tiles = told.select("pair_id", F.col("short").alias("seq1"), F.explode(F.when(whole, F.array("long")).otherwise(cut)).alias("seq2"))
+    if min_score is not None:
+        tiles = tiles.where(local_bound(*scores[:2]) >= min_score)
     return _kernel(tiles, kind, scores, False).groupBy("pair_id").agg(F.max("score").alias("score")).select("pair_id.pair_id", "score")
 
 
 def local_score_join(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -1, min_score: int | None = None) -> DataFrame:
     """(pair_id, score): the best score of two substrings, 0 or more; long texts in tiles."""
     _check(match, mismatch, gap)
-    if min_score is not None and match > 0:
-        pairs = pairs.where(match * F.least(F.char_length("seq1"), F.char_length("seq2")) >= min_score)
-    return _with_nulls(_tiled_scores(pairs, "local", (match, mismatch, gap), gap), pairs, min_score)
+    return _with_nulls(_tiled_scores(pairs, "local", (match, mismatch, gap), gap, min_score), pairs, min_score)
 
 
 def local_alignments(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -1, min_score: int | None = None, top: int | None = None) -> DataFrame:
@@ -211,9 +236,7 @@ def local_alignments(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap:
 def local_affine_join(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap_open: int = -3, gap_extend: int = -1, min_score: int | None = None) -> DataFrame:
     """(pair_id, score): as ``local_score_join``; a gap of length L costs gap_open + L * gap_extend."""
     _check(match, mismatch, gap_open, gap_extend)
-    if min_score is not None and match > 0:
-        pairs = pairs.where(match * F.least(F.char_length("seq1"), F.char_length("seq2")) >= min_score)
-    return _with_nulls(_tiled_scores(pairs, "affine", (match, mismatch, gap_open, gap_extend), gap_extend), pairs, min_score)
+    return _with_nulls(_tiled_scores(pairs, "affine", (match, mismatch, gap_open, gap_extend), gap_extend, min_score), pairs, min_score)
 
 
 def local_affine_alignments(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap_open: int = -3, gap_extend: int = -1, min_score: int | None = None, top: int | None = None) -> DataFrame:
@@ -257,4 +280,4 @@ def compare_methods(queries: DataFrame, refs: DataFrame, k: int = 4, pairs: Data
     return full.select("query_id", "ref_id", "global_score", "local_score", "seed_score", "seed_ref_start", "seed_ref_end", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("positions", F.array().cast("array<bigint>")).alias("positions"))
 
 
-__all__ = ["by_edit_distance", "candidate_pairs", "compare_methods", "global_alignments", "global_bound", "global_score_join", "global_score_pairs", "identity", "local_affine_alignments", "local_affine_join", "local_alignments", "local_score_join", "match_line", "most_edits", "top_hits"]
+__all__ = ["by_edit_distance", "candidate_pairs", "compare_methods", "global_alignments", "global_bound", "global_score_join", "global_score_pairs", "identity", "local_affine_alignments", "local_affine_join", "local_alignments", "local_bound", "local_score_join", "match_line", "most_edits", "shared_characters", "top_hits"]

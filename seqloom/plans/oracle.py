@@ -278,7 +278,9 @@ FROM customer a JOIN customer b ON length(a.c_name) + length(b.c_name) - 3 * lev
     "a3_local_tiles": f"{_COMPARE[: _COMPARE.index('), top AS')]}) SELECT query_id, ref_id, local_score AS score FROM scored",
     "a4_affine_tiles": _AFFINE_WHOLE,
     "a3_local_score": _scores(2, -1, -1, True),
+    "a3_local_min_score": _scores(2, -1, -1, True, "AND best >= 14"),
     "a4_affine_score": _affine(2, -1, -4, -1),
+    "a4_affine_min_score": f"{_affine(2, -1, -4, -1)} AND best >= 14",
     "a5_match_line": """SELECT pair_id, string_agg(mark, '' ORDER BY i) AS line, count(*) FILTER (WHERE mark = '|') / count(*)::DOUBLE AS identity FROM (
   SELECT pair_id, i, CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN '|' ELSE ' ' END AS mark FROM (
     SELECT x.c_custkey::BIGINT AS pair_id, x.c_name AS a, y.c_name AS b, unnest(range(1, length(x.c_name) + 1)) AS i FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1)

@@ -251,6 +251,16 @@ def a4_affine_score(spark, sf):
     return align.local_affine_join(_name_pairs(spark, sf))
 
 
+def a3_local_min_score(spark, sf):
+    """Names of parts and the next part's with a local score of 14 or more; the others' characters mostly spare the kernel."""
+    return align.local_score_join(_name_pairs(spark, sf), min_score=14)
+
+
+def a4_affine_min_score(spark, sf):
+    """The same with affine gaps."""
+    return align.local_affine_join(_name_pairs(spark, sf), min_score=14)
+
+
 def a4_affine_alignments(spark, sf):
     return align.local_affine_alignments(_name_pairs(spark, sf))
 
@@ -276,6 +286,6 @@ QUERIES = {
         s1_seed_join, s1_seed_join_stored, s1_diagonal_runs, s2_extend_seeds, s3_seed_extend, s3_seed_extend_dedup, s4_top_hits, s5_hit_context,
         p1_pattern_count, p2_pattern_locate, p2_passages, p2_overlapping, p3_pattern_search, p4_prefix_fallback, p5_match_context, p6_matched, p6_unmatched, p6_matched_patterns, p6_unmatched_patterns,
         b1_rotation_ranks, b1_rotation_ranks_doubling, b1_rotation_ranks_passages, b1_rotation_ranks_documents, b2_bwt, b2_bwt_passages, b2_bwt_blocks, b3_char_table, b3_char_table_documents,
-        a1_global_score, a1_global_score_kernel, a1_global_min_score, a1_global_pairs, a2_global_alignments, a3_local_score, a3_local_tiles, a3_local_alignments, a4_affine_score, a4_affine_tiles, a4_affine_alignments, a5_match_line, a6_compare_methods,
+        a1_global_score, a1_global_score_kernel, a1_global_min_score, a1_global_pairs, a2_global_alignments, a3_local_score, a3_local_tiles, a3_local_alignments, a3_local_min_score, a4_affine_score, a4_affine_min_score, a4_affine_tiles, a4_affine_alignments, a5_match_line, a6_compare_methods,
     )
 }

@@ -242,3 +242,23 @@ def test_tiles_equal_whole_texts(spark, monkeypatch, scores):
         given = (*scores, *extra)
         want = [(i, None if b is None else int(kernel([a], [b], *given)[0])) for i, a, b in rows]
         assert sorted(map(tuple, join(df, *given).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("scores", [(2, -1, -1), (1, -3, -2), (2, 1, -1), (1, 2, -2)])
+def test_least_scores_lose_no_pair(spark, monkeypatch, scores):
+    monkeypatch.setattr(align, "TILE", 7)
+    rng = random.Random(5)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, word(rng.choice([0, 3, 8, 12]), rng.choice(["abé", "bcd🦆"])), word(rng.choice([0, 6, 12, 90]), rng.choice(["abé", "bcd🦆"]))) for i in range(80)]
+    rows += [(80, None, "ab"), (81, "", ""), (82, "aaaa", "aaaa")]
+    df = spark.createDataFrame(rows, PAIR)
+    for join, extra in ((align.global_score_join, ()), (align.local_score_join, ()), (align.local_affine_join, (-1,))):
+        every = {r.pair_id: r.score for r in join(df, *scores, *extra).collect() if r.score is not None}
+        for least in (-3, 0, 1, 4, 9):
+            assert {r.pair_id: r.score for r in join(df, *scores, *extra, min_score=least).collect()} == {i: s for i, s in every.items() if s >= least}
+
+
+def test_shared_characters(spark):
+    rows = [(1, "aab🦆", "a🦆🦆bbb"), (2, "", "abc"), (3, "", ""), (4, "xyz", "abc"), (5, ".*.", ".."), (6, None, "a")]
+    got = spark.createDataFrame(rows, PAIR).select("pair_id", align.shared_characters().alias("n"), align.local_bound(2, -1).alias("most")).orderBy("pair_id").collect()
+    assert [(r.n, r.most) for r in got] == [(3, 6), (0, 0), (0, 0), (0, 0), (2, 4), (None, None)]
