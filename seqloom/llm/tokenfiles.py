@@ -209,21 +209,26 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 def read_token_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
     """(doc_id, start, ids): the tokens from ``start`` to ``stop`` - 1 of all files in a row, documents on the ends cut.
 
-    A row per file says which files hold the range; in these the page indexes leave out what begins behind it.
+    A row per file says which files hold the range, of which only the first and the last come to the driver; the files' numbers
+    leave out all others, and in the last one the page indexes leave out what begins behind the range.
     """
     rows = spark.read.schema("doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>, part int").parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    files = totals.where((F.col("base") < stop) & (F.col("base") + F.col("n") > start)).collect()  # at most a row per file
-    inside = F.lit(False)
-    base = F.lit(0).cast("bigint")
-    for f in files:
-        own = (F.col("part") == f["part"]) & (F.col("local_start") < stop - f["base"]) & (F.col("local_start") + F.col("n_tokens") > start - f["base"])
-        inside, base = inside | own, F.when(F.col("part") == f["part"], f["base"]).otherwise(base)
+    held = totals.where((F.col("base") < stop) & (F.col("base") + F.col("n") > start))
+    ends = held.agg(F.min_by(F.struct("part", "base"), "part").alias("first"), F.max_by(F.struct("part", "base"), "part").alias("last")).first()
+    if ends["first"] is None:
+        return rows.where("false").select("doc_id", F.col("local_start").alias("start"), "ids")
+    (first, before_first), (last, before_last) = ends["first"], ends["last"]
+    # bases ascend with the parts, so that only the first and the last file are cut, and a file's own base comes by a join
+    begins = (F.col("part") > first) | (F.col("local_start") + F.col("n_tokens") > start - before_first)
+    ceases = (F.col("part") < last) | (F.col("local_start") < stop - before_last)
+    inside = rows.where(F.col("part").between(first, last) & begins & ceases).join(F.broadcast(held.select("part", "base")), "part")
+    base = F.col("base")
     at = base + F.col("local_start")
     skip = F.greatest(F.lit(0).cast("bigint"), start - at)
     take = F.least(F.col("n_tokens"), stop - at) - skip
-    return rows.where(inside).select("doc_id", (at + skip).alias("start"), F.slice("ids", (skip + 1).cast("int"), take.cast("int")).alias("ids"))
+    return inside.select("doc_id", (at + skip).alias("start"), F.slice("ids", (skip + 1).cast("int"), take.cast("int")).alias("ids"))
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
