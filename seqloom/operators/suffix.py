@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,10 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import rotation_order, slices, spelt
 from ..sources.tables import discard, materialize, partitions
-from .kmers import blocks, substrings
+from .kmers import blocks, spread_out, substrings
 
-SHORT = 256
+SHORT = 1 << 18  # characters of a text up to which one task sorts its rotations
+PART = 4096  # ranks of a text to a row on their way from there
 FIRST = 12  # characters of the first ranks
 
 
@@ -29,20 +31,74 @@ def characters(ended: DataFrame) -> DataFrame:
     return ended.select("text_id", F.char_length("seq").cast("bigint").alias("n"), F.posexplode(F.split("seq", "")).alias("i", "ch")).where("i < n").select("text_id", F.col("i").cast("bigint").alias("i"), "ch", "n")
 
 
+def _by_text(ended: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], columns: str) -> DataFrame:
+    """(text_id, ``columns``): what ``work`` makes of the texts of a slice, their code points and where each begins."""
+    id_type = ended.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, codes, starts in slices(b, "seq"):
+                yield work(rows, codes, starts)
+
+    return spread_out(ended).mapInArrow(run, f"text_id {id_type}, {columns}")
+
+
+def _runs(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, part, begin): the places of each text in parts of ``size``, and with the last part's end where each begins."""
+    parts = -(-np.diff(starts) // size)
+    row = np.repeat(np.arange(len(parts)), parts)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return row, part, np.append(starts[row] + part * size, starts[-1])
+
+
+def _ordered_parts(size: int):
+    def work(rows: pa.RecordBatch, codes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        row, part, begin = _runs(starts, size)
+        index = rotation_order(codes, starts) - np.repeat(starts[:-1], np.diff(starts))
+        return pa.RecordBatch.from_arrays([rows.column("text_id").take(pa.array(row)), pa.array(part), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(index))], ["text_id", "part", "indexes"])
+
+    return work
+
+
+def _transformed_parts(size: int):
+    def work(rows: pa.RecordBatch, codes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        row, part, begin = _runs(starts, size)
+        order, first = rotation_order(codes, starts), np.repeat(starts[:-1], np.diff(starts))
+        last = codes[np.where(order > first, order - 1, first + np.repeat(np.diff(starts), np.diff(starts)) - 1)]
+        return pa.RecordBatch.from_arrays([rows.column("text_id").take(pa.array(row)), pa.array(part), pa.array([spelt(last[lo:hi]) for lo, hi in zip(begin[:-1], begin[1:], strict=True)], pa.string())], ["text_id", "block", "bwt"])
+
+    return work
+
+
+def _brief_and_long(texts: DataFrame, short: int) -> tuple[DataFrame, DataFrame | None]:
+    """Closed texts of up to ``short`` characters, and the longer ones, if there are any."""
+    ended = closed(texts)
+    long = ended.where(F.char_length("seq") > short)
+    return ended.where(F.char_length("seq") <= short), None if long.isEmpty() else long
+
+
+def rotation_orders(texts: DataFrame, size: int, short: int = SHORT) -> DataFrame:
+    """(text_id, part, indexes): the rotations' indexes in the order of ``rotation_ranks``, those of ``size`` ranks to a row."""
+    brief, long = _brief_and_long(texts, short)
+    found = _by_text(brief, _ordered_parts(size), "part bigint, indexes array<bigint>")
+    if long is None:
+        return found
+    part = F.floor(F.col("rank") / size).cast("bigint").alias("part")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "i"))), lambda x: x["i"])
+    return found.unionByName(_doubled(long).groupBy("text_id", part).agg(listed.alias("indexes")))
+
+
 def rotation_ranks(texts: DataFrame, short: int = SHORT) -> DataFrame:
     """(text_id, i, rank): the place of each rotation among all of its text, equal ones by index.
 
-    Texts up to ``short`` characters sort their rotations; longer ones double a prefix rank
-    in rounds (rank by the first h characters, then 2h), about log2 of the longest repeat / FIRST.
+    A text is a row, so ids should not repeat. The rotations of texts up to ``short`` characters are sorted in the task
+    that has the text, of many texts at once; longer ones double a prefix rank in rounds of
+    their own (rank by the first h characters, then 2h), about log2 of the longest repeat / FIRST.
     """
-    ended = closed(texts)
-    brief = ended.where(F.char_length("seq") <= short)
-    turned = brief.select("text_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.char_length("seq") - 1), lambda i: F.concat(F.substring(F.col("seq"), i + 1, F.lit(short)), F.substring(F.col("seq"), F.lit(1), i)))).alias("i", "rot"))
-    direct = turned.select("text_id", F.col("i").cast("bigint").alias("i"), (F.row_number().over(Window.partitionBy("text_id").orderBy("rot", "i")) - 1).cast("bigint").alias("rank"))
-    long = ended.where(F.char_length("seq") > short)
-    if long.isEmpty():
-        return direct
-    return direct.unionByName(_doubled(long))
+    brief, long = _brief_and_long(texts, short)
+    orders = _by_text(brief, _ordered_parts(PART), "part bigint, indexes array<bigint>")
+    direct = orders.select("text_id", "part", F.posexplode("indexes").alias("at", "i")).select("text_id", "i", (F.col("part") * PART + F.col("at")).alias("rank"))
+    return direct if long is None else direct.unionByName(_doubled(long))
 
 
 def _beginnings(ended: DataFrame) -> DataFrame:
@@ -131,7 +187,7 @@ def _doubled(ended: DataFrame) -> DataFrame:
             break
         every = reduce(DataFrame.unionByName, [*done, now])
         shifted = every.select("text_id", F.pmod(F.col("i") - h, F.col("n")).alias("i"), F.col("r").alias("k"))
-        ordered = _ranked(now.where(open).join(shifted, ["text_id", "i"]).select("text_id", "i", "n", "r", "k"))
+        ordered = _ranked(now.where(open).hint("merge").join(shifted, ["text_id", "i"]).select("text_id", "i", "n", "r", "k"))
         done, now, h = [*done, now.where(~open)], ordered, h * 2
     ranks = reduce(DataFrame.unionByName, [*done, now])
     # what is still tied are the equal rotations of a periodic text: n / rows places apart, in the order of their index
@@ -146,10 +202,15 @@ def bwt_blocks(texts: DataFrame, short: int = SHORT, size: int = 1 << 16) -> Dat
 
     A row's length is bounded, whatever the text's; the blocks of a text one after another are its ``bwt``.
     """
-    last = characters(closed(texts)).select("text_id", F.pmod(F.col("i") + 1, F.col("n")).alias("i"), "ch")
-    joined = rotation_ranks(texts, short).join(last, ["text_id", "i"])
+    brief, long = _brief_and_long(texts, short)
+    found = _by_text(brief, _transformed_parts(size), "block bigint, bwt string")
+    if long is None:
+        return found
+    last = characters(long).select("text_id", F.pmod(F.col("i") + 1, F.col("n")).alias("i"), "ch")
+    # by a hint, as the files' size tells nothing of how many rows a text becomes
+    joined = _doubled(long).hint("merge").join(last, ["text_id", "i"])
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "ch"))), lambda x: x["ch"])
-    return joined.groupBy("text_id", F.floor(F.col("rank") / size).cast("bigint").alias("block")).agg(F.array_join(ordered, "").alias("bwt"))
+    return found.unionByName(joined.groupBy("text_id", F.floor(F.col("rank") / size).cast("bigint").alias("block")).agg(F.array_join(ordered, "").alias("bwt")))
 
 
 def bwt(texts: DataFrame, short: int = SHORT) -> DataFrame:
