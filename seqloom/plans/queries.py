@@ -169,15 +169,13 @@ def b1_rotation_ranks_doubling(spark, sf):
 
 
 def b1_rotation_ranks_passages(spark, sf):
-    """Whole benchmark passages; those of more than 256 characters go by doubling."""
+    """Whole benchmark passages."""
     return suffix.rotation_ranks(_items(spark, sf))
 
 
 def b1_rotation_ranks_documents(spark, sf):
     """Whole documents: the rotations' indexes in rank order, those of 4,096 ranks to a row."""
-    part = F.floor(F.col("rank") / 4096).cast("bigint").alias("part")
-    listed = suffix.rotation_ranks(_documents(spark, sf)).groupBy("text_id", part).agg(F.sort_array(F.collect_list(F.struct("rank", "i"))).alias("l"))
-    return listed.select("text_id", "part", F.array_join(F.transform("l", lambda x: x["i"].cast("string")), ",").alias("indexes"))
+    return suffix.rotation_orders(_documents(spark, sf), 4096).select("text_id", "part", F.array_join(F.transform("indexes", lambda i: i.cast("string")), ",").alias("indexes"))
 
 
 def b2_bwt_blocks(spark, sf):
