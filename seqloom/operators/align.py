@@ -139,37 +139,41 @@ def global_score_pairs(left: DataFrame, right: DataFrame, min_score: int, match:
     Elsewhere by the pigeonhole principle: one of the d + 1 even segments of the first lies unchanged in the second, at most d
     places from its own; a segment that many texts share makes many candidates there. Where ``min_score`` allows
     as many edits as there are characters, a segment is empty and all texts of those lengths are candidates,
-    as nearly all are results. Ids must not repeat; null ids and texts have no pairs.
+    as nearly all are results. Different texts are compared, and their ids join the results, so copies cost only the
+    rows that they are in. Ids must not repeat; null ids and texts have no pairs.
     """
     _check(match, mismatch, gap)
     if match <= 0 or mismatch >= match:
         raise ValueError("match must be above 0 and above mismatch")
-    sides = [t.select("id", "seq", F.char_length("seq").alias("len")).where("id is not null and seq is not null") for t in (left, right)]
+    members = [t.select("id", "seq").where("id is not null and seq is not null") for t in (left, right)]
+    sides = [m.select("seq").distinct().withColumn("len", F.char_length("seq")) for m in members]
     # lengths that occur: at most as many as the longest text has characters
     lengths = [[r["len"] for r in t.select("len").distinct().orderBy("len").collect()] for t in sides]
     numbers = lambda xs: F.split(F.lit(",".join(map(str, xs)) or "-1"), ",").cast("array<int>")
     able = lambda m, n: most_edits(match, mismatch, gap, min_score, m, n) >= F.abs(m - n)
     cut = lambda m, d, i: F.floor(m.cast("bigint") * i / (d + 1)).cast("int")
     own, other = F.col("len"), F.col("other")
-    partners = lambda t, xs: t.select("id", "seq", "len", F.explode(F.filter(numbers(xs), lambda x: able(F.col("len"), x))).alias("other")).withColumn("d", most_edits(match, mismatch, gap, min_score, own, other))
+    partners = lambda t, xs: t.select("seq", "len", F.explode(F.filter(numbers(xs), lambda x: able(F.col("len"), x))).alias("other")).withColumn("d", most_edits(match, mismatch, gap, min_score, own, other))
     short = F.lit(False)
     for d, most in DELETIONS.items():
         short = short | ((F.col("d") == d) & (F.greatest("len", "other") <= most))
     tried = [partners(sides[0], lengths[1]), partners(sides[1], lengths[0])]
     few = [t.where(short).withColumn("key", F.explode(_rests(F.col("seq"), F.col("d")))) for t in tried]
-    near = few[0].select(F.col("id").alias("id1"), F.col("len").alias("m"), F.col("other").alias("n"), "key").join(few[1].select(F.col("id").alias("id2"), F.col("other").alias("m"), F.col("len").alias("n"), "key"), ["m", "n", "key"])
+    # joins by hint: the files' size tells nothing of how many rows a text becomes, and a broadcast would pass them through the driver
+    near = few[0].select(F.col("seq").alias("seq1"), F.col("len").alias("m"), F.col("other").alias("n"), "key").hint("merge").join(few[1].select(F.col("seq").alias("seq2"), F.col("other").alias("m"), F.col("len").alias("n"), "key"), ["m", "n", "key"])
     one, two = (t.where(~short).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))) for t in tried)
     begin, end = cut(own, F.col("d"), F.col("i")), cut(own, F.col("d"), F.col("i") + 1)
-    one = one.select(F.col("id").alias("id1"), F.col("len").alias("m"), F.col("other").alias("n"), "i", F.substr("seq", begin + 1, end - begin).alias("segment"))
+    one = one.select(F.col("seq").alias("seq1"), F.col("len").alias("m"), F.col("other").alias("n"), "i", F.substr("seq", begin + 1, end - begin).alias("segment"))
     begin, end = cut(other, F.col("d"), F.col("i")), cut(other, F.col("d"), F.col("i") + 1)
     first, last = F.greatest(F.lit(0), begin - F.col("d")), F.least(own - (end - begin), begin + F.col("d"))
     places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     found = F.array_distinct(F.transform(places, lambda p: F.substr(F.col("seq"), p + 1, end - begin)))
-    two = two.select(F.col("id").alias("id2"), F.col("other").alias("m"), F.col("len").alias("n"), "i", F.explode(found).alias("segment"))
-    ids = one.join(two, ["m", "n", "i", "segment"]).select("id1", "id2").unionByName(near.select("id1", "id2")).distinct()
-    texts = ids.join(sides[0].select(F.col("id").alias("id1"), F.col("seq").alias("seq1")), "id1").join(sides[1].select(F.col("id").alias("id2"), F.col("seq").alias("seq2")), "id2")
-    scored = global_score_join(texts.select(F.struct("id1", "id2").alias("pair_id"), "seq1", "seq2"), match, mismatch, gap, min_score)
-    return scored.select("pair_id.id1", "pair_id.id2", "score")
+    two = two.select(F.col("seq").alias("seq2"), F.col("other").alias("m"), F.col("len").alias("n"), "i", F.explode(found).alias("segment"))
+    texts = one.hint("merge").join(two, ["m", "n", "i", "segment"]).select("seq1", "seq2").unionByName(near.select("seq1", "seq2")).distinct()
+    scored = global_score_join(texts.select(F.struct("seq1", "seq2").alias("pair_id"), "seq1", "seq2"), match, mismatch, gap, min_score)
+    found = scored.select("pair_id.seq1", "pair_id.seq2", "score")
+    first, second = (m.select(F.col("id").alias(f"id{n}"), F.col("seq").alias(f"seq{n}")) for n, m in enumerate(members, 1))
+    return found.hint("merge").join(first, "seq1").hint("merge").join(second, "seq2").select("id1", "id2", "score")
 
 
 def _survivors(pairs: DataFrame, scored: DataFrame, top: int | None) -> DataFrame:
