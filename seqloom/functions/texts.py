@@ -132,3 +132,52 @@ def character_counts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     key, n = np.unique(row << 21 | codes, return_counts=True)
     row = key >> 21
     return row, key & ((1 << 21) - 1), n, np.cumsum(n) - n - starts[row]
+
+
+def cut(codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The strings of ``length`` characters at ``begin``."""
+    ends = np.cumsum(length)
+    held = codes[np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    size = np.cumsum(np.concatenate(([0], 1 + (held > 0x7F) + (held > 0x7FF) + (held > 0xFFFF))))
+    offsets = size[np.concatenate(([0], ends)).astype(np.int64)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets.tobytes()), pa.py_buffer(spelt(held).encode()))
+
+
+def met(texts: pa.Array, known: dict[int, Known], reach: dict[int, int]) -> pa.Array:
+    """Per text [(at, n, key, piece)]: its places at which the hash of n characters is known, for each n, with what stands there."""
+    counts, parts = [], []
+    for rows, codes, starts in slices(pa.record_batch({"t": texts}), "t"):
+        hashes, found = place_hashes(codes, list(known)), []
+        for n, among in known.items():
+            at = among.among(hashes[n])
+            row = np.searchsorted(starts, at, "right") - 1
+            inside = at + n <= starts[row + 1]
+            at, row = at[inside], row[inside]
+            piece = cut(codes, at, np.minimum(reach[n], starts[row + 1] - at))
+            found.append((row, pa.StructArray.from_arrays([pa.array(at - starts[row], pa.int32()), pa.array(np.full(len(at), n), pa.int32()), pa.array(hashes[n][at].astype(np.int64)), piece], ["at", "n", "key", "piece"])))
+        row = np.concatenate([r for r, _ in found])
+        parts.append(pa.concat_arrays([p for _, p in found]).take(pa.array(np.argsort(row, kind="stable"))))
+        counts.append(np.bincount(row, minlength=rows.num_rows))
+    offsets = np.cumsum(np.concatenate([[0], *counts]))
+    empty = pa.array([], pa.struct([("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("piece", pa.string())]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts) if parts else empty)
+
+
+MET = "array<struct<at: int, n: int, key: bigint, piece: string>>"
+
+
+def minimized(codes: np.ndarray, starts: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length, place, hash): runs of k-mers whose m-mer of least hash, the first of equals, stands at one place."""
+    none = np.empty(0, dtype=np.int64)
+    if len(codes) < k:
+        return none, none, none, np.empty(0, dtype=np.uint64)
+    h = place_hashes(codes, [m])[m]
+    at = np.arange(len(codes) - k + 1)
+    at = at[at + k <= starts[np.searchsorted(starts, at, "right")]]
+    best, place = h[at], at.copy()
+    for i in range(1, k - m + 1):
+        less = h[at + i] < best
+        best, place = np.where(less, h[at + i], best), np.where(less, at + i, place)
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else none
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last] - at[first] + k, place[first], best[first]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.texts import MET, Known, hash_of, met
+
 BLOCK = 128
+LARGE = 1 << 14  # characters of a block whose places are looked up at once
 
 
 def blocks(df: DataFrame, id: str, seq: str, k: int, block: int = BLOCK, reach: int | None = None) -> DataFrame:
@@ -46,6 +51,41 @@ def kmers(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataF
     return cut.select("id", (F.col("start") + F.col("off")).alias("pos"), "kmer")
 
 
+def hashed(text: Column) -> Column:
+    """The hash by which ``met_places`` knows a text."""
+
+    @F.arrow_udf("bigint")
+    def told(texts: pa.Array) -> pa.Array:
+        return hash_of(texts)
+
+    return told(text)
+
+
+def met_places(df: DataFrame, wanted: DataFrame, reach: dict[int, int], id: str = "id", seq: str = "seq") -> DataFrame:
+    """(id, pos, n, key, piece): the texts' places where ``n`` characters have a hash of ``wanted`` (n, key), with ``reach[n]`` characters from there.
+
+    Other places make no row. The hashes, 8 bytes each, pass through the driver: callers bound their number. Who
+    needs the characters themselves compares ``piece``.
+    """
+    got = wanted.select("n", "key").distinct().toArrow()
+    n, key = got.column("n").to_numpy(), got.column("key").to_numpy()
+    known = df.sparkSession.sparkContext.broadcast({int(x): Known(key[n == x]) for x in np.unique(n)})
+
+    @F.arrow_udf(MET)
+    def places(texts: pa.Array) -> pa.Array:
+        return met(texts, known.value, reach)
+
+    cut = blocks(spread_out(df.select(id, seq)), id, seq, min(reach), LARGE, max(reach.values()))
+    found = cut.select("id", "start", F.explode(places("blk")).alias("p")).where(F.col("p.at") < LARGE)
+    return found.select("id", (F.col("start") + F.col("p.at")).alias("pos"), "p.n", "p.key", "p.piece")
+
+
+def kmers_among(df: DataFrame, wanted: DataFrame, id: str = "id", seq: str = "seq", k: int = 11) -> DataFrame:
+    """(id, pos, kmer): as ``kmers``, those that are among ``wanted`` (kmer), and hardly any others."""
+    keys = wanted.select("kmer").distinct().select(F.lit(k).alias("n"), hashed(F.col("kmer")).alias("key"))
+    return met_places(df, keys, {k: k}, id, seq).select("id", "pos", F.col("piece").alias("kmer"))
+
+
 def kmer_postings(rows: DataFrame, by_id: bool = False, width: int | None = None) -> DataFrame:
     """(kmer[, id][, part], n, positions): positions ascending; ``n`` is their number.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import discard, materialize, partitions, scratch_path
-from .kmers import blocks, kmers
+from .kmers import blocks, kmers, kmers_among
 
 BROADCAST_CHARS = 2_000_000  # query characters up to which the queries' k-mers are broadcast
 CHUNK = 64  # characters of the first round
@@ -20,11 +20,13 @@ def seed_join(queries: DataFrame, refs: DataFrame, k: int = 11, max_occ: int | N
     """(query_id, ref_id, query_pos, ref_pos): all pairs of equal k-mers of (id, seq) tables.
 
     The queries' k-mers are broadcast while the queries have at most BROADCAST_CHARS
-    characters, so that the references' never move; beyond that both sides shuffle by k-mer, and
+    characters, so that the references' never move, and their hashes leave most of the references' places without a row; beyond that both sides shuffle by k-mer, and
     frequent ones by a salt too (``salted``). ``max_occ`` leaves out k-mers that occur more often in the
     references; None, the default, loses nothing.
     """
-    return _joined(_query_kmers(queries, k), kmers(refs, k=k).withColumnsRenamed({"id": "ref_id", "pos": "ref_pos"}), _small(queries), max_occ)
+    q, small = _query_kmers(queries, k), _small(queries)
+    r = kmers_among(refs, q, k=k) if small else kmers(refs, k=k)
+    return _joined(q, r.withColumnsRenamed({"id": "ref_id", "pos": "ref_pos"}), small, max_occ)
 
 
 def _query_kmers(queries: DataFrame, k: int) -> DataFrame:
