@@ -3,7 +3,7 @@
 Places are found by anchors. A pattern of at least ``anchor`` characters has the minimizer of its
 first window: of the window's k-mers, the leftmost of the least hash. A text keeps the minimizers of
 all its windows, about 2 in w + 1 of its k-mers; wherever the pattern occurs, the text has that
-window and so the same minimizer. Where a bitmap tells most places at once, windows of one k-mer
+window and so the same minimizer. Where patterns are few, the first characters
 do. A shorter pattern is its own anchor and meets all substrings of its length. An anchor met is a
 candidate, and the pattern is compared at that place.
 """
@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import BLOCK, blocks, spread_out, substrings
+from ..sources.tables import materialize
+from .kmers import BLOCK, blocks, hashed, met_places, spread_out, substrings
 
 ANCHOR = 12
 BROADCAST_CHARS = 2_000_000  # of patterns up to which they are broadcast
-LONG = 256  # characters of a pattern that are compared inside the block of its place
-MOST_BITS = 1 << 20  # of the bitmap of anchors; the largest is 16,384 words of the plan
+LONG = 512  # characters of a pattern that are compared with what is fetched at its place
 # An anchor is a number: a hash, five bits for its class (a short pattern's length, else 0), eight for its place in the block.
 PLACE, CLASS = 255, 31 << 8
 
@@ -42,27 +42,12 @@ def _minimizers(text: Column, windows: int, k: int, w: int) -> Column:
     return all if w == 1 else F.transform(F.array(all), least)[0]
 
 
-def _bitmap(anchors: DataFrame, n: int) -> tuple[list[int], int]:
-    """The anchors' keys in a bitmap of 16 bits or more each, as words, and how far a key is shifted to its bit's number.
-
-    At most MOST_BITS / 64 words come to the driver, whatever the number of patterns.
-    """
-    bits = min(MOST_BITS, 1 << max(10, (16 * n - 1).bit_length()))
-    shift = 64 - (bits.bit_length() - 1)
-    place = F.shiftrightunsigned("key", shift)
-    words = anchors.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("b"))
-    held = [0] * (bits // 64)
-    for r in words.collect():
-        held[r["w"]] = r["b"]
-    return held, shift
-
-
 def pattern_locate(texts: DataFrame, patterns: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """(text_id, pattern, pos) per occurrence in texts (id, seq), positions from 0.
 
     Texts are cut into blocks once, and all classes of anchors come from the same pass. Up to
-    BROADCAST_CHARS characters of patterns are broadcast, and a bitmap of their anchors leaves the
-    other places of a block out before rows are made; the comparison is in the block. Beyond that the
+    BROADCAST_CHARS characters of patterns are broadcast, and hashes of their anchors leave the
+    other places of a block out before rows are made. Beyond that the
     anchors of both sides meet by a shuffle of (id, place, anchor), and the candidates fetch their blocks.
     Of a pattern of more than LONG characters the rest is compared in the text itself.
     """
@@ -73,38 +58,40 @@ def pattern_locate(texts: DataFrame, patterns: DataFrame, anchor: int = ANCHOR)
     sizes = {r["kind"]: r for r in known.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("pattern")).alias("chars"), F.max(F.char_length("pattern")).alias("most")).collect()}  # a row per class
     if not sizes:
         return texts.where("false").select(F.col("id").alias("text_id"), F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("pos"))
-    n, most = sum(r["n"] for r in sizes.values()), max(r["most"] for r in sizes.values())
+    most = max(r["most"] for r in sizes.values())
     small = sum(r["chars"] for r in sizes.values()) <= BROADCAST_CHARS
-    k = anchor if small else max(1, anchor * 2 // 3)
-    w = anchor - k + 1  # windows matter where anchors are shuffled
+    begun = F.substring(F.col("pattern"), 1, LONG) if most > LONG else F.col("pattern")
+    if small:
+        anchors = known.select("pattern", F.when(F.col("kind") == 0, anchor).otherwise(F.col("kind")).alias("n")).withColumn("key", hashed(F.substr("pattern", F.lit(1), F.col("n"))))
+        met = met_places(texts, anchors, {a or anchor: a or max(min(most, LONG), anchor) for a in sizes}).join(F.broadcast(anchors), ["n", "key"])
+        found = met.where(F.substring("piece", 1, F.char_length(begun)) == begun).select(F.col("id").alias("text_id"), "pattern", "pos")
+    else:
+        met = _shuffled(texts, known, sizes, most, anchor)
+        found = met.where(F.substring(F.col("blk"), F.col("at") + 1, F.char_length(begun)) == begun).select(F.col("id").alias("text_id"), "pattern", (F.col("start") + F.col("at")).alias("pos"))
+    if most <= LONG:
+        return found
+    rest = found.where(F.char_length("pattern") > LONG).join(texts.select(F.col("id").alias("text_id"), "seq"), "text_id")
+    same = F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern")
+    return found.where(F.char_length("pattern") <= LONG).unionByName(rest.where(same).select("text_id", "pattern", "pos"))
+
+
+def _shuffled(texts: DataFrame, known: DataFrame, sizes: dict, most: int, anchor: int) -> DataFrame:
+    """(id, start, blk, at, pattern) of the candidates of many patterns: the anchors of both sides meet by a shuffle."""
+    k = max(1, anchor * 2 // 3)
+    w = anchor - k + 1
     key = lambda x: F.col(x).bitwiseAND(~PLACE)
     own = F.lit(None).cast("bigint")
     for a in sorted(sizes):
         own = F.when(F.col("kind") == a, F.get(_anchors_at(F.col("pattern"), F.lit(1), a, a) if a else _minimizers(F.col("pattern"), 1, k, w), F.lit(0))).otherwise(own)
     anchors = known.select("pattern", own.alias("_p")).select("pattern", key("_p").alias("key"), F.col("_p").bitwiseAND(PLACE).cast("int").alias("ahead"))
-
     cut = blocks(spread_out(texts.select("id", "seq")), "id", "seq", min(a or anchor for a in sizes), BLOCK, max(min(most, LONG), anchor))
     blk = F.col("blk")
     places = [_anchors_at(blk, F.lit(BLOCK), a, a) if a else _minimizers(blk, BLOCK, k, w) for a in sorted(sizes)]
-    places = F.concat(*places) if len(places) > 1 else places[0]
-    if small and 4 * n <= MOST_BITS:
-        words, shift = _bitmap(anchors, n)
-        held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # one literal, folded to an array
-        bit = lambda x: F.shiftrightunsigned(x.bitwiseAND(~PLACE), shift)
-        places = F.filter(places, lambda x: F.call_function("shiftrightunsigned", F.get(held, F.shiftright(bit(x), 6).cast("int")), bit(x).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-    met = cut.select("id", "start", *(["blk"] if small else []), F.explode(places).alias("_p"))
-    met = met.withColumn("key", key("_p")).join(F.broadcast(anchors) if small else anchors, "key")
+    met = cut.select("id", "start", F.explode(F.concat(*places) if len(places) > 1 else places[0]).alias("_p"))
+    met = met.withColumn("key", key("_p")).join(anchors, "key")
     # a window belongs to the block in which it begins
     met = met.withColumn("at", F.col("_p").bitwiseAND(PLACE).cast("int") - F.col("ahead")).where(F.col("at").between(0, BLOCK - 1))
-    if not small:
-        met = met.join(cut, ["id", "start"])
-    begun = F.substring(F.col("pattern"), 1, LONG) if most > LONG else F.col("pattern")
-    found = met.where(F.substring(blk, F.col("at") + 1, F.char_length(begun)) == begun).select(F.col("id").alias("text_id"), "pattern", (F.col("start") + F.col("at")).alias("pos"))
-    if most <= LONG:
-        return found
-    rest = found.where(F.char_length("pattern") > LONG).join(texts.select(F.col("id").alias("text_id"), "seq"), "text_id")
-    same = F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.char_length("pattern")) == F.col("pattern")
-    return found.where(F.char_length("pattern") <= LONG).unionByName(rest.where(same).select("text_id", "pattern", "pos"))
+    return met.join(cut, ["id", "start"])
 
 
 def pattern_count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -122,9 +109,12 @@ def pattern_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
     The result itself is texts x patterns; ``pattern_positions`` has the occurring ones only.
     """
-    pairs = texts.select(F.col("id").alias("text_id")).crossJoin(_usable(patterns))
-    full = pairs.join(pattern_positions(texts, patterns), ["text_id", "pattern"], "left")
-    return full.select("text_id", "pattern", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("positions", F.array().cast("array<bigint>")).alias("positions"))
+    ids = texts.select(F.col("id").alias("text_id"))
+    held = materialize(pattern_positions(texts, patterns), "positions")
+    there = held.groupBy("text_id").agg(F.collect_set("pattern").alias("_there"))
+    # the absent ones are told beside each text, so that texts x patterns is never shuffled
+    rest = ids.join(there, "text_id", "left").crossJoin(F.broadcast(_usable(patterns))).where(~F.coalesce(F.array_contains("_there", F.col("pattern")), F.lit(False)))
+    return ids.join(held, "text_id").select("text_id", "pattern", "count", "positions").unionByName(rest.select("text_id", "pattern", F.lit(0).cast("bigint").alias("count"), F.array().cast("array<bigint>").alias("positions")))
 
 
 def search_with_prefix_fallback(texts: DataFrame, patterns: DataFrame, prefix: int = 6) -> DataFrame:
