@@ -131,7 +131,7 @@ def character_counts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     key, n = np.unique(row << 21 | codes, return_counts=True)
     row = key >> 21
-    return row, key & ((1 << 21) - 1), n, np.cumsum(n) - n - starts[row]
+    return row, (key & ((1 << 21) - 1)).astype(np.uint32), n, np.cumsum(n) - n - starts[row]
 
 
 def cut(codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -181,3 +181,20 @@ def minimized(codes: np.ndarray, starts: np.ndarray, k: int, m: int) -> tuple[np
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else none
     last = np.append(first[1:], len(at)) - 1
     return at[first], at[last] - at[first] + k, place[first], best[first]
+
+
+def grouped(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, at, n): the places of all k-mers, those of one text's equal k-mers together and ascending, and how many each group has."""
+    at = np.arange(max(0, len(codes) - k + 1))
+    row = np.searchsorted(starts, at, "right") - 1
+    inside = at + k <= starts[row + 1]
+    at, row = at[inside], row[inside]
+    key, bits = row.astype(np.int64), len(starts).bit_length()
+    for j in range(k):
+        if bits + 21 > 63:  # whole numbers of the different beginnings so far
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            bits = len(at).bit_length()
+        key, bits = key << 21 | codes[at + j], bits + 21
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(at) else np.empty(0, dtype=np.int64)
+    return row[order], at[order], np.diff(np.append(first, len(at)))

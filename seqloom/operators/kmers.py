@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.texts import MET, Known, hash_of, met
+from ..functions.texts import MET, Known, cut, grouped, hash_of, met, slices
+from ..sources.tables import by_repeats
 
 BLOCK = 128
 LARGE = 1 << 14  # characters of a block whose places are looked up at once
@@ -75,8 +78,8 @@ def met_places(df: DataFrame, wanted: DataFrame, reach: dict[int, int], id: str
     def places(texts: pa.Array) -> pa.Array:
         return met(texts, known.value, reach)
 
-    cut = blocks(spread_out(df.select(id, seq)), id, seq, min(reach), LARGE, max(reach.values()))
-    found = cut.select("id", "start", F.explode(places("blk")).alias("p")).where(F.col("p.at") < LARGE)
+    pieces = blocks(spread_out(df.select(id, seq)), id, seq, min(reach), LARGE, max(reach.values()))
+    found = pieces.select("id", "start", F.explode(places("blk")).alias("p")).where(F.col("p.at") < LARGE)
     return found.select("id", (F.col("start") + F.col("p.at")).alias("pos"), "p.n", "p.key", "p.piece")
 
 
@@ -98,3 +101,31 @@ def kmer_postings(rows: DataFrame, by_id: bool = False, width: int | None = None
     if width is not None:
         rows, keys = rows.withColumn("part", F.floor(F.col("pos") / width).cast("bigint")), [*keys, "part"]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def text_postings(df: DataFrame, id: str = "id", seq: str = "seq", k: int = 11, width: int = 4096) -> DataFrame:
+    """(kmer, id, part, n, positions): ``kmer_postings`` of the texts' k-mers by id in parts of ``width`` characters.
+
+    A part's k-mers are gathered in the task that has its characters, and none is shuffled. Texts
+    whose id repeats, whose parts are gathered together, go by rows of k-mers.
+    """
+    columns = ["kmer", "id", "part", "n", "positions"]
+    named = df.select(F.col(id).alias("id"), F.col(seq).alias("seq"))
+    if width < k:
+        return kmer_postings(kmers(named, k=k), True, width).select(*columns)
+    single, several = by_repeats(named, "id")
+    id_type = named.schema["id"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, codes, starts in slices(b, "blk"):
+                begin = rows.column("start").to_numpy()
+                row, at, n = grouped(codes, starts, k)
+                first = np.cumsum(n) - n
+                held = rows.column("id").take(pa.array(row[first]))
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(begin[row] + at - starts[row]))
+                yield pa.RecordBatch.from_arrays([cut(codes, at[first], np.full(len(first), k)), held, pa.array(begin[row[first]] // width), pa.array(n), positions], columns)
+
+    pieces = blocks(spread_out(single), "id", "seq", k, width)
+    found = pieces.mapInArrow(gather, f"kmer string, id {id_type}, part bigint, n bigint, positions array<bigint>")
+    return found if several is None else found.unionByName(kmer_postings(kmers(several, k=k), True, width).select(*columns))

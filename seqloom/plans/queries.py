@@ -69,7 +69,7 @@ def k2_postings_by_id(spark, sf):
 
 def k2_postings_parts(spark, sf):
     """Positions of short, frequent k-mers of whole documents, those in 4,096 characters to a row."""
-    rows = kmers.kmer_postings(kmers.kmers(_documents(spark, sf), k=2), by_id=True, width=4096)
+    rows = kmers.text_postings(_documents(spark, sf), k=2, width=4096)
     return rows.select("id", "kmer", "part", "n", _joined())
 
 

@@ -59,6 +59,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_repeats(df: DataFrame, id: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose ``id`` no other row has, and the others, if there are any; only ids are shuffled to tell."""
+    again = df.groupBy(id).count().where("count > 1").select(F.col(id).alias("_again"))
+    if again.isEmpty():
+        return df, None
+    same, held = F.col(id).eqNullSafe(F.col("_again")), materialize(again, "repeated")
+    return df.join(held, same, "left_anti"), df.join(held, same, "left_semi")
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that ``materialize`` wrote and that nothing reads any more."""
     if df is None:
