@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.texts import rotation_order, slices, spelt
-from ..sources.tables import discard, materialize, partitions
+from ..functions.texts import character_counts, cut, rotation_order, slices, spelt
+from ..sources.tables import by_repeats, discard, materialize, partitions
 from .kmers import blocks, spread_out, substrings
 
 SHORT = 1 << 18  # characters of a text up to which one task sorts its rotations
@@ -219,8 +219,23 @@ def bwt(texts: DataFrame, short: int = SHORT) -> DataFrame:
     return bwt_blocks(texts, short).groupBy("text_id").agg(F.array_join(parts, "").alias("bwt"))
 
 
-def char_table(texts: DataFrame) -> DataFrame:
-    """(text_id, ch, n, c_before): how often each character occurs, and how many smaller ones there are."""
-    counts = characters(closed(texts)).groupBy("text_id", "ch").agg(F.count("*").alias("n"))
+def _counted(rows: pa.RecordBatch, codes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    row, code, n, before = character_counts(codes, starts)
+    chars = cut(code, np.arange(len(code)), np.ones(len(code), dtype=np.int64))
+    return pa.RecordBatch.from_arrays([rows.column("text_id").take(pa.array(row)), chars, pa.array(n), pa.array(before)], ["text_id", "ch", "n", "c_before"])
+
+
+def char_table(texts: DataFrame, short: int = SHORT) -> DataFrame:
+    """(text_id, ch, n, c_before): how often each character occurs, and how many smaller ones there are.
+
+    The task that has a text of up to ``short`` characters counts them; longer ones, and those whose ids repeat, by groupings.
+    """
+    single, several = by_repeats(texts.select("id", "seq"), "id")
+    brief, long = _brief_and_long(single, short)
+    found = _by_text(brief, _counted, "ch string, n bigint, c_before bigint")
+    rest = [t for t in (long, None if several is None else closed(several)) if t is not None]
+    if not rest:
+        return found
+    counts = characters(reduce(DataFrame.unionByName, rest)).groupBy("text_id", "ch").agg(F.count("*").alias("n"))
     before = Window.partitionBy("text_id").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("c_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return found.unionByName(counts.withColumn("c_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
