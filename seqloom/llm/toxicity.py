@@ -15,12 +15,11 @@ divided by the text's words (``FLOOR`` more, so that a word or two decide nothin
 decides; a logistic curve of it, fitted on labelled rows that the counts did not see, gives the
 scale of a probability and the place where it crosses a half.
 
-The fit is on about ``max_documents`` labelled rows at most, chosen by hash, so that their ids
-can be broadcast and texts stay where they are. A word counts once per document, so that one
+The fit is on all labelled rows, which Spark joins to their texts as their sizes ask for. A word counts once per document, so that one
 repetitive text is no evidence; documents per word are counted in Spark before words are
 spelt out into characters. Continuation counts, totals and backoff masses of every order are
 Spark groupings over all 6-grams of those rows. Both tables go to the executors whole, as
-sorted arrays of 28 bytes a 6-gram and of 24 a context; only ``max_documents`` bounds them.
+sorted arrays of 28 bytes a 6-gram and of 24 a context; they grow with the different 6-grams of the labelled texts.
 Scoring covers every whole text.
 
 Defined results
@@ -35,6 +34,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -183,17 +183,12 @@ def fit_counts(grams: DataFrame, discount: float = DISCOUNT) -> KneserNey:
     return KneserNey(_sorted_table(ratios, "gram", ORDER), _sorted_table(contexts, "context", ORDER - 1))
 
 
-def fit_scale(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> None:
-    """The logistic curve of the ratio by Newton's steps; its slope is never negative."""
-    model.scale = None
-    if not len(ratios) or labels.min() == labels.max():
-        return
-    centre, spread = ratios.mean(), ratios.std() + 1e-9
-    x = np.column_stack([np.ones(len(ratios)), (ratios - centre) / spread])
+def _curve(model: KneserNey, centre: float, spread: float, sums: Callable[[np.ndarray], tuple], ridge: float) -> None:
+    """Newton's steps for the logistic curve; ``sums`` gives those of v, v x, v x^2, g and g x at some weights. The slope is never negative."""
     w = np.zeros(2)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - labels) + ridge * w)
+        v, vx, vxx, g, gx = sums(w)
+        step = np.linalg.solve(np.array([[v, vx], [vx, vxx]]) + ridge * np.eye(2), np.array([g, gx]) + ridge * w)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -201,8 +196,42 @@ def fit_scale(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, ridge: f
     model.scale = (float(slope / spread), float(centre - w[0] / slope * spread))
 
 
+def fit_scale(model: KneserNey, ratios: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> None:
+    """The logistic curve of the ratio by Newton's steps."""
+    model.scale = None
+    if not len(ratios) or labels.min() == labels.max():
+        return
+    centre, spread = ratios.mean(), ratios.std() + 1e-9
+    x = (ratios - centre) / spread
+
+    def sums(w: np.ndarray) -> tuple:
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -40, 40)))
+        v, g = p * (1 - p), p - labels
+        return v.sum(), (v * x).sum(), (v * x * x).sum(), g.sum(), (g * x).sum()
+
+    _curve(model, centre, spread, sums, ridge)
+
+
+def fit_scale_rows(model: KneserNey, rows: DataFrame, ridge: float = 1e-3) -> None:
+    """As ``fit_scale``, over all rows (r, label): a step is one sum over them, of which five numbers come back."""
+    model.scale = None
+    known = rows.agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.avg("r").alias("centre"), F.stddev_pop("r").alias("spread")).first()
+    if not known["n"] or known["least"] == known["most"]:
+        return
+    centre, spread = known["centre"], known["spread"] + 1e-9
+
+    def sums(w: np.ndarray) -> tuple:
+        x = (F.col("r") - centre) / spread
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.lit(float(w[0])) + F.lit(float(w[1])) * x))))
+        each = rows.select(x.alias("x"), (p * (1 - p)).alias("v"), (p - F.col("label")).alias("g"))
+        v, g, x = F.col("v"), F.col("g"), F.col("x")
+        return tuple(each.agg(F.sum(v), F.sum(v * x), F.sum(v * x * x), F.sum(g), F.sum(g * x)).first())
+
+    _curve(model, centre, spread, sums, ridge)
+
+
 def _ratio_udf(spark: SparkSession, model: KneserNey):
-    held = spark.sparkContext.broadcast(model)  # two tables that max_documents bounds
+    held = spark.sparkContext.broadcast(model)
     memo: dict[str, float] = {}
 
     @F.pandas_udf("double")
@@ -212,42 +241,24 @@ def _ratio_udf(spark: SparkSession, model: KneserNey):
     return ratio
 
 
-def labelled_sample(docs: DataFrame, marked: DataFrame, most: int, seed: int) -> DataFrame:
-    """(doc_id, text, label) of about ``most`` rows of ``marked`` (_id, label) at most, chosen by hash.
+def labelled(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(text, label) of all rows of ``docs`` that ``marked`` (_id, label) labels, as often as it does."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(marked.select("_id", "label"), "_id").select("text", "label")
 
-    The chosen ids are broadcast, as ``most`` bounds them, and no text is shuffled. Where ids repeat
-    in ``docs`` the rows that they bring are counted and fewer ids are chosen.
-    """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def chosen(rows: DataFrame, share: float) -> DataFrame:
-        picked = marked.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("_id", "label")
-        return rows.join(F.broadcast(picked), rows["doc_id"] == picked["_id"])
-
-    share = min(1.0, most / max(1, marked.count()))
-    over = max(1.0, chosen(ids, share).count() / most)
-    return chosen(texts, share / over).select("doc_id", "text", "label")
 
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, scale_fold: int = 1, max_documents: int = 50_000, max_scale_rows: int = 20_000) -> KneserNey:
-    """Fit on labelled rows (doc_id, toxic) outside fold ``held_out``; fold ``scale_fold`` sets the scale.
-
-    ``max_documents`` bounds the rows that are counted, ``max_scale_rows`` those that the last fit,
-    of a weight per feature, sees.
-    """
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, scale_fold: int = 1) -> KneserNey:
+    """Fit on all labelled rows (doc_id, toxic) outside fold ``held_out``; fold ``scale_fold`` sets the scale."""
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("label")).where("label is not null and _id is not null")
     marked = marked.withColumn("fold", fold_of(F.col("_id"), folds)).where(F.col("fold") != held_out)
-    counted = labelled_sample(docs, marked.where(F.col("fold") != scale_fold), max_documents, 3)
-    grams = materialize(gram_counts(counted), "grams")
+    grams = materialize(gram_counts(labelled(docs, marked.where(F.col("fold") != scale_fold))), "grams")
     both = grams.agg(F.max("n_toxic").alias("t"), F.max("n_ordinary").alias("o")).first()
     if not both["t"] or not both["o"]:
         return KneserNey()
     model = fit_counts(grams)
-    scaled = labelled_sample(docs, marked.where(F.col("fold") == scale_fold), max_scale_rows, 4)
-    sample = sorted(scaled.select(_ratio_udf(spark, model)("text").alias("r"), "label").collect())
-    fit_scale(model, np.array([r["r"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=float))
+    scaled = labelled(docs, marked.where(F.col("fold") == scale_fold))
+    fit_scale_rows(model, materialize(scaled.select(_ratio_udf(spark, model)("text").alias("r"), "label"), "scale"))
     return model
 
 
