@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import cut, minimized, slices
 from ..sources.tables import discard, materialize, partitions, scratch_path
-from .kmers import blocks, kmers, kmers_among
+from .kmers import LARGE, blocks, kmers, kmers_among, spread_out, substrings
 
 BROADCAST_CHARS = 2_000_000  # query characters up to which the queries' k-mers are broadcast
 CHUNK = 64  # characters of the first round
@@ -64,23 +68,59 @@ def salted(q: DataFrame, r: DataFrame, kinds: int = 1 << 16, share: int = 1000)
     return each.drop("kind", "salts"), dealt.drop("kind", "salts")
 
 
+def _core(k: int) -> int:
+    """Characters of the minimizer by which a k-mer is stored."""
+    return max(1, k * 2 // 3)
+
+
+def kmer_runs(refs: DataFrame, k: int) -> DataFrame:
+    """(ref_id, ref_pos, lead, piece, key): neighbouring k-mers with one minimizer, ``lead`` characters into their joint piece of text, as a row.
+
+    Each k-mer is in one of them. ``key``: the minimizer's hash, of this k alone.
+    """
+    id_type = refs.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, codes, starts in slices(b, "blk"):
+                begin, length, place, key = minimized(codes, starts, k, _core(k))
+                row = np.searchsorted(starts, begin, "right") - 1
+                pos = rows.column("start").to_numpy()[row] + begin - starts[row]
+                held = [rows.column("id").take(pa.array(row)), pa.array(pos), pa.array((place - begin).astype(np.int32)), cut(codes, begin, length), pa.array((key ^ np.uint64(k)).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(held, ["ref_id", "ref_pos", "lead", "piece", "key"])
+
+    return blocks(spread_out(refs.select("id", "seq")), "id", "seq", k, LARGE).mapInArrow(work, f"ref_id {id_type}, ref_pos bigint, lead int, piece string, key bigint")
+
+
 def store_kmers(refs: DataFrame, name: str, k: int = 11, path: str | None = None) -> None:
-    """Write the references' k-mers once, as table ``name`` (ref_id, ref_pos, kmer) bucketed and sorted by k-mer, for later ``probe``s.
+    """Write the references' k-mers once, as table ``name`` of ``kmer_runs`` bucketed and sorted by key, for later ``probe``s.
 
-    ``path``: its folder, if not the warehouse. Longer k-mers than the table's find nothing there.
+    ``path``: its folder, if not the warehouse. k-mers of another length than the table's find nothing there.
     """
     n = partitions(refs.sparkSession)
-    rows = kmers(refs, k=k).select(F.col("id").alias("ref_id"), F.col("pos").alias("ref_pos"), "kmer")
-    writer = rows.repartition(n, "kmer").write.bucketBy(n, "kmer").sortBy("kmer")
+    writer = kmer_runs(refs, k).repartition(n, "key").write.bucketBy(n, "key").sortBy("key")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def probe(queries: DataFrame, name: str, k: int = 11, max_occ: int | None = None) -> DataFrame:
     """As ``seed_join``, with the references' k-mers of a table by ``store_kmers``: their side is neither cut again nor moved."""
     q, r = _query_kmers(queries, k), queries.sparkSession.table(name)
-    if _small(queries) or max_occ is not None:
-        return _joined(q, r, _small(queries), max_occ)
-    return r.join(q, "kmer").select("query_id", "ref_id", "query_pos", "ref_pos")
+    if max_occ is not None:
+        each = r.where(F.char_length("piece") >= k).select("ref_id", "ref_pos", F.posexplode(substrings(F.col("piece"), k)).alias("off", "kmer"))
+        return _joined(q, each.select("ref_id", (F.col("ref_pos") + F.col("off")).alias("ref_pos"), "kmer"), _small(queries), max_occ)
+
+    @F.arrow_udf("struct<key: bigint, ahead: int>")
+    def least(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, codes, starts in slices(pa.record_batch({"t": texts}), "t"):
+            _, _, place, key = minimized(codes, starts, k, _core(k))  # a run for each, as each is one k-mer
+            found.append(pa.StructArray.from_arrays([pa.array((key ^ np.uint64(k)).astype(np.int64)), pa.array((place - starts[:-1]).astype(np.int32))], ["key", "ahead"]))
+        return pa.concat_arrays(found) if found else pa.array([], pa.struct([("key", pa.int64()), ("ahead", pa.int32())]))
+
+    q = q.withColumn("_l", least("kmer")).select("query_id", "query_pos", "kmer", "_l.key", "_l.ahead")
+    off = F.col("lead") - F.col("ahead")
+    met = r.join(F.broadcast(q) if _small(queries) else q, "key").where((off >= 0) & (F.substr("piece", off + 1, F.lit(k)) == F.col("kmer")))
+    return met.select("query_id", "ref_id", "query_pos", (F.col("ref_pos") + off).alias("ref_pos"))
 
 
 def diagonal_runs(seeds: DataFrame) -> DataFrame:
