@@ -15,8 +15,9 @@ divided by the text's words (``FLOOR`` more, so that a word or two decide nothin
 decides; a logistic curve of it, fitted on labelled rows that the counts did not see, gives the
 scale of a probability and the place where it crosses a half.
 
-The fit is on all labelled rows, which Spark joins to their texts as their sizes ask for. A word counts once per document, so that one
-repetitive text is no evidence; documents per word are counted in Spark before words are
+The fit is on all labelled rows, which Spark joins as their sizes ask for; to labels goes what is needed of a text, its
+different words or its ratio, and where both sides are shuffled a Bloom filter leaves documents without a label behind. A word
+counts once per document, so that one repetitive text is no evidence; documents per word are counted in Spark before words are
 spelt out into characters. Continuation counts, totals and backoff masses of every order are
 Spark groupings over all 6-grams of those rows. Both tables go to the executors whole, as
 sorted arrays of 28 bytes a 6-gram and of 24 a context; they grow with the different 6-grams of the labelled texts.
@@ -34,7 +35,8 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,6 +49,8 @@ from ..sources.tables import materialize
 ORDER = 6
 DISCOUNT = 0.95
 MIXED, CAP, FLOOR = 0.003, 4.0, 40
+#: For the join of labels: Spark's filter by the other side's keys, whatever the sizes; 4 MB, one wrong key in 25 at 5 million labels.
+FILTERED = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "10g", "expectedNumItems": "4000000", "numBits": str(1 << 25)}
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGIN, _END = "\x02" * (ORDER - 1), "\x03"
 
@@ -120,14 +124,19 @@ class KneserNey:
         return 1 / (1 + np.exp(-np.clip(slope * (ratios - place), -40, 40)))
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, n_toxic, n_ordinary) of rows (text, label): documents per word are counted first, then words are spelt out."""
+def different_words(text: Column) -> Column:
+    """Each text's different words, a space between them."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def different(text: pd.Series) -> pd.Series:
-        return pd.Series([list(dict.fromkeys(words_of(t))) for t in text], dtype=object)
+        return pd.Series([" ".join(dict.fromkeys(words_of(t))) for t in text], dtype=object)
+
+    return different(text)
+
 
-    words = rows.select(F.explode(different("text")).alias("w"), "label")
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(gram, n_toxic, n_ordinary) of rows (words, label): documents per word are counted first, then words are spelt out."""
+    words = rows.where("words != ''").select(F.explode(F.split("words", " ")).alias("w"), "label")
     counted = words.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("o"))
     padded = F.concat(F.lit(_BEGIN), "w", F.lit(_END))
     spelt = counted.select(padded.alias("p"), "t", "o").select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - (ORDER - 1)), lambda i: F.substr(F.col("p"), i, F.lit(ORDER)))).alias("gram"), "t", "o")
@@ -241,10 +250,24 @@ def _ratio_udf(spark: SparkSession, model: KneserNey):
     return ratio
 
 
-def labelled(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(text, label) of all rows of ``docs`` that ``marked`` (_id, label) labels, as often as it does."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(marked.select("_id", "label"), "_id").select("text", "label")
+def labelled(docs: DataFrame, marked: DataFrame, told: Column) -> DataFrame:
+    """(``told``, label) of all rows of ``docs`` that ``marked`` (_id, label) labels, as often as it does; ``told`` moves, not the text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("text")).select("_id", told)
+    return rows.join(marked.select("_id", "label"), "_id").drop("_id")
+
+
+@contextmanager
+def _filtered(spark: SparkSession) -> Iterator[None]:
+    """The settings of FILTERED for what is computed meanwhile; the session's own come back."""
+    own = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in FILTERED.items()}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, scale_fold: int = 1) -> KneserNey:
@@ -252,13 +275,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, s
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("label")).where("label is not null and _id is not null")
     marked = marked.withColumn("fold", fold_of(F.col("_id"), folds)).where(F.col("fold") != held_out)
-    grams = materialize(gram_counts(labelled(docs, marked.where(F.col("fold") != scale_fold))), "grams")
+    words = different_words(F.col("text")).alias("words")
+    with _filtered(spark):
+        grams = materialize(gram_counts(labelled(docs, marked.where(F.col("fold") != scale_fold), words)), "grams")
     both = grams.agg(F.max("n_toxic").alias("t"), F.max("n_ordinary").alias("o")).first()
     if not both["t"] or not both["o"]:
         return KneserNey()
     model = fit_counts(grams)
-    scaled = labelled(docs, marked.where(F.col("fold") == scale_fold))
-    fit_scale_rows(model, materialize(scaled.select(_ratio_udf(spark, model)("text").alias("r"), "label"), "scale"))
+    ratio = _ratio_udf(spark, model)("text").alias("r")
+    with _filtered(spark):
+        scaled = materialize(labelled(docs, marked.where(F.col("fold") == scale_fold), ratio), "scale")
+    fit_scale_rows(model, scaled)
     return model
 
 

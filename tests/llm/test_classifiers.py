@@ -202,3 +202,36 @@ def test_scale_over_rows(spark):
     toxicity.fit_scale(one, np.array(r), np.array(y, dtype=float))
     toxicity.fit_scale_rows(two, spark.createDataFrame(list(zip(r, y, strict=True)), "r double, label int"))
     assert two.scale == pytest.approx(one.scale)
+
+
+def test_labels_do_not_move_texts(spark):
+    """op9_toxicity: the join of labels shuffled whole texts, also those without a label, once labels were too many to broadcast."""
+    docs = spark.createDataFrame([(i, "common words here " * 200 + f"own{chr(97 + i % 26)}" if i % 3 else None) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 400, 4)] + [(0, 1), (10_000, 1), (4, None)], "doc_id bigint, toxic int")
+    marked = labels.selectExpr("doc_id _id", "toxic label").where("label is not null and _id > -1")
+    before = toxicity.fit(docs, labels)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with toxicity._filtered(spark):
+            rows = toxicity.labelled(docs, marked, toxicity.different_words(F.col("text")).alias("words"))
+            found = Counter(tuple(r) for r in rows.collect())
+        assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold") != "0"
+        after = toxicity.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert found == Counter((" ".join(dict.fromkeys(toxicity.words_of(texts[r._id]))), r.label) for r in marked.collect() if r._id in texts)
+    assert before.scale == pytest.approx(after.scale) and before.grams[0].tolist() == after.grams[0].tolist() and np.allclose(before.grams[1], after.grams[1])
+
+
+def test_documents_without_a_label_stay(spark, tables):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with toxicity._filtered(spark):
+            marked = tables[1].select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).where("label is not null and _id % 5 != 0")
+            plan = toxicity.labelled(tables[0], marked, toxicity.different_words(F.col("text")).alias("words"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.index("Exchange hashpartitioning(_id") < plan.index("ArrowEvalPython") < plan.index("might_contain(")
