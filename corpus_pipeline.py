@@ -55,10 +55,9 @@ def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe.small_batches(spark)
-    ids = bpe.encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    back = bpe.digests(F.col("ids"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    told, encoded = unused(docs, "told"), docs.withColumn("ids", ids)
-    return encoded.withColumn(told, back).withColumns({c: F.col(told)[c] for c in ("n_tokens", "decoded_sha256")}).drop(told)
+    both = bpe.encode_and_check(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    told = unused(docs, "told")
+    return docs.withColumn(told, both).withColumns({c: F.col(told)[c] for c in ("ids", "n_tokens", "decoded_sha256")}).drop(told)
 
 
 STAGES = [

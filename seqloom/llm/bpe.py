@@ -43,7 +43,9 @@ from pyspark.sql import functions as F
 LEAF_CHARS = 256  # characters of a text that are matched in one go
 LEAF_BYTES = 4  # bytes of a pre-token that are merged in one go
 LOOK = 3
-MEMO = 1_000_000  # pre-tokens, leaves or pairs remembered by a worker
+MEMO = 1_000_000  # pre-tokens remembered by a worker
+PARTS = 250_000  # leaves, and as many pairs of tokens
+AT_ONCE = 1 << 19  # characters of texts, or one text, whose pre-tokens are held at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,13 +60,18 @@ class TreeEncoder:
         self.token = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.leaves: dict[bytes, list[int]] = {}
-        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.pairs: dict[int, list[int] | None] = {}  # None: the two stand
         self._forget()
 
     def _forget(self) -> None:
-        """The pre-token of number p has the ids ``self.ids[self.ends[p] : self.ends[p + 1]]``."""
-        self.number: dict[str, int] = {}
+        """The pre-token of number p has the ids ``self.ids[self.ends[p] : self.ends[p + 1]]``.
+
+        Pre-tokens are found by their hashes, which ascend, and compared with the characters kept of them: about
+        50 bytes a pre-token, where a dictionary of strings takes four times as much.
+        """
+        self.hashes, self.number = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
         self.ends, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
+        self.said, self.stops = np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)  # the pre-tokens' bytes, as the ids
 
     # merges
 
@@ -94,19 +101,21 @@ class TreeEncoder:
     def leaf(self, raw: bytes) -> list[int]:
         got = self.leaves.get(raw)
         if got is None:
-            if len(self.leaves) >= MEMO:
+            if len(self.leaves) >= PARTS:
                 self.leaves.clear()
             got = self.leaves[raw] = self.merge(raw)
         return got
 
     def pair(self, a: int, b: int) -> list[int]:
         """The encoding of two tokens' joint bytes; they stand if it is they."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= MEMO:
+        key = a << 32 | b
+        got = self.pairs.get(key, False)
+        if got is False:
+            if len(self.pairs) >= PARTS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(self.token[a] + self.token[b])
-        return got
+            got = self.merge(self.token[a] + self.token[b])
+            got = self.pairs[key] = None if got == [a, b] else got
+        return [a, b] if got is None else got
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the joint bytes of two encoded stretches."""
@@ -128,17 +137,44 @@ class TreeEncoder:
         half = len(raw) // 2
         return self.join(self.stretch(raw[:half]), self.stretch(raw[half:]))
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _known(self, pieces: pa.StringArray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of pre-tokens, -1 for those not seen before."""
+        if not len(self.hashes):
+            return np.full(len(pieces), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == hashes)
+        number = self.number[at[found]].astype(np.int64)
+        length = self.stops[number + 1] - self.stops[number]
+        stop = np.cumsum(length)
+        raw = self.said[np.repeat(self.stops[number] - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(number), [None, pa.py_buffer(np.append(0, stop).astype(np.int64)), pa.py_buffer(raw)])
+        same = pc.equal(held, pieces.take(pa.array(found)).cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+        known = np.full(len(pieces), -1, dtype=np.int64)
+        known[found[same]] = number[same]
+        return known
+
+    def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
         """The numbers of different pre-tokens; those not seen before are encoded."""
-        if len(self.number) + len(pieces) > MEMO:
+        if len(self.ends) - 1 + len(pieces) > MEMO:
             self._forget()
-        new = [p for p in pieces if p not in self.number]
-        if new:
-            got = [self.stretch(p.encode("utf-8")) for p in new]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        strings = pieces.to_pylist()
+        hashes = np.fromiter(map(hash, strings), dtype=np.int64, count=len(strings))
+        known = self._known(pieces, hashes)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            first = len(self.ends) - 1
+            known[new] = np.arange(first, first + len(new))
+            raw = [strings[i].encode("utf-8") for i in new.tolist()]
+            got = [self.stretch(r) for r in raw]
             self.ids = np.concatenate((self.ids, np.array([i for g in got for i in g], dtype=np.int32)))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)))
-        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            self.said = np.concatenate((self.said, np.frombuffer(b"".join(raw), dtype=np.uint8)))
+            self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum([len(r) for r in raw], dtype=np.int64)))
+            order = np.argsort(hashes[new], kind="stable")
+            place = np.searchsorted(self.hashes, hashes[new][order])
+            self.hashes = np.insert(self.hashes, place, hashes[new][order])
+            self.number = np.insert(self.number, place, known[new][order].astype(np.int32))
+        return known
 
     # pre-tokens
 
@@ -174,10 +210,19 @@ class TreeEncoder:
         return self.seam(self.pieces(text[:half]), self.pieces(text[half:]))
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, ``AT_ONCE`` characters of them at a time."""
+        got, ends, lo = [], np.cumsum([len(t or "") for t in texts]), 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            got += self._encode_some(texts[lo:hi])
+            lo = hi
+        return got
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text: different pre-tokens are encoded, and all gather their ids at once."""
         pieces = [self.pieces(t) if t else [] for t in texts]
         each = pa.array([p for ps in pieces for p in ps], type=pa.string()).dictionary_encode()
-        number = self._numbers(each.dictionary.to_numpy(zero_copy_only=False).tolist())[each.indices.to_numpy()]
+        number = self._numbers(each.dictionary)[each.indices.to_numpy()]
         length = self.ends[number + 1] - self.ends[number]
         stop = np.cumsum(length)
         ids = self.ids[np.repeat(self.ends[number] - (stop - length), length) + np.arange(int(stop[-1]) if len(stop) else 0)]
@@ -223,6 +268,18 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return to_bytes(ids)
 
 
+def encode_and_check(text: Column, path: str, pattern: str) -> Column:
+    """struct(ids, n_tokens, decoded_sha256) in one pass: the ids, and the digest of the bytes that they decode to."""
+
+    @F.pandas_udf("ids array<int>, n_tokens bigint, decoded_sha256 string")
+    def to_both(texts: pd.Series) -> pd.DataFrame:
+        e = encoder(path, pattern)
+        each = e.encode_all(list(texts))
+        return pd.DataFrame({"ids": pd.Series(each, dtype=object), "n_tokens": pd.Series(list(map(len, each)), dtype="int64"), "decoded_sha256": pd.Series([hashlib.sha256(e.decode(r)).hexdigest() for r in each], dtype=object)})
+
+    return to_both(text.cast("string"))
+
+
 def digests(ids: Column, path: str, pattern: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256) of encoded ids."""
 

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -50,3 +52,36 @@ def test_columns(spark):
 def test_unknown_ids_fail():
     with pytest.raises(KeyError):
         bpe.TreeEncoder(RANKS, P.PATTERN).decode(np.array([10**6]))
+
+
+def test_hashes_that_meet(monkeypatch):
+    """Pre-tokens of one hash are told apart by their characters."""
+    monkeypatch.setattr(bpe, "AT_ONCE", 900)
+    monkeypatch.setattr(bpe, "hash", lambda s: len(s) % 3, raising=False)
+    rng, e = random.Random(5), bpe.TreeEncoder(RANKS, P.PATTERN)
+    for _ in range(4):
+        texts = ["", None, *(" ".join("".join(rng.choice("aé🦆xy1") for _ in range(rng.randint(1, 6))) for _ in range(40)) for _ in range(30))]
+        assert [ids.tolist() for ids in e.encode_all(texts)] == [EXACT.encode_ordinary(t or "") for t in texts]
+
+
+def test_memory_of_a_pre_token():
+    """pipeline: a worker's dictionary of pre-tokens took some 200 bytes each, and executors more than their memory."""
+    e = bpe.TreeEncoder(RANKS, P.PATTERN)
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{'qzj'[i % 3]}" for i in range(lo, lo + 500)) for lo in range(0, 17_500, 500)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            e.encode_all([t])
+        e.leaves.clear()
+        e.pairs.clear()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 80 * (len(e.ends) - 1)
+
+
+def test_both_in_one_pass(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id bigint, text string")
+    for r in df.select("text", bpe.encode_and_check(F.col("text"), PATH, P.PATTERN).alias("b")).collect():
+        assert r.b.ids == EXACT.encode_ordinary(r.text or "") and r.b.n_tokens == len(r.b.ids)
+        assert r.b.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()

@@ -83,3 +83,9 @@ def test_empty(spark, stages):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_texts_are_encoded_once(spark, stages):
+    """pipeline: the digest's function had its own encoding of the text beside that of the ids."""
+    plan = corpus_pipeline.STAGES[-1][1](spark, stages[0], SF)._jdf.queryExecution().executedPlan().toString()
+    assert "to_ids" not in plan and plan.count("ArrowEvalPython") == 1
