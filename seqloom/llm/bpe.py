@@ -66,8 +66,8 @@ class TreeEncoder:
     def _forget(self) -> None:
         """The pre-token of number p has the ids ``self.ids[self.ends[p] : self.ends[p + 1]]``.
 
-        Pre-tokens are found by their hashes, which ascend, and compared with the characters kept of them: about
-        50 bytes a pre-token, where a dictionary of strings takes four times as much.
+        Pre-tokens are found by their hashes, which ascend, and compared with the characters kept of them: under
+        80 bytes a pre-token, where a dictionary of strings took 137.
         """
         self.hashes, self.number = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
         self.ends, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)

@@ -65,7 +65,7 @@ def test_hashes_that_meet(monkeypatch):
 
 
 def test_memory_of_a_pre_token():
-    """pipeline: a worker's dictionary of pre-tokens took some 200 bytes each, and executors more than their memory."""
+    """pipeline: a worker's dictionary of pre-tokens took 137 bytes each, and executors more than their memory."""
     e = bpe.TreeEncoder(RANKS, P.PATTERN)
     texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{'qzj'[i % 3]}" for i in range(lo, lo + 500)) for lo in range(0, 17_500, 500)]
     tracemalloc.start()
