@@ -17,7 +17,8 @@ Encoded stretches are values that join associatively, so a text is encoded by ha
 
 Leaves are at most ``LEAF_CHARS`` characters of a text and ``LEAF_BYTES`` bytes of a pre-token.
 What a worker has found for leaves, pairs of tokens and pre-tokens is remembered, up to a bound,
-for speed alone. Decoding concatenates the tokens' bytes up the same tree.
+for speed alone; ``encode_and_check`` drops it when its task ends. Decoding concatenates the tokens'
+bytes up the same tree.
 
 Defined results
 - null text: as the empty text, no tokens, empty bytes;
@@ -30,6 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -59,6 +61,10 @@ class TreeEncoder:
         self.ranks, self.look = ranks, look
         self.token = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep the vocabulary alone."""
         self.leaves: dict[bytes, list[int]] = {}
         self.pairs: dict[int, list[int] | None] = {}  # None: the two stand
         self._forget()
@@ -272,10 +278,15 @@ def encode_and_check(text: Column, path: str, pattern: str) -> Column:
     """struct(ids, n_tokens, decoded_sha256) in one pass: the ids, and the digest of the bytes that they decode to."""
 
     @F.pandas_udf("ids array<int>, n_tokens bigint, decoded_sha256 string")
-    def to_both(texts: pd.Series) -> pd.DataFrame:
+    def to_both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(path, pattern)
-        each = e.encode_all(list(texts))
-        return pd.DataFrame({"ids": pd.Series(each, dtype=object), "n_tokens": pd.Series(list(map(len, each)), dtype="int64"), "decoded_sha256": pd.Series([hashlib.sha256(e.decode(r)).hexdigest() for r in each], dtype=object)})
+        try:
+            for texts in batches:
+                each = e.encode_all(list(texts))
+                yield pd.DataFrame({"ids": pd.Series(each, dtype=object), "n_tokens": pd.Series(list(map(len, each)), dtype="int64"), "decoded_sha256": pd.Series([hashlib.sha256(e.decode(r)).hexdigest() for r in each], dtype=object)})
+        finally:
+            e.forget()  # the worker stays for other tasks, also of other stages
+            pa.default_memory_pool().release_unused()
 
     return to_both(text.cast("string"))
 

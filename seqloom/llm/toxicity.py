@@ -136,7 +136,8 @@ def different_words(text: Column) -> Column:
 
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(gram, n_toxic, n_ordinary) of rows (words, label): documents per word are counted first, then words are spelt out."""
-    words = rows.where("words != ''").select(F.explode(F.split("words", " ")).alias("w"), "label")
+    # a condition on the words themselves would be moved before the join, and have them made twice
+    words = rows.select(F.explode(F.split("words", " ")).alias("w"), "label").where("w != ''")
     counted = words.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("o"))
     padded = F.concat(F.lit(_BEGIN), "w", F.lit(_END))
     spelt = counted.select(padded.alias("p"), "t", "o").select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - (ORDER - 1)), lambda i: F.substr(F.col("p"), i, F.lit(ORDER)))).alias("gram"), "t", "o")

@@ -85,3 +85,17 @@ def test_both_in_one_pass(spark):
     for r in df.select("text", bpe.encode_and_check(F.col("text"), PATH, P.PATTERN).alias("b")).collect():
         assert r.b.ids == EXACT.encode_ordinary(r.text or "") and r.b.n_tokens == len(r.b.ids)
         assert r.b.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_workers_forget_after_a_task(spark):
+    """pipeline: workers of other stages still held the pre-tokens, leaves and pairs of all encoding tasks before."""
+    df = spark.range(0, 400, 1, 8).select(F.concat_ws(" ", F.lit("it's"), F.col("id").cast("string"), F.lit("words")).alias("text"))
+    assert df.select(bpe.encode_and_check(F.col("text"), PATH, P.PATTERN)["n_tokens"].alias("n")).agg(F.min("n")).first()[0] > 2
+
+    def held(batches):
+        for b in batches:
+            e = bpe.encoder(PATH, P.PATTERN)
+            b["n"] = len(e.ends) - 1 + len(e.leaves) + len(e.pairs)
+            yield b[["n"]]
+
+    assert spark.range(0, 32, 1, 32).mapInPandas(held, "n bigint").agg(F.max("n")).first()[0] == 0

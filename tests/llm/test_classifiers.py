@@ -235,3 +235,13 @@ def test_documents_without_a_label_stay(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.index("Exchange hashpartitioning(_id") < plan.index("ArrowEvalPython") < plan.index("might_contain(")
+
+
+def test_words_are_made_once(spark):
+    """pipeline, op9: the condition on words was moved before the join, and a task had two Python workers for the same words."""
+    docs = spark.createDataFrame([(1, "Aa bb aa"), (2, ""), (3, "cc"), (4, None)], "doc_id bigint, text string")
+    marked = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "_id bigint, label int")
+    grams = toxicity.gram_counts(toxicity.labelled(docs, marked, toxicity.different_words(F.col("text")).alias("words")))
+    assert grams._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    whole = {r.gram.strip("\x02\x03"): (r.n_toxic, r.n_ordinary) for r in grams.collect() if r.gram.endswith("\x03")}
+    assert whole == {"aa": (1, 0), "bb": (1, 0), "cc": (0, 1)}
