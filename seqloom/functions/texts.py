@@ -171,13 +171,14 @@ def minimized(codes: np.ndarray, starts: np.ndarray, k: int, m: int) -> tuple[np
     none = np.empty(0, dtype=np.int64)
     if len(codes) < k:
         return none, none, none, np.empty(0, dtype=np.uint64)
-    h = place_hashes(codes, [m])[m]
-    at = np.arange(len(codes) - k + 1)
-    at = at[at + k <= starts[np.searchsorted(starts, at, "right")]]
-    best, place = h[at], at.copy()
+    h, total = place_hashes(codes, [m])[m], len(codes) - k + 1
+    best, ahead = h[:total].copy(), np.zeros(total, dtype=np.int32)
     for i in range(1, k - m + 1):
-        less = h[at + i] < best
-        best, place = np.where(less, h[at + i], best), np.where(less, at + i, place)
+        less = h[i : i + total] < best
+        np.copyto(best, h[i : i + total], where=less)
+        np.copyto(ahead, i, where=less)
+    at = np.flatnonzero(np.arange(k, total + k) <= np.repeat(starts[1:], np.diff(starts))[:total])
+    best, place = best[at], at + ahead[at]
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else none
     last = np.append(first[1:], len(at)) - 1
     return at[first], at[last] - at[first] + k, place[first], best[first]
@@ -198,3 +199,21 @@ def grouped(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray,
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(at) else np.empty(0, dtype=np.int64)
     return row[order], at[order], np.diff(np.append(first, len(at)))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as all their lowest bytes, then all the next ones, and so on: small numbers leave zeros that pack to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def packed(codes: np.ndarray, begin: np.ndarray, length: np.ndarray, gap: np.ndarray) -> tuple[bytes, int]:
+    """(bytes, size): the pieces of text at ``begin`` with a number ``gap`` each, under zstd, and how many bytes they are without."""
+    raw = _planes(gap) + _planes(length) + cut(codes, begin, length).buffers()[2].to_pybytes()
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True), len(raw)
+
+
+def unpacked(held: bytes, size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gap, begin, codes) of ``n`` packed pieces: their characters one after another, and where each begins, with their end."""
+    raw = pa.Codec("zstd").decompress(held, size, asbytes=True)
+    gap, length = (np.ascontiguousarray(x.T).view("<u4")[:, 0].astype(np.int64) for x in np.frombuffer(raw, dtype=np.uint8, count=8 * n).reshape(2, 4, n))
+    return gap, np.append(0, np.cumsum(length)), np.frombuffer(raw[8 * n :].decode().encode("utf-32-le"), dtype=np.uint32)

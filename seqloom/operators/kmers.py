@@ -29,13 +29,17 @@ def blocks(df: DataFrame, id: str, seq: str, k: int, block: int = BLOCK, reach:
     return pieces.where(F.char_length("blk") >= k).select("id", (F.col("i").cast("bigint") * size).alias("start"), "blk")
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Spark's estimate of the table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """``df`` dealt out to four tasks a core, unless its size by Spark's estimate gives every core a partition anyway."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df if size >= cores * split else df.repartition(cores * 4)
+    return df if bytes_of(df) >= cores * split else df.repartition(cores * 4)
 
 
 def substrings(text: Column, k: int) -> Column:

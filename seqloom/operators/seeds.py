@@ -8,16 +8,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.texts import cut, minimized, slices
-from ..sources.tables import discard, materialize, partitions, scratch_path
-from .kmers import LARGE, blocks, kmers, kmers_among, spread_out, substrings
+from ..functions.texts import Known, cut, minimized, packed, place_hashes, slices, unpacked
+from ..sources.tables import batch_session, discard, materialize, partitions, scratch_path
+from .kmers import LARGE, blocks, bytes_of, hashed, kmers, kmers_among, spread_out, substrings
 
 BROADCAST_CHARS = 2_000_000  # query characters up to which the queries' k-mers are broadcast
 CHUNK = 64  # characters of the first round
 STRETCH = 512  # and of the last ones
+HELD = 2 << 20  # characters of texts whose k-mers are packed at once
+ROW = 1 << 20  # characters of a packed row
+BUCKET = 64 << 20  # bytes of texts that get a bucket of their k-mers
+FILES = 50_000  # of stored k-mers, where that leaves four tasks a core
 
 
 def seed_join(queries: DataFrame, refs: DataFrame, k: int = 11, max_occ: int | None = None) -> DataFrame:
@@ -70,57 +75,187 @@ def salted(q: DataFrame, r: DataFrame, kinds: int = 1 << 16, share: int = 1000)
 
 def _core(k: int) -> int:
     """Characters of the minimizer by which a k-mer is stored."""
-    return max(1, k * 2 // 3)
+    return max(1, (k + 1) // 2)
 
 
-def kmer_runs(refs: DataFrame, k: int) -> DataFrame:
-    """(ref_id, ref_pos, lead, piece, key): neighbouring k-mers with one minimizer, ``lead`` characters into their joint piece of text, as a row.
+def _bucket_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of ``n`` buckets of a table that Spark buckets by such numbers."""
+    numbers = spark.range(32 * n).select(F.col("id").cast("int").alias("part"))
+    held = numbers.groupBy(F.pmod(F.hash("part"), F.lit(n))).agg(F.min("part").alias("part"))
+    return np.sort(held.toArrow().column("part").to_numpy())
+
+
+def _key_of(least: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The bucket key of each minimizer's hash."""
+    return keys[((least ^ least >> np.uint64(32)) % np.uint64(len(keys))).astype(np.int64)]
 
-    Each k-mer is in one of them. ``key``: the minimizer's hash, of this k alone.
+
+def _packed_runs(refs: DataFrame, k: int, keys: np.ndarray) -> DataFrame:
+    """(part, k, ids, starts, counts, packed, size): runs of neighbouring k-mers with one minimizer, those of a bucket and of some texts as a row.
+
+    A run is the joint piece of text of its k-mers. ``packed`` has a row's pieces and their places, ``counts`` in each block of text, which
+    begins at a place of ``starts`` of the text that ``ids`` tells; no row has over ROW characters. Each k-mer is in one run.
     """
+    columns = ["part", "k", "ids", "starts", "counts", "packed", "size"]
     id_type = refs.schema["id"].dataType.simpleString()
 
+    def rows_of(held: list[tuple]) -> pa.RecordBatch:
+        texts, ids, starts, *found = (list(x) for x in zip(*held, strict=True))
+        chars, rows = (np.cumsum([0, *map(len, x)]) for x in (texts, ids))
+        begin, row = (np.concatenate([x + first for x, first in zip(found[i], before, strict=False)]) for i, before in ((0, chars), (3, rows)))
+        pos, length, part = (np.concatenate(found[i]) for i in (1, 2, 4))
+        order = np.argsort(part, kind="stable")
+        begin, pos, length, row, part = (x[order] for x in (begin, pos, length, row, part))
+        differs = lambda x: np.append(True, x[1:] != x[:-1])
+        new = differs(part) | differs((np.cumsum(length) - 1) // ROW)
+        head = new | differs(row)
+        gap = np.where(head, pos, np.diff(pos, prepend=0))
+        lo, head, codes = np.flatnonzero(new), np.flatnonzero(head), np.concatenate(texts)
+        data, sizes = zip(*(packed(codes, begin[i:j], length[i:j], gap[i:j]) for i, j in zip(lo, np.append(lo[1:], len(part)), strict=True)), strict=True)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(head, lo), len(head)), pa.int32()), x)
+        ids, starts = (pa.concat_arrays(x).take(pa.array(row[head])) for x in (ids, starts))
+        counts = pa.array(np.diff(np.append(head, len(part))), pa.int32())
+        rest = [pa.array(part[lo], pa.int32()), pa.array(np.full(len(lo), k), pa.int32()), lists(ids), lists(starts), lists(counts)]
+        return pa.RecordBatch.from_arrays([*rest, pa.array(data, pa.binary()), pa.array(sizes, pa.int32())], columns)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
         for b in batches:
             for rows, codes, starts in slices(b, "blk"):
-                begin, length, place, key = minimized(codes, starts, k, _core(k))
+                begin, length, _, least = minimized(codes, starts, k, _core(k))
                 row = np.searchsorted(starts, begin, "right") - 1
-                pos = rows.column("start").to_numpy()[row] + begin - starts[row]
-                held = [rows.column("id").take(pa.array(row)), pa.array(pos), pa.array((place - begin).astype(np.int32)), cut(codes, begin, length), pa.array((key ^ np.uint64(k)).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(held, ["ref_id", "ref_pos", "lead", "piece", "key"])
+                held.append((codes, rows.column("id"), rows.column("start"), begin, begin - starts[row], length, row, _key_of(least, keys)))
+                chars += len(codes)
+                if chars >= HELD:
+                    yield rows_of(held)
+                    held, chars = [], 0
+        if chars:
+            yield rows_of(held)
+
+    pieces = blocks(spread_out(refs.select("id", "seq")), "id", "seq", k, LARGE)
+    return pieces.mapInArrow(work, f"part int, k int, ids array<{id_type}>, starts array<bigint>, counts array<int>, packed binary, size int")
+
+
+def _opened(b: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, pos, begin, codes) of the runs in a row of ``_packed_runs``: their texts and places, their characters, and where each one's begin, with their end."""
+    ids, starts, counts = (b.column(x)[i].values for x in ("ids", "starts", "counts"))
+    counts = counts.to_numpy()
+    gap, begin, codes = unpacked(b.column("packed")[i].as_py(), b.column("size")[i].as_py(), int(counts.sum()))
+    total, head = np.cumsum(gap), np.cumsum(counts) - counts
+    pos = total + np.repeat(starts.to_numpy() - total[head] + gap[head], counts)
+    return ids.take(pa.array(np.repeat(np.arange(len(counts)), counts))), pos, begin, codes
+
+
+def _places(begin: np.ndarray, codes: np.ndarray, k: int, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, run, hash) of the runs' k-mers that have a known hash."""
+    hashes = place_hashes(codes, [k])[k]
+    at = known.among(hashes)
+    run = np.searchsorted(begin, at, "right") - 1
+    inside = at + k <= begin[run + 1]
+    at, run = at[inside], run[inside]
+    return at, run, hashes[at]
+
+
+def _opened_runs(rows: DataFrame) -> DataFrame:
+    """(ref_id, ref_pos, piece) of rows of ``_packed_runs``."""
+    id_type = rows.schema["ids"].dataType.elementType.simpleString()
 
-    return blocks(spread_out(refs.select("id", "seq")), "id", "seq", k, LARGE).mapInArrow(work, f"ref_id {id_type}, ref_pos bigint, lead int, piece string, key bigint")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, pos, begin, codes = _opened(b, i)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pos), cut(codes, begin[:-1], np.diff(begin))], ["ref_id", "ref_pos", "piece"])
+
+    return rows.mapInArrow(work, f"ref_id {id_type}, ref_pos bigint, piece string")
+
+
+def kmer_runs(refs: DataFrame, k: int) -> DataFrame:
+    """(ref_id, ref_pos, piece): neighbouring k-mers with one minimizer, their joint piece of text as a row. Each k-mer is in one of them."""
+    return _opened_runs(_packed_runs(refs, k, np.zeros(1, dtype=np.int32)))
 
 
 def store_kmers(refs: DataFrame, name: str, k: int = 11, path: str | None = None) -> None:
-    """Write the references' k-mers once, as table ``name`` of ``kmer_runs`` bucketed and sorted by key, for later ``probe``s.
+    """Write the references' k-mers once, as table ``name`` of packed ``kmer_runs`` bucketed by minimizer, for later ``probe``s.
 
+    Each task writes its runs to files of its own for the buckets, and nothing is shuffled but texts that are too few for all cores. There is a
+    bucket for every BUCKET bytes of texts, within the session's shuffle partitions, and tasks are joined where files would be more than FILES.
     ``path``: its folder, if not the warehouse. k-mers of another length than the table's find nothing there.
     """
-    n = partitions(refs.sparkSession)
-    writer = kmer_runs(refs, k).repartition(n, "key").write.bucketBy(n, "key").sortBy("key")
+    spark = refs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = min(partitions(spark), max(cores, bytes_of(refs.select("id", "seq")) // BUCKET))
+    writer = _packed_runs(refs, k, _bucket_keys(spark, n)).coalesce(max(cores * 4, FILES // n)).write.bucketBy(n, "part").option("compression", "zstd")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def probe(queries: DataFrame, name: str, k: int = 11, max_occ: int | None = None) -> DataFrame:
-    """As ``seed_join``, with the references' k-mers of a table by ``store_kmers``: their side is neither cut again nor moved."""
-    q, r = _query_kmers(queries, k), queries.sparkSession.table(name)
+    """As ``seed_join``, with the references' k-mers of a table by ``store_kmers``: their side is neither cut again nor moved.
+
+    Up to BROADCAST_CHARS characters of queries, their k-mers are broadcast and looked up in all runs; beyond it they move to the runs' buckets. With
+    ``max_occ`` the references' k-mers are counted and move then, too.
+    """
+    q, small = _query_kmers(queries, k), _small(queries)
+    spark = batch_session(queries.sparkSession)
+    spark.catalog.setCurrentDatabase(queries.sparkSession.catalog.currentDatabase())
+    r = spark.table(name).where(F.col("k") == k)
+    if small:
+        return _joined(q, _among(r, q, k), True, max_occ)
     if max_occ is not None:
-        each = r.where(F.char_length("piece") >= k).select("ref_id", "ref_pos", F.posexplode(substrings(F.col("piece"), k)).alias("off", "kmer"))
-        return _joined(q, each.select("ref_id", (F.col("ref_pos") + F.col("off")).alias("ref_pos"), "kmer"), _small(queries), max_occ)
-
-    @F.arrow_udf("struct<key: bigint, ahead: int>")
-    def least(texts: pa.Array) -> pa.Array:
-        found = []
-        for _, codes, starts in slices(pa.record_batch({"t": texts}), "t"):
-            _, _, place, key = minimized(codes, starts, k, _core(k))  # a run for each, as each is one k-mer
-            found.append(pa.StructArray.from_arrays([pa.array((key ^ np.uint64(k)).astype(np.int64)), pa.array((place - starts[:-1]).astype(np.int32))], ["key", "ahead"]))
-        return pa.concat_arrays(found) if found else pa.array([], pa.struct([("key", pa.int64()), ("ahead", pa.int32())]))
-
-    q = q.withColumn("_l", least("kmer")).select("query_id", "query_pos", "kmer", "_l.key", "_l.ahead")
-    off = F.col("lead") - F.col("ahead")
-    met = r.join(F.broadcast(q) if _small(queries) else q, "key").where((off >= 0) & (F.substr("piece", off + 1, F.lit(k)) == F.col("kmer")))
-    return met.select("query_id", "ref_id", "query_pos", (F.col("ref_pos") + off).alias("ref_pos"))
+        each = _opened_runs(r.drop("part")).select("ref_id", "ref_pos", F.posexplode(substrings(F.col("piece"), k)).alias("off", "kmer"))
+        return _joined(q, each.select("ref_id", (F.col("ref_pos") + F.col("off")).alias("ref_pos"), "kmer"), False, max_occ)
+    return _met(r, q, k, int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"]))
+
+
+def _among(r: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """(ref_id, ref_pos, kmer): the stored k-mers that are among the queries', and hardly any others."""
+    keys = q.select("kmer").distinct().select(hashed(F.col("kmer")).alias("key")).toArrow().column("key")
+    known = q.sparkSession.sparkContext.broadcast(Known(keys.to_numpy()))
+    id_type = r.schema["ids"].dataType.elementType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, pos, begin, codes = _opened(b, i)
+                at, run, _ = _places(begin, codes, k, known.value)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(run)), pa.array(pos[run] + at - begin[run]), cut(codes, at, np.full(len(at), k))], ["ref_id", "ref_pos", "kmer"])
+
+    return r.select("ids", "starts", "counts", "packed", "size").mapInArrow(work, f"ref_id {id_type}, ref_pos bigint, kmer string")
+
+
+def _met(r: DataFrame, q: DataFrame, k: int, n: int) -> DataFrame:
+    """The seeds of any number of queries: those of a bucket move to it as one row, and stored rows look their k-mers up in it."""
+    keys = _bucket_keys(r.sparkSession, n)
+    id_type = r.schema["ids"].dataType.elementType.simpleString()
+
+    @F.arrow_udf("int")
+    def bucket(texts: pa.Array) -> pa.Array:
+        found = [_key_of(minimized(codes, starts, k, _core(k))[3], keys) for _, codes, starts in slices(pa.record_batch({"t": texts}), "t")]  # a run for each, as each is one k-mer
+        return pa.array(np.concatenate(found) if found else np.empty(0), pa.int32())
+
+    @F.arrow_udf(f"array<struct<no: int, ref_id: {id_type}, ref_pos: bigint>>")
+    def places(ids: pa.Array, starts: pa.Array, counts: pa.Array, packed: pa.Array, size: pa.Array, asked: pa.Array) -> pa.Array:
+        b, found = pa.record_batch({"ids": ids, "starts": starts, "counts": counts, "packed": packed, "size": size}), []
+        for i in range(b.num_rows):
+            held, pos, begin, codes = _opened(b, i)
+            wanted = asked[i].values
+            own = place_hashes(np.frombuffer("".join(wanted.to_pylist()).encode("utf-32-le"), dtype=np.uint32), [k])[k][::k]
+            order = np.argsort(own, kind="stable")
+            at, run, hashes = _places(begin, codes, k, Known(own))
+            lo, hi = (np.searchsorted(own[order], hashes, side) for side in ("left", "right"))
+            at, run, lo, several = (np.repeat(x, hi - lo) for x in (at, run, lo, np.cumsum(hi - lo) - (hi - lo)))
+            no = order[lo + np.arange(len(lo)) - several]
+            same = pc.equal(wanted.take(pa.array(no)), cut(codes, at, np.full(len(at), k))).to_numpy(zero_copy_only=False)
+            at, run, no = at[same], run[same], no[same]
+            found.append(pa.StructArray.from_arrays([pa.array(no, pa.int32()), held.take(pa.array(run)), pa.array(pos[run] + at - begin[run])], ["no", "ref_id", "ref_pos"]))
+        offsets = pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.concat_arrays(found) if found else pa.array([], pa.struct([("no", pa.int32()), ("ref_id", ids.type.value_type), ("ref_pos", pa.int64())])))
+
+    moved = q.withColumn("part", bucket("kmer")).repartition(n, "part")
+    each = moved.groupBy("part", "kmer").agg(F.collect_list(F.struct("query_id", "query_pos")).alias("hits"))
+    wanted = each.groupBy("part").agg(F.collect_list(F.struct("kmer", "hits")).alias("wanted"))
+    met = r.join(wanted, "part").select("wanted", F.explode(places("ids", "starts", "counts", "packed", "size", "wanted.kmer")).alias("p"))
+    seeds = met.select("p", F.explode(F.get(F.col("wanted.hits"), F.col("p.no"))).alias("h"))
+    return seeds.select("h.query_id", "p.ref_id", "h.query_pos", "p.ref_pos")
 
 
 def diagonal_runs(seeds: DataFrame) -> DataFrame:
