@@ -254,7 +254,7 @@ def _met(r: DataFrame, q: DataFrame, k: int, n: int) -> DataFrame:
     each = moved.groupBy("part", "kmer").agg(F.collect_list(F.struct("query_id", "query_pos")).alias("hits"))
     wanted = each.groupBy("part").agg(F.collect_list(F.struct("kmer", "hits")).alias("wanted"))
     met = r.join(wanted, "part").select("wanted", F.explode(places("ids", "starts", "counts", "packed", "size", "wanted.kmer")).alias("p"))
-    seeds = met.select("p", F.explode(F.get(F.col("wanted.hits"), F.col("p.no"))).alias("h"))
+    seeds = met.select("p", F.explode(F.get("wanted", F.col("p.no"))["hits"]).alias("h"))
     return seeds.select("h.query_id", "p.ref_id", "h.query_pos", "p.ref_pos")
 
 
